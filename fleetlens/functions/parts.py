@@ -1,0 +1,52 @@
+"""Joining the members of a group into text without an unbounded list."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.functions.numbers import whole_div
+
+PART_LIMIT = 1000
+
+
+def by_number(number: Column, limit: int = PART_LIMIT) -> Column:
+    """Cut at every ``limit`` consecutive numbers; parts sort as text."""
+    return F.lpad(whole_div(number.cast("bigint"), limit).cast("string"), 18, "0")
+
+
+def by_network(address: Column) -> Column:
+    """Cut by everything up to an address's last group."""
+    return F.regexp_extract(address, r"^(?:.*[.:])?", 0)
+
+
+def joined_parts(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    text: str,
+    into: str,
+    sep: str,
+    cut: Column,
+    limit: int = PART_LIMIT,
+) -> DataFrame:
+    """Distinct ``text`` values of each group joined in ``order``, as ``(keys, part, into, n)``.
+
+    A group of up to ``limit`` values is one part, named by the empty string. A
+    larger one is split by ``cut`` so that no single list holds it; its parts
+    together give all of it. Values are made distinct and counted before any list
+    is built.
+    """
+    fields = list(dict.fromkeys([*order, text]))
+    slim = rows.select(*keys, *fields, cut.alias("_cut")).distinct()
+    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    parted = slim.join(sizes, list(keys)).withColumn(
+        "part", F.when(F.col("_size") <= limit, F.lit("")).otherwise(F.col("_cut"))
+    )
+    listed = F.sort_array(F.collect_list(F.struct(*fields)))
+    return parted.groupBy(*keys, "part").agg(
+        F.array_join(F.transform(listed, lambda x: x[text]), sep).alias(into),
+        F.count(F.lit(1)).alias("n"),
+    )

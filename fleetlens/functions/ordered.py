@@ -1,10 +1,16 @@
-"""Looking back along an ordered history without putting one key in one task.
+"""Looking back along an ordered history without putting a busy key in one task.
 
-A plain ``lag``/``last`` window partitioned by key sends a whole key to one
-task. Here each key's history is cut into time slices. The window runs inside a
-slice, a small aggregate keeps the closing value of every slice, and a second
-window over those closings (one row per key and slice) says what each slice
-inherits. The answer equals the plain window's.
+A ``lag`` or ``last`` window partitioned by key sends each key's whole history to
+one task. That is right for the many small keys and wrong for a key that holds a
+large share of all rows. So one slim pass counts rows per key, and only the keys
+above a limit have their history cut into slices of about equal row counts. The
+window then runs per key and slice, and the closing value of each slice is handed
+to the slices after it. The answer equals the plain window's.
+
+Keys above the limit number at most ``rows / limit``, and so, up to a small
+factor, do their cut points and slices. That is the bound on everything broadcast
+here. When no key is above it, adaptive execution drops the extra branches and
+the plain window is left.
 """
 
 from __future__ import annotations
@@ -16,52 +22,115 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import epoch_micros, whole_div
 
+ROWS_PER_SLICE = 5_000_000
 
-def time_slice(ts: Column, minutes: int) -> Column:
-    """Number of the time slice that holds ``ts``; grows with ``ts``."""
-    width = minutes * 60_000_000
-    micros = epoch_micros(ts)
-    return whole_div(micros - F.pmod(micros, F.lit(width)), width)
+# Pieces one cut can make; a power of two. Two rounds multiply.
+FAN = 1024
 
 
-def look_back(
-    df: DataFrame,
+def _pieces(at: Column, cuts: Column) -> Column:
+    """How many of the sorted ``cuts`` are not after ``at``, by halving."""
+    steps = F.array(*[F.lit(FAN >> (i + 1)) for i in range(FAN.bit_length() - 1)])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda seen, step: F.when(F.get(cuts, seen + step - 1) <= at, seen + step).otherwise(seen),
+    )
+
+
+def _cut_busy(df: DataFrame, keys: Sequence[str], into: str, rows: Column, limit: int) -> DataFrame:
+    """Add ``into``: a piece number for rows of groups above ``limit``, null for the rest.
+
+    Cut points are quantiles of the group's own times (``_at``), no more of them
+    than the group has multiples of ``limit``; ``rows`` says which rows take part.
+    """
+    part = df.where(rows)
+    busy = part.groupBy(*keys).agg(F.count("_at").alias("_n")).where(F.col("_n") > limit)
+    quantiles = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+    stride = F.greatest(whole_div(F.lit(FAN * limit), F.max("_n")), F.lit(1))
+    cuts = (
+        part.select(*keys, "_at")
+        .join(F.broadcast(busy), list(keys))
+        .groupBy(*keys)
+        .agg(F.percentile_approx("_at", quantiles).alias("_all"), stride.alias("_stride"))
+        .select(
+            *keys, F.filter("_all", lambda _, i: (i + 1) % F.col("_stride") == 0).alias("_cuts")
+        )
+    )
+    found = F.when(F.col("_cuts").isNotNull(), _pieces(F.col("_at"), F.col("_cuts")))
+    return (
+        df.join(F.broadcast(cuts), list(keys), "left")
+        .withColumn(into, found.cast("bigint"))
+        .drop("_cuts")
+    )
+
+
+def slice_busy_keys(df: DataFrame, keys: Sequence[str], ts: str, limit: int) -> DataFrame:
+    """Add ``_slice`` (null for keys within the limit), growing with ``ts`` inside a key.
+
+    Slices still far above the limit are cut once more. Rows with equal times
+    stay together.
+    """
+    timed = df.withColumn("_at", epoch_micros(F.col(ts)))
+    coarse = _cut_busy(timed, keys, "_coarse", F.lit(True), limit)
+    fine = _cut_busy(coarse, [*keys, "_coarse"], "_fine", F.col("_coarse").isNotNull(), 2 * limit)
+    return fine.withColumn(
+        "_slice", F.col("_coarse") * FAN + F.coalesce(F.col("_fine"), F.lit(0))
+    ).drop("_at", "_coarse", "_fine")
+
+
+def look_along(
+    sliced: DataFrame,
     keys: Sequence[str],
     ts: str,
     ties: Sequence[str],
     value: Column,
     into: str,
     inclusive: bool,
-    slice_minutes: int,
 ) -> DataFrame:
-    """Add ``into``: the latest non-null ``value`` before each row of its key.
-
-    ``ties`` completes the order after ``ts``. ``inclusive`` lets the row itself
-    count. Keys must not be null.
-    """
+    """``look_back`` over rows that ``slice_busy_keys`` has marked; the mark is kept."""
     order = [ts, *ties]
-    sliced = df.withColumn("_slice", time_slice(F.col(ts), slice_minutes)).withColumn("_v", value)
-
+    valued = sliced.withColumn("_v", value)
     inside = (
         Window.partitionBy(*keys, "_slice")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
-    seen = sliced.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside))
+    seen = valued.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside))
 
     along = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     inherited = (
-        sliced.groupBy(*keys, "_slice")
+        valued.where(F.col("_slice").isNotNull())
+        .groupBy(*keys, "_slice")
         .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_close"))
         .select(*keys, "_slice", F.last("_close", ignorenulls=True).over(along).alias("_carried"))
     )
     return (
-        seen.join(inherited, [*keys, "_slice"], "left")
+        seen.join(F.broadcast(inherited), [*keys, "_slice"], "left")
         .withColumn(into, F.coalesce("_seen", "_carried"))
-        .drop("_slice", "_v", "_seen", "_carried")
+        .drop("_v", "_seen", "_carried")
     )
 
 
+def look_back(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    ties: Sequence[str],
+    value: Column,
+    into: str,
+    inclusive: bool,
+    limit: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Add ``into``: the latest non-null ``value`` before each row of its key.
+
+    ``ties`` completes the order after ``ts``. ``inclusive`` lets the row itself
+    count. Keys and ``ts`` must not be null.
+    """
+    sliced = slice_busy_keys(df, keys, ts, limit)
+    return look_along(sliced, keys, ts, ties, value, into, inclusive).drop("_slice")
+
+
 def previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,12 +138,10 @@ def previous(
     ties: Sequence[str],
     value: str,
     into: str,
-    slice_minutes: int,
+    limit: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add ``into``: a struct holding the previous row's ``value``, null on the first row.
 
     The struct keeps a previous null apart from no previous row.
     """
-    return look_back(
-        df, keys, ts, ties, F.struct(F.col(value).alias("was")), into, False, slice_minutes
-    )
+    return look_back(df, keys, ts, ties, F.struct(F.col(value).alias("was")), into, False, limit)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import whole_div
+from fleetlens.functions.skew import spread_join
 
 PART_LIMIT = 1000
 
@@ -42,7 +43,7 @@ def joined_parts(
     fields = list(dict.fromkeys([*order, text]))
     slim = rows.select(*keys, *fields, cut.alias("_cut")).distinct()
     sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    parted = slim.join(sizes, list(keys)).withColumn(
+    parted = spread_join(slim, sizes, keys).withColumn(
         "part", F.when(F.col("_size") <= limit, F.lit("")).otherwise(F.col("_cut"))
     )
     listed = F.sort_array(F.collect_list(F.struct(*fields)))

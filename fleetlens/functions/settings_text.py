@@ -1,44 +1,41 @@
-"""Decoding one line of a settings file."""
+"""Decoding the lines of a settings file."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.capture import fits, group, with_groups
+
 # key, plain value, quoted value with its quotes, anything left over.
 LINE = (
     r"^\s*(?:(\w+)(?:\s*=\s*|\s+))?"
     r"(?:([-.\w]+)|('(?:[^'\\]|''|\\.)*'))?"
     r"\s*([^#\s].*?)?(?:\s*#.*)?$"
 )
-_SEP = "\x01"
-
 
-def decode_line(line: Column) -> Column:
-    """``struct(key, value, error)``; all null for blanks and comments.
 
-    The pattern is applied once and its groups are cut apart afterwards.
-    """
-    groups = F.split(
-        F.regexp_replace(line, LINE, _SEP.join(["$1", "$2", "$3", "$4"])), _SEP
-    )
-    fits = line.rlike(LINE)
-    key, plain, quoted, rest = (F.get(groups, F.lit(i)) for i in range(4))
+def decode_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Add ``key``, ``value`` and ``error``; blanks and comments drop out."""
+    key, plain, quoted, rest = (group(i) for i in range(1, 5))
     unquoted = F.regexp_replace(
         F.substring(quoted, F.lit(2), F.length(quoted) - 2), r"''|\\'", "'"
     )
-    value = F.when(quoted != "", unquoted).otherwise(F.nullif(plain, F.lit("")))
-    empty = (key == "") & (plain == "") & (quoted == "") & (rest == "")
+    value = F.when(quoted != "", unquoted).otherwise(plain)
     error = (
-        F.when(~fits, F.lit("Invalid line"))
-        .when(empty, F.lit(None).cast("string"))
+        F.when(~fits(4), F.lit("Invalid line"))
         .when(key == "", F.lit("Missing key"))
         .when(rest != "", F.lit("Badly quoted value"))
         .when((plain == "") & (quoted == ""), F.lit("Missing value"))
     )
-    usable = ~empty & error.isNull()
-    return F.struct(
-        F.when(usable, F.lower(key)).alias("key"),
-        F.when(usable, value).alias("value"),
-        error.alias("error"),
+    empty = fits(4) & (F.concat(key, plain, quoted, rest) == "")
+    return (
+        with_groups(lines, F.col(line), LINE, 4)
+        .where(~empty)
+        .select(
+            *lines.columns,
+            F.when(error.isNull(), F.lower(key)).alias("key"),
+            F.when(error.isNull(), value).alias("value"),
+            error.alias("error"),
+        )
     )

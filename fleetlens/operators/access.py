@@ -20,6 +20,7 @@ from fleetlens.fixed import (
     REPLICATION_ACCOUNT,
 )
 from fleetlens.functions.parts import by_network, by_number, joined_parts
+from fleetlens.functions.skew import spread_join
 from fleetlens.functions.text import (
     account_name,
     addr_range,
@@ -289,6 +290,7 @@ def missing_grants(
         memberships.join(roles.select(F.col("oid").alias("member"), F.col("rolname").alias("account")), "member")
         .join(roles.select(F.col("oid").alias("roleid"), F.col("rolname").alias("role")), "roleid")
         .select("account", "role")
+        .distinct()
     )
     asked = (
         wanted.select("account", F.explode(F.split("roles", ",")).alias("role"))
@@ -329,7 +331,7 @@ def missing_extensions(
         extensions["datname"],
         F.col("extname").alias("extension"),
         F.col("nspname").alias("schema"),
-    )
+    ).distinct()
     return wanted_extensions(wanted).join(
         installed, ["datname", "extension", "schema"], "left_anti"
     )
@@ -356,7 +358,7 @@ def credential_gaps(relations: DataFrame, known: DataFrame) -> DataFrame:
         .where(F.col("account").isNotNull())
         .distinct()
     )
-    return needed.join(known.select("account"), "account", "left_anti")
+    return needed.join(known.select("account").distinct(), "account", "left_anti")
 
 
 def accounts_to_rename(relations: DataFrame) -> DataFrame:
@@ -437,7 +439,7 @@ def privilege_plan(relations: DataFrame, config: DataFrame) -> DataFrame:
             F.array_compact(F.array(F.col("user"), F.when(plain, F.col("schema_user"))))
         ).alias("account"),
     )
-    return accounts.distinct().join(privileges, "cluster")
+    return spread_join(accounts.distinct(), privileges.distinct(), ["cluster"])
 
 
 def missing_ident(texts: DataFrame, key: str = "unit") -> DataFrame:

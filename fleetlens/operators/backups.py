@@ -8,26 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.fixed import KEEP_BASE_BACKUPS, KEEP_DUMPS, LATEST, STAMP_FORMAT
+from fleetlens.functions.capture import fits, group, with_groups
 from fleetlens.functions.numbers import age_seconds, whole_div
-from fleetlens.functions.ordered import look_back
+from fleetlens.functions.ordered import ROWS_PER_SLICE, look_back
+from fleetlens.functions.skew import spread_join
 
-_DUMP = r"(?:^|/)([^/]+)\.(\d{8}_\d{6})\.dump(\.gz|\.bz2|\.xz)?$"
-_GLOBALS = r"(?:^|/)globals\.(\d{8}_\d{6})\.sql$"
+# Globals stamp; or database, its stamp and a compression ending.
+_NAME = r"^(?:.*/)?(?:globals\.(\d{8}_\d{6})\.sql|([^/]+)\.(\d{8}_\d{6})\.dump(?:\.(gz|bz2|xz))?)$"
+_GLOBALS = r"(?:^|/)globals\.\d{8}_\d{6}\.sql$"
 
 
 def decode_dumps(files: DataFrame) -> DataFrame:
     """Add ``kind`` (database, globals or null), ``datname``, ``stamp`` and ``codec``."""
-    path = F.col("path")
-    is_dump, is_globals = path.rlike(_DUMP), path.rlike(_GLOBALS)
-    stamp = F.when(is_globals, F.regexp_extract(path, _GLOBALS, 1)).when(
-        is_dump, F.regexp_extract(path, _DUMP, 2)
-    )
-    return files.select(
+    whole, database = fits(4) & (group(1) != ""), fits(4) & (group(2) != "")
+    stamp = F.when(whole, group(1)).when(database, group(3))
+    return with_groups(files, F.col("path"), _NAME, 4).select(
         *[c for c in files.columns if c != "datname"],
-        F.when(is_globals, F.lit("globals")).when(is_dump, F.lit("database")).alias("kind"),
-        F.when(is_dump, F.regexp_extract(path, _DUMP, 1)).alias("datname"),
+        F.when(whole, F.lit("globals")).when(database, F.lit("database")).alias("kind"),
+        F.when(database, group(2)).alias("datname"),
         F.try_to_timestamp(stamp, F.lit(STAMP_FORMAT)).cast("timestamp_ntz").alias("stamp"),
-        F.when(is_dump, F.regexp_replace(F.regexp_extract(path, _DUMP, 3), r"^\.", "")).alias("codec"),
+        F.when(database, group(4)).alias("codec"),
     )
 
 
@@ -79,9 +79,9 @@ def prune_by_run(files: DataFrame, as_of: Column, keep: int = KEEP_DUMPS) -> Dat
         .groupBy("unit")
         .agg(F.max_by(minutes, "_rn").alias("_minutes"))
     )
+    kept = files.where(~F.contains("path", F.lit("lost+found/")))
     return (
-        files.where(~F.contains("path", F.lit("lost+found/")))
-        .join(limit, "unit")
+        spread_join(kept, limit, ["unit"])
         .where(age_seconds(F.col("mtime"), as_of) > F.col("_minutes") * 60)
         .select(*files.columns)
     )
@@ -104,7 +104,9 @@ def prune_keep_n(
         .select(key, F.struct(*order).alias("_limit"))
     )
     return (
-        backups.join(limit, key).where(F.struct(*order) < F.col("_limit")).select(*backups.columns)
+        spread_join(backups, limit, [key])
+        .where(F.struct(*order) < F.col("_limit"))
+        .select(*backups.columns)
     )
 
 
@@ -124,7 +126,9 @@ def _normal(name: Column) -> Column:
     return F.lower(F.translate(name, "_", "-"))
 
 
-def resolve_backup(requests: DataFrame, backups: DataFrame, slice_days: int = 30) -> DataFrame:
+def resolve_backup(
+    requests: DataFrame, backups: DataFrame, limit: int = ROWS_PER_SLICE
+) -> DataFrame:
     """The backup each restore request ``(request_id, store, backup, target_time)`` uses.
 
     ``LATEST`` takes the newest backup started before the target; a named one
@@ -158,10 +162,10 @@ def resolve_backup(requests: DataFrame, backups: DataFrame, slice_days: int = 30
         F.col("name"),
         "resolved",
         True,
-        slice_days * 1440,
+        limit,
     ).where(F.col("side") == 0)
     stores = backups.groupBy("store").agg(F.count(F.lit(1)).alias("n_backups"))
-    by_latest = reached.join(stores, "store", "left").select(
+    by_latest = spread_join(reached, stores, ["store"], "left").select(
         "request_id",
         "store",
         "backup",
@@ -177,19 +181,16 @@ def resolve_backup(requests: DataFrame, backups: DataFrame, slice_days: int = 30
         .agg(F.min_by("name", "started").alias("name"), F.min("started").alias("started"))
     )
     early = F.col("target_time").isNull() | (F.col("started") < F.col("target_time"))
-    by_name = (
-        named.withColumn("_name", _normal(F.col("backup")))
-        .join(known, ["store", "_name"], "left")
-        .join(stores, "store", "left")
-        .select(
-            "request_id",
-            "store",
-            "backup",
-            F.when(early, F.col("name")).alias("resolved"),
-            F.when(F.col("n_backups").isNull(), F.lit("no backups"))
-            .when(F.col("name").isNull(), F.lit("not found"))
-            .when(~early, F.lit("not before target"))
-            .alias("reason"),
-        )
+    asked = named.withColumn("_name", _normal(F.col("backup")))
+    matched = spread_join(asked, known, ["store", "_name"], "left")
+    by_name = spread_join(matched, stores, ["store"], "left").select(
+        "request_id",
+        "store",
+        "backup",
+        F.when(early, F.col("name")).alias("resolved"),
+        F.when(F.col("n_backups").isNull(), F.lit("no backups"))
+        .when(F.col("name").isNull(), F.lit("not found"))
+        .when(~early, F.lit("not before target"))
+        .alias("reason"),
     )
     return by_latest.unionByName(by_name)

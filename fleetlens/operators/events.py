@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.fixed import LINE_PREFIX, STATUS_STATES
-from fleetlens.functions.ordered import look_back, previous
-
-_SEP = "\x01"
+from fleetlens.functions.capture import fits, group, with_groups
+from fleetlens.functions.ordered import ROWS_PER_SLICE, look_back, previous
+from fleetlens.functions.skew import spread_join
 
 # What each escape of a line prefix looks like, and the field it fills.
 ESCAPES = {
@@ -46,23 +46,21 @@ def decode_logs(df: DataFrame, prefix: str = LINE_PREFIX, line: str = "line") ->
     The prefix becomes one pattern when the plan is built and is matched once per line.
     """
     pattern, fields = prefix_pattern(prefix)
-    marked = _SEP.join(f"${i + 1}" for i in range(len(fields)))
-    parts = F.split(F.regexp_replace(line, pattern, marked), _SEP)
-    fits = F.col(line).rlike(pattern)
-    types = {"pid": "bigint", "line_no": "bigint"}
+    n = len(fields)
 
-    def field(name: str) -> Column:
+    def field(name: str, kind: str = "string") -> Column:
         if name not in fields:
-            return F.lit(None).cast(types.get(name, "string"))
-        got = F.when(fits, F.get(parts, F.lit(fields.index(name))))
-        if name == "ts":
-            return F.try_to_timestamp(got, F.lit("yyyy-MM-dd HH:mm:ss z")).cast("timestamp_ntz")
-        return got.try_cast(types[name]) if name in types else got
-
-    kept = [c for c in df.columns if c != line]
-    return df.select(
-        *kept,
-        *[field(n).alias(n) for n in ("ts", "pid", "line_no", "datname", "usename")],
+            return F.lit(None).cast(kind)
+        return F.when(fits(n), group(fields.index(name) + 1)).try_cast(kind)
+
+    stamp = F.try_to_timestamp(field("ts"), F.lit("yyyy-MM-dd HH:mm:ss z"))
+    return with_groups(df, F.col(line), pattern, n).select(
+        *[c for c in df.columns if c != line],
+        stamp.cast("timestamp_ntz").alias("ts"),
+        field("pid", "bigint").alias("pid"),
+        field("line_no", "bigint").alias("line_no"),
+        field("datname").alias("datname"),
+        field("usename").alias("usename"),
         F.coalesce(field("message"), F.col(line)).alias("message"),
     )
 
@@ -72,7 +70,7 @@ def route(lines: DataFrame, routes: DataFrame) -> DataFrame:
 
     ``routes(program, destination)``; a unit's program is its name with ``/`` as ``_``.
     """
-    return lines.join(routes.select("program", "destination").distinct(), "program")
+    return spread_join(lines, routes.select("program", "destination").distinct(), ["program"])
 
 
 def program_of(unit: Column) -> Column:
@@ -91,24 +89,24 @@ def changes(
     value: str,
     ts: str = "ts",
     tie: str = "event_id",
-    slice_minutes: int = 1440,
+    limit: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Rows whose ``value`` differs from the one before it for the key; a first value counts."""
     slim = df.select(key, ts, tie, value)
-    looked = previous(slim, [key], ts, [tie], value, "_prev", slice_minutes)
+    looked = previous(slim, [key], ts, [tie], value, "_prev", limit)
     return looked.where(
         F.col("_prev").isNull() | ~F.col(value).eqNullSafe(F.col("_prev.was"))
     ).select(key, ts, tie, value, F.col("_prev.was").alias("previous"))
 
 
-def status_flags(events: DataFrame, slice_minutes: int = 1440) -> DataFrame:
+def status_flags(events: DataFrame, limit: int = ROWS_PER_SLICE) -> DataFrame:
     """Status of each unit after each event, one-hot.
 
     A null state keeps the one before it; before any state it means maintenance.
     Input: ``event_id, unit, ts, state``.
     """
     looked = look_back(
-        events, ["unit"], "ts", ["event_id"], F.col("state"), "_state", True, slice_minutes
+        events, ["unit"], "ts", ["event_id"], F.col("state"), "_state", True, limit
     )
     state = F.coalesce("_state", F.lit("maintenance"))
     return looked.select(

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import lsn_bytes
-from fleetlens.functions.ordered import previous
+from fleetlens.functions.ordered import ROWS_PER_SLICE, previous
 from fleetlens.functions.parts import by_number, joined_parts
+from fleetlens.functions.skew import spread_join
 
 
 def lag_bytes(standbys: DataFrame, masters: DataFrame) -> DataFrame:
@@ -36,11 +37,11 @@ def settled(
     key: str = "unit",
     ts: str = "ts",
     tie: str = "sample_id",
-    slice_minutes: int = 1440,
+    limit: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """First sample per unit whose known position equals the one just before it."""
     looked = previous(
-        samples.select(key, ts, tie, "position"), [key], ts, [tie], "position", "_prev", slice_minutes
+        samples.select(key, ts, tie, "position"), [key], ts, [tie], "position", "_prev", limit
     )
     still = looked.where(F.col("position") == F.col("_prev.was"))
     return still.groupBy(key).agg(
@@ -142,7 +143,7 @@ def role_flags(units: DataFrame) -> DataFrame:
     is_primary = ~F.col("in_recovery")
 
     flagged = (
-        named.join(facts, "cluster", "left")
+        spread_join(named, facts, ["cluster"], "left")
         .join(allowed, ["cluster", "unit"], "left")
         .withColumn(
             "_known_anointed",
@@ -203,16 +204,16 @@ def missing_rows(
     counts = held.groupBy(*row).agg(F.count(F.lit(1)).alias("_held"))
     members = units.select("cluster", "unit").distinct()
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_units"))
+    counted = master.select(*row).distinct().join(counts, row, "left")
     incomplete = (
-        master.select(*row)
-        .distinct()
-        .join(counts, row, "left")
-        .join(sizes, "cluster")
+        spread_join(counted, sizes, ["cluster"])
         .where(F.coalesce("_held", F.lit(0)) < F.col("_units"))
         .select(*row)
     )
-    return incomplete.join(members, "cluster").join(held, [*row, "unit"], "left_anti").select(
-        "cluster", "unit", *keys
+    return (
+        spread_join(incomplete, members, ["cluster"])
+        .join(held, [*row, "unit"], "left_anti")
+        .select("cluster", "unit", *keys)
     )
 
 
@@ -235,7 +236,7 @@ def discover_leader(units: DataFrame) -> DataFrame:
         )
     )
     other = F.when(F.col("_first") != F.col("unit"), F.col("_first")).otherwise(F.col("_second"))
-    return units.join(top, "cluster", "left").select(
+    return spread_join(units, top, ["cluster"], "left").select(
         "cluster",
         "unit",
         F.coalesce(F.nullif(F.col("recorded"), F.lit("")), other, F.col("unit")).alias("leader"),

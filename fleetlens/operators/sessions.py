@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.fixed import IDLE_SECONDS, IDLE_STATE, OLD_ACTIVITY_COLUMNS, OLD_IDLE_STATE
-from fleetlens.functions.numbers import age_seconds
+from fleetlens.functions.numbers import age_seconds, epoch_micros
+from fleetlens.functions.ordered import ROWS_PER_SLICE, look_along, slice_busy_keys
 
 
 def from_old_activity(df: DataFrame) -> DataFrame:
@@ -61,12 +62,44 @@ def with_age(df: DataFrame, as_of: Column) -> DataFrame:
     ).orderBy("age_s", "pid")
 
 
-def last_states(activity: DataFrame, gap_s: int, keys: Sequence[str] = ("usename",)) -> DataFrame:
+def idle_runs(
+    activity: DataFrame, gap_s: int, keys: Sequence[str] = ("usename",), limit: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Runs of activity per key, closed by ``gap_s`` of silence, that ended idle in a transaction.
 
-    Works on a batch and on a watermarked stream; ``state_change`` must then be
-    the watermarked column.
+    Each row looks back for the row before it and then for the start of its run,
+    so a key that holds most of the activity is still shared out.
     """
+    order = ["state_change", "pid"]
+    slim = slice_busy_keys(activity.select(*keys, *order, "state"), keys, "state_change", limit)
+    looked = look_along(
+        slim, keys, "state_change", ["pid"], F.col("state_change"), "_before", False
+    )
+    gap = epoch_micros(F.col("state_change")) - epoch_micros(F.col("_before"))
+    opens = F.coalesce(gap >= gap_s * 1_000_000, F.lit(True))
+    runs = look_along(
+        looked,
+        keys,
+        "state_change",
+        ["pid"],
+        F.when(opens, F.col("state_change")),
+        "run_start",
+        True,
+    )
+    return (
+        runs.groupBy(*keys, "run_start")
+        .agg(
+            F.max_by("state", F.struct(*order)).alias("_last"),
+            F.max("state_change").alias("idle_since"),
+            F.count(F.lit(1)).alias("n_events"),
+        )
+        .where(F.col("_last") == IDLE_STATE)
+        .drop("_last")
+    )
+
+
+def last_states(activity: DataFrame, gap_s: int, keys: Sequence[str] = ("usename",)) -> DataFrame:
+    """``idle_runs`` for a stream whose watermark is on ``state_change``."""
     runs = activity.groupBy(
         *keys, F.session_window("state_change", f"{gap_s} seconds").alias("_w")
     ).agg(

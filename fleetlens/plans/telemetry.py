@@ -205,7 +205,7 @@ def _runs(bound: str) -> str:
 
 @query("activity", sql=_runs(""))
 def idle_runs(t: Tables) -> DataFrame:
-    return sessions.last_states(t["activity"], IDLE_GAP_S)
+    return sessions.idle_runs(t["activity"], IDLE_GAP_S)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.ordered import ROWS_PER_SLICE
 from fleetlens.operators.events import changes, route
 from fleetlens.operators.metrics import sample
 from fleetlens.operators.sessions import last_states
@@ -55,11 +56,11 @@ class ChangeLog:
         value: str,
         ts: str = "ts",
         tie: str = "event_id",
-        slice_minutes: int = 1440,
+        limit: int = ROWS_PER_SLICE,
     ) -> None:
         self.folder = folder.rstrip("/")
         self.key, self.value, self.ts, self.tie = key, value, ts, tie
-        self.slice_minutes = slice_minutes
+        self.limit = limit
 
     def _last(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         if batch_id == 0:
@@ -87,7 +88,7 @@ class ChangeLog:
                 )
             )
         found = changes(
-            rows, self.key, self.value, self.ts, self.tie, self.slice_minutes
+            rows, self.key, self.value, self.ts, self.tie, self.limit
         ).where(F.col(self.tie) >= 0)
         found.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
         rows.groupBy(self.key).agg(

@@ -2,15 +2,16 @@
 
 A ``lag`` or ``last`` window partitioned by key sends each key's whole history to
 one task. That is right for the many small keys and wrong for a key that holds a
-large share of all rows. So one slim pass counts rows per key, and only the keys
-above a limit have their history cut into slices of about equal row counts. The
-window then runs per key and slice, and the closing value of each slice is handed
-to the slices after it. The answer equals the plain window's.
+large share of all rows. So one slim job counts rows per key first. When no key is
+above a limit the plain window is used and nothing else. Otherwise the history of
+the keys above it is cut into slices of about equal row counts, the window runs
+per key and slice, and the closing value of each slice is handed to the slices
+after it. The answer equals the plain window's.
 
 Keys above the limit number at most ``rows / limit``, and so, up to a small
 factor, do their cut points and slices. That is the bound on everything broadcast
-here. When no key is above it, adaptive execution drops the extra branches and
-the plain window is left.
+here. Cut points are approximate quantiles, which may come out differently when
+computed again, so they are written to the shared folder once and read from there.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import epoch_micros, whole_div
+from fleetlens.session import work_folder
 
 ROWS_PER_SLICE = 5_000_000
 
-# Pieces one cut can make; a power of two. Two rounds multiply.
-FAN = 1024
+# Most slices one key can have; a power of two.
+FAN = 4096
 
+SLICE = "_slice"
 
-def _pieces(at: Column, cuts: Column) -> Column:
+
+def _slice_of(at: Column, cuts: Column) -> Column:
     """How many of the sorted ``cuts`` are not after ``at``, by halving."""
-    steps = F.array(*[F.lit(FAN >> (i + 1)) for i in range(FAN.bit_length() - 1)])
+    steps = F.array(*[F.lit(FAN >> i) for i in range(1, FAN.bit_length())])
     return F.aggregate(
         steps,
         F.lit(0),
@@ -38,45 +42,45 @@ def _pieces(at: Column, cuts: Column) -> Column:
     )
 
 
-def _cut_busy(df: DataFrame, keys: Sequence[str], into: str, rows: Column, limit: int) -> DataFrame:
-    """Add ``into``: a piece number for rows of groups above ``limit``, null for the rest.
-
-    Cut points are quantiles of the group's own times (``_at``), no more of them
-    than the group has multiples of ``limit``; ``rows`` says which rows take part.
-    """
-    part = df.where(rows)
-    busy = part.groupBy(*keys).agg(F.count("_at").alias("_n")).where(F.col("_n") > limit)
-    quantiles = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+def _cut_points(timed: DataFrame, keys: Sequence[str], busy: DataFrame, limit: int) -> DataFrame:
+    """Quantiles of each busy key's times, one for every ``limit`` rows up to ``FAN``."""
+    # One text literal keeps the plan small; an array of literals would be a node each.
+    quantiles = F.split(F.lit(",".join(str(i / FAN) for i in range(1, FAN))), ",")
     stride = F.greatest(whole_div(F.lit(FAN * limit), F.max("_n")), F.lit(1))
-    cuts = (
-        part.select(*keys, "_at")
-        .join(F.broadcast(busy), list(keys))
+    return (
+        timed.join(F.broadcast(busy), list(keys))
         .groupBy(*keys)
-        .agg(F.percentile_approx("_at", quantiles).alias("_all"), stride.alias("_stride"))
+        .agg(
+            F.percentile_approx("_at", quantiles.cast("array<double>"), 4 * FAN).alias("_all"),
+            stride.alias("_stride"),
+        )
         .select(
             *keys, F.filter("_all", lambda _, i: (i + 1) % F.col("_stride") == 0).alias("_cuts")
         )
     )
-    found = F.when(F.col("_cuts").isNotNull(), _pieces(F.col("_at"), F.col("_cuts")))
-    return (
-        df.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn(into, found.cast("bigint"))
-        .drop("_cuts")
-    )
 
 
 def slice_busy_keys(df: DataFrame, keys: Sequence[str], ts: str, limit: int) -> DataFrame:
-    """Add ``_slice`` (null for keys within the limit), growing with ``ts`` inside a key.
+    """Add ``_slice``, growing with ``ts`` inside a key and null for keys within ``limit``.
 
-    Slices still far above the limit are cut once more. Rows with equal times
-    stay together.
+    Runs a job that counts rows per key; without any busy key ``df`` is returned as
+    it is. A burst is cut as finely as it is dense, but rows with equal times stay
+    together.
     """
-    timed = df.withColumn("_at", epoch_micros(F.col(ts)))
-    coarse = _cut_busy(timed, keys, "_coarse", F.lit(True), limit)
-    fine = _cut_busy(coarse, [*keys, "_coarse"], "_fine", F.col("_coarse").isNotNull(), 2 * limit)
-    return fine.withColumn(
-        "_slice", F.col("_coarse") * FAN + F.coalesce(F.col("_fine"), F.lit(0))
-    ).drop("_at", "_coarse", "_fine")
+    timed = df.select(*keys, epoch_micros(F.col(ts)).alias("_at"))
+    busy = timed.groupBy(*keys).agg(F.count("_at").alias("_n")).where(F.col("_n") > limit)
+    if busy.isEmpty():
+        return df
+    points = _cut_points(timed, keys, busy, limit)
+    folder = work_folder(df.sparkSession, "cuts")
+    points.write.parquet(folder)
+    cuts = df.sparkSession.read.schema(points.schema).parquet(folder)
+    found = F.when(F.col("_cuts").isNotNull(), _slice_of(epoch_micros(F.col(ts)), F.col("_cuts")))
+    return (
+        df.join(F.broadcast(cuts), list(keys), "left")
+        .withColumn(SLICE, found.cast("bigint"))
+        .drop("_cuts")
+    )
 
 
 def look_along(
@@ -88,25 +92,26 @@ def look_along(
     into: str,
     inclusive: bool,
 ) -> DataFrame:
-    """``look_back`` over rows that ``slice_busy_keys`` has marked; the mark is kept."""
+    """``look_back`` over rows that ``slice_busy_keys`` has seen; its mark is kept."""
     order = [ts, *ties]
+    frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    if SLICE not in sliced.columns:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
+        return sliced.withColumn(into, F.last(value, ignorenulls=True).over(whole))
+
     valued = sliced.withColumn("_v", value)
-    inside = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    )
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(*frame)
     seen = valued.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside))
 
-    along = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     inherited = (
-        valued.where(F.col("_slice").isNotNull())
-        .groupBy(*keys, "_slice")
+        valued.where(F.col(SLICE).isNotNull())
+        .groupBy(*keys, SLICE)
         .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_close"))
-        .select(*keys, "_slice", F.last("_close", ignorenulls=True).over(along).alias("_carried"))
+        .select(*keys, SLICE, F.last("_close", ignorenulls=True).over(along).alias("_carried"))
     )
     return (
-        seen.join(F.broadcast(inherited), [*keys, "_slice"], "left")
+        seen.join(F.broadcast(inherited), [*keys, SLICE], "left")
         .withColumn(into, F.coalesce("_seen", "_carried"))
         .drop("_v", "_seen", "_carried")
     )
@@ -125,10 +130,10 @@ def look_back(
     """Add ``into``: the latest non-null ``value`` before each row of its key.
 
     ``ties`` completes the order after ``ts``. ``inclusive`` lets the row itself
-    count. Keys and ``ts`` must not be null.
+    count. Keys and ``ts`` must not be null. Runs the counting job of ``slice_busy_keys``.
     """
     sliced = slice_busy_keys(df, keys, ts, limit)
-    return look_along(sliced, keys, ts, ties, value, into, inclusive).drop("_slice")
+    return look_along(sliced, keys, ts, ties, value, into, inclusive).drop(SLICE)
 
 
 def previous(

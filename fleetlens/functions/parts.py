@@ -42,9 +42,10 @@ def joined_parts(
     """
     fields = list(dict.fromkeys([*order, text]))
     slim = rows.select(*keys, *fields, cut.alias("_cut")).distinct()
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    parted = spread_join(slim, sizes, keys).withColumn(
-        "part", F.when(F.col("_size") <= limit, F.lit("")).otherwise(F.col("_cut"))
+    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > limit).withColumn("_large", F.lit(True)).drop("_n")
+    parted = spread_join(slim, large, keys, "left", counts=sizes).withColumn(
+        "part", F.when(F.col("_large"), F.col("_cut")).otherwise(F.lit(""))
     )
     listed = F.sort_array(F.collect_list(F.struct(*fields)))
     return parted.groupBy(*keys, "part").agg(

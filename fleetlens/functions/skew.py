@@ -1,4 +1,4 @@
-"""Joining a large frame to a small-per-key one when a few keys hold most rows."""
+"""Joining a large frame to a per-key one when a few keys hold most of its rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+from fleetlens.functions.numbers import whole_div
+
+ROWS_PER_TASK = 5_000_000
 
 
 def spread_join(
@@ -15,17 +17,37 @@ def spread_join(
     per_key: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    counts: DataFrame | None = None,
+    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """``big`` joined to ``per_key``, with every key's rows spread over ``salts`` tasks.
+    """``big`` joined to ``per_key`` (few rows per key), sharing busy keys out over tasks.
+
+    A key with more than ``limit`` rows in ``big`` is split into as many ways as it
+    has multiples of ``limit``, and only its rows in ``per_key`` are repeated. Busy
+    keys number at most ``rows / limit``, which bounds what is broadcast. Adaptive
+    execution splits skewed joins by itself only between two plain shuffles, and
+    ``per_key`` is usually an aggregate.
 
-    ``per_key`` is repeated once per salt, so it should hold few rows per key. It
-    is usually an aggregate on the join key; the repetition also puts a shuffle of
-    its own under the join, without which adaptive execution could not split a
-    skewed partition. The salt is a hash of the row, hence the same when a lost
-    task is run again. Small sides are still broadcast when Spark finds them so.
+    ``counts`` may pass ``(keys, _n)``, the rows of ``big`` per key or more, when
+    the caller has them. The way is a hash of the row, so it is the same when a
+    lost task is run again. A stream is joined as it is.
     """
+    if big.isStreaming:
+        return big.join(per_key, list(keys), how)
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    busy = counts.where(F.col("_n") > limit).select(
+        *keys, (whole_div(F.col("_n"), limit) + 1).alias("_ways")
+    )
     hashed = [c for c, kind in big.dtypes if not kind.startswith("map")]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
-    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    split = (
+        big.join(F.broadcast(busy), list(keys), "left")
+        .withColumn("_way", F.coalesce(F.pmod(F.xxhash64(*hashed), F.col("_ways")), F.lit(0)))
+        .drop("_ways")
+    )
+    repeated = (
+        per_key.join(F.broadcast(busy), list(keys), "left")
+        .withColumn("_way", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)))
+        .drop("_ways")
+    )
+    return split.join(repeated, [*keys, "_way"], how).drop("_way")

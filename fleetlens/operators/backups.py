@@ -136,8 +136,10 @@ def resolve_backup(
     one timeline per store and each request looks back along it, so no pairs of
     the two are ever formed.
     """
-    latest = requests.where(F.col("backup") == LATEST)
-    named = requests.where(F.col("backup") != LATEST)
+    stores = backups.groupBy("store").agg(F.lit(True).alias("known_store"))
+    checked = spread_join(requests, stores, ["store"], "left")
+    latest = checked.where(F.col("backup") == LATEST)
+    named = checked.where(F.col("backup") != LATEST)
 
     # At equal times a request comes first, so a backup must be strictly older.
     timeline = latest.select(
@@ -147,32 +149,25 @@ def resolve_backup(
         F.lit(None).cast("string").alias("name"),
         "request_id",
         "backup",
-        "target_time",
+        "known_store",
     ).unionByName(
-        backups.select(
-            "store", F.col("started").alias("at"), F.lit(1).alias("side"), "name"
-        ),
+        backups.select("store", F.col("started").alias("at"), F.lit(1).alias("side"), "name"),
         allowMissingColumns=True,
     )
-    reached = look_back(
-        timeline,
-        ["store"],
-        "at",
-        ["side", "name"],
-        F.col("name"),
-        "resolved",
-        True,
-        limit,
-    ).where(F.col("side") == 0)
-    stores = backups.groupBy("store").agg(F.count(F.lit(1)).alias("n_backups"))
-    by_latest = spread_join(reached, stores, ["store"], "left").select(
-        "request_id",
-        "store",
-        "backup",
-        "resolved",
-        F.when(F.col("n_backups").isNull(), F.lit("no backups"))
-        .when(F.col("resolved").isNull(), F.lit("none before target"))
-        .alias("reason"),
+    by_latest = (
+        look_back(
+            timeline, ["store"], "at", ["side", "name"], F.col("name"), "resolved", True, limit
+        )
+        .where(F.col("side") == 0)
+        .select(
+            "request_id",
+            "store",
+            "backup",
+            "resolved",
+            F.when(F.col("known_store").isNull(), F.lit("no backups"))
+            .when(F.col("resolved").isNull(), F.lit("none before target"))
+            .alias("reason"),
+        )
     )
 
     known = (
@@ -182,13 +177,12 @@ def resolve_backup(
     )
     early = F.col("target_time").isNull() | (F.col("started") < F.col("target_time"))
     asked = named.withColumn("_name", _normal(F.col("backup")))
-    matched = spread_join(asked, known, ["store", "_name"], "left")
-    by_name = spread_join(matched, stores, ["store"], "left").select(
+    by_name = spread_join(asked, known, ["store", "_name"], "left").select(
         "request_id",
         "store",
         "backup",
         F.when(early, F.col("name")).alias("resolved"),
-        F.when(F.col("n_backups").isNull(), F.lit("no backups"))
+        F.when(F.col("known_store").isNull(), F.lit("no backups"))
         .when(F.col("name").isNull(), F.lit("not found"))
         .when(~early, F.lit("not before target"))
         .alias("reason"),

@@ -143,7 +143,7 @@ def role_flags(units: DataFrame) -> DataFrame:
     is_primary = ~F.col("in_recovery")
 
     flagged = (
-        spread_join(named, facts, ["cluster"], "left")
+        spread_join(named, facts, ["cluster"], "left", facts.select("cluster", "_n"))
         .join(allowed, ["cluster", "unit"], "left")
         .withColumn(
             "_known_anointed",
@@ -204,14 +204,15 @@ def missing_rows(
     counts = held.groupBy(*row).agg(F.count(F.lit(1)).alias("_held"))
     members = units.select("cluster", "unit").distinct()
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_units"))
+    bound = master.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
     counted = master.select(*row).distinct().join(counts, row, "left")
     incomplete = (
-        spread_join(counted, sizes, ["cluster"])
+        spread_join(counted, sizes, ["cluster"], counts=bound)
         .where(F.coalesce("_held", F.lit(0)) < F.col("_units"))
         .select(*row)
     )
     return (
-        spread_join(incomplete, members, ["cluster"])
+        spread_join(incomplete, members, ["cluster"], counts=bound)
         .join(held, [*row, "unit"], "left_anti")
         .select("cluster", "unit", *keys)
     )

@@ -48,9 +48,8 @@ def test_top_rows_are_cut_before_the_shuffle(name, spark, small):
     assert "WindowGroupLimit" in plan_of(spark, small, name)
 
 
-def test_busy_keys_cost_nothing_when_there_are_none(spark, small):
-    frame = QUERIES["changes"].frame(spark, small)
-    frame.collect()
-    final = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert final.count("Exchange hashpartitioning") == 1
-    assert "Join" not in final
+@pytest.mark.parametrize("name", ["changes", "status_flags"])
+def test_without_busy_keys_the_plain_window_is_left(name, spark, small):
+    plan = plan_of(spark, small, name)
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan

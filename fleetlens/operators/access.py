@@ -98,111 +98,85 @@ def access_rules(clusters: DataFrame, peers: DataFrame, relations: DataFrame) ->
     ``clusters(cluster, admin_addresses, extra_rules)``;
     ``peers(cluster, unit, number, egress, ingress, private)``;
     ``relations`` = peers' columns plus ``relname, relid`` and the published
-    ``database, user, schema_user``. The order is carried in columns, never by
-    numbering a whole cluster.
+    ``database, user, schema_user``. Each input is read once. The order is carried
+    in columns, never by numbering a whole cluster.
     """
 
-    def rule(*tokens: str | Column) -> Column:
-        return F.concat_ws(" ", *[F.lit(t) if isinstance(t, str) else t for t in tokens])
+    def tokens(*parts: str | Column) -> Column:
+        return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    def emit(df: DataFrame, section: str, rules: Sequence[Column], **order: Column) -> DataFrame:
-        listed = F.array(*[F.struct(F.lit(i).alias("item"), r.alias("rule")) for i, r in enumerate(rules)])
+    def entry(section: str, item: int, rule: Column, pos: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(SECTIONS.index(section)).alias("section"),
+            (F.lit(0) if pos is None else pos).cast("bigint").alias("pos"),
+            F.lit(item).alias("item"),
+            rule.alias("rule"),
+        )
+
+    def numbered(section: str, rules: Column) -> Column:
+        return F.transform(rules, lambda rule, pos: entry(section, 0, rule, pos))
+
+    def emit(df: DataFrame, entries: Column, *known: str) -> DataFrame:
         zero = F.lit(0).cast("bigint")
-        return (
-            df.select(
-                "cluster",
-                F.lit(SECTIONS.index(section)).alias("section"),
-                *[order.get(c, zero).cast("bigint").alias(c) for c in ("relid", "number", "pos")],
-                F.explode(F.filter(listed, lambda r: r["rule"].isNotNull())).alias("_r"),
-            )
-            .select("cluster", "section", "relid", "number", "pos", "_r.item", "_r.rule")
+        order = [(F.col(c).cast("bigint") if c in known else zero).alias(c) for c in ("relid", "number")]
+        return df.select("cluster", *order, F.explode(entries).alias("_e")).select(
+            "cluster", "_e.section", "relid", "number", "_e.pos", "_e.item", "_e.rule"
         )
 
-    placed = {c: F.col(c) for c in ("relid", "number", "pos")}
-    host = quote_ident(F.col("address"))
+    def login(database: str | Column, account: str | Column, address: Column) -> Column:
+        return tokens("host", database, account, quote_ident(address), "md5")
+
+    own = [
+        tokens("local", "all", OWNER_ACCOUNT, "peer", f"map={IDENT_MAP}"),
+        tokens("local", "all", MONITOR_ACCOUNT, "password"),
+        tokens("local", "all", "all", "peer"),
+    ]
+    refuse = [tokens("local", "all", "all", "reject"), tokens("host", "all", "all", "all", "reject")]
+    admins = F.filter(F.split("admin_addresses", ","), lambda a: a != "")
+    by_cluster = F.concat(
+        F.array(*[entry("local", i, r) for i, r in enumerate(own)]),
+        numbered("admin", F.transform(admins, lambda a: login("all", "all", addr_range(a)))),
+        numbered("extra", split_rules(F.col("extra_rules"))),
+        F.array(*[entry("reject", i, r) for i, r in enumerate(refuse)]),
+    )
+
+    address, pos = F.col("address"), F.col("pos")
+    by_peer = F.array(
+        *[
+            entry("peer", i, login(database, REPLICATION_ACCOUNT, address), pos)
+            for i, database in enumerate(("replication", "postgres"))
+        ]
+    )
+
+    relname = F.col("relname")
     database, user, schema_user = (
         quote_ident(F.col(c)) for c in ("database", "user", "schema_user")
     )
 
-    def login(db: str | Column, who: str | Column, needs: Column | None = None) -> Column:
-        line = rule("host", db, who, host, "md5")
-        return line if needs is None else F.when(needs, line)
-
-    by_rel = incoming(relations)
-    has_user = F.col("user").isNotNull()
-
-    def of(relname: str) -> DataFrame:
-        return by_rel.where((F.col("relname") == relname) & has_user)
-
-    sections = [
-        emit(
-            clusters,
-            "local",
-            [
-                rule("local", "all", OWNER_ACCOUNT, "peer", f"map={IDENT_MAP}"),
-                rule("local", "all", MONITOR_ACCOUNT, "password"),
-                rule("local", "all", "all", "peer"),
-            ],
-        ),
-        emit(
-            incoming(peers),
-            "peer",
-            [login("replication", REPLICATION_ACCOUNT), login("postgres", REPLICATION_ACCOUNT)],
-            number=F.col("number"),
-            pos=F.col("pos"),
-        ),
-        emit(
-            of("db"),
-            "db",
-            [
-                login(database, user, F.col("database").isNotNull()),
-                login(
-                    database,
-                    schema_user,
-                    F.col("database").isNotNull() & F.col("schema_user").isNotNull(),
-                ),
-            ],
-            **placed,
-        ),
-        emit(of("db-admin"), "db-admin", [login("all", "all")], **placed),
-        emit(
-            of("master"),
-            "master",
-            [
-                login("replication", user),
-                login(database, user, F.col("database").isNotNull()),
-            ],
-            **placed,
-        ),
-        emit(
-            clusters.select(
-                "cluster",
-                F.posexplode(F.filter(F.split("admin_addresses", ","), lambda a: a != "")).alias(
-                    "pos", "_address"
-                ),
-            ).withColumn("address", addr_range(F.col("_address"))),
-            "admin",
-            [login("all", "all")],
-            pos=F.col("pos"),
-        ),
-        emit(
-            clusters.select(
-                "cluster", F.posexplode(split_rules(F.col("extra_rules"))).alias("pos", "_line")
-            ),
-            "extra",
-            [F.col("_line")],
-            pos=F.col("pos"),
-        ),
-        emit(
-            clusters,
-            "reject",
-            [rule("local", "all", "all", "reject"), rule("host", "all", "all", "all", "reject")],
-        ),
-    ]
-    out = sections[0]
-    for section in sections[1:]:
-        out = out.unionByName(section)
-    return out
+    def for_client(section: str, item: int, rule: Column, *needs: str) -> Column:
+        ready = relname == section
+        for c in needs:
+            ready = ready & F.col(c).isNotNull()
+        return F.when(ready, entry(section, item, rule, pos))
+
+    by_relation = F.array_compact(
+        F.array(
+            for_client("db", 0, login(database, user, address), "database"),
+            for_client("db", 1, login(database, schema_user, address), "database", "schema_user"),
+            for_client("db-admin", 0, login("all", "all", address)),
+            for_client("master", 0, login("replication", user, address)),
+            for_client("master", 1, login(database, user, address), "database"),
+        )
+    )
+    return (
+        emit(clusters, by_cluster)
+        .unionByName(emit(incoming(peers), by_peer, "number"))
+        .unionByName(
+            emit(
+                incoming(relations).where(F.col("user").isNotNull()), by_relation, "relid", "number"
+            )
+        )
+    )
 
 
 def retire_rules(texts: DataFrame, text: str = "text") -> DataFrame:

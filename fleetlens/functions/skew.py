@@ -1,16 +1,24 @@
-"""Joining a large frame to a per-key one when a few keys hold most of its rows."""
+"""Joins and top rows that hold up when a few keys have most of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import whole_div
 
 ROWS_PER_TASK = 5_000_000
 
+# Largest lookup table that is sent to every task.
+LOOKUP_ROWS = 100_000
+
+# Up to this many rows per key Spark itself cuts to the top rows before the
+# shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+SMALL_TOP = 1000
+TOP_WAYS = 64
+
 
 def spread_join(
     big: DataFrame,
@@ -51,3 +59,38 @@ def spread_join(
         .drop("_ways")
     )
     return split.join(repeated, [*keys, "_way"], how).drop("_way")
+
+
+def lookup_join(
+    big: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    max_rows: int = LOOKUP_ROWS,
+) -> DataFrame:
+    """``big`` joined to a lookup table that is broadcast only if it is small.
+
+    Runs a job that counts ``lookup`` up to ``max_rows``. Beyond that the join is
+    ``spread_join``. Either way every row is kept that the join keeps.
+    """
+    if lookup.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(lookup), list(keys), how)
+    return spread_join(big, lookup, keys, how)
+
+
+def top_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, descending: bool = True
+) -> DataFrame:
+    """The first ``n`` rows per key with their number ``_rn``; ``order`` should be unique.
+
+    Each map task keeps only ``n`` rows per key before the shuffle. Where Spark
+    does not do that by itself, for a large ``n``, keys are ranked in parts first.
+    """
+    by = [F.desc(c) if descending else F.asc(c) for c in order]
+    if n > SMALL_TOP:
+        hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
+        parted = df.withColumn("_way", F.pmod(F.xxhash64(*hashed), F.lit(TOP_WAYS)))
+        part = Window.partitionBy(*keys, "_way").orderBy(*by)
+        df = parted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_way", "_rn")
+    whole = Window.partitionBy(*keys).orderBy(*by)
+    return df.withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= n)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.fixed import KEEP_BASE_BACKUPS, KEEP_DUMPS, LATEST, STAMP_FORMAT
 from fleetlens.functions.capture import fits, group, with_groups
 from fleetlens.functions.numbers import age_seconds, whole_div
 from fleetlens.functions.ordered import ROWS_PER_SLICE, look_back
-from fleetlens.functions.skew import spread_join
+from fleetlens.functions.skew import spread_join, top_rows
 
 # Globals stamp; or database, its stamp and a compression ending.
 _NAME = r"^(?:.*/)?(?:globals\.(\d{8}_\d{6})\.sql|([^/]+)\.(\d{8}_\d{6})\.dump(?:\.(gz|bz2|xz))?)$"
@@ -58,12 +58,6 @@ def space_forecast(latest: DataFrame, free: DataFrame) -> DataFrame:
     )
 
 
-def _newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The ``n`` greatest rows per key; Spark prunes to ``n`` in each map task first."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-
-
 def prune_by_run(files: DataFrame, as_of: Column, keep: int = KEEP_DUMPS) -> DataFrame:
     """Files older than the ``keep``-th newest globals dump of their unit.
 
@@ -75,7 +69,7 @@ def prune_by_run(files: DataFrame, as_of: Column, keep: int = KEEP_DUMPS) -> Dat
     runs = files.where(F.col("path").rlike(_GLOBALS)).select("unit", "path", "mtime")
     minutes = whole_div(age_seconds(F.col("mtime"), as_of), 60) + 1
     limit = (
-        _newest(runs, ["unit"], ["path", "mtime"], keep)
+        top_rows(runs, ["unit"], ["path", "mtime"], keep)
         .groupBy("unit")
         .agg(F.max_by(minutes, "_rn").alias("_minutes"))
     )
@@ -99,7 +93,7 @@ def prune_keep_n(
     holding most of the rows is never sorted in one task.
     """
     limit = (
-        _newest(backups.select(key, *order), [key], order, keep)
+        top_rows(backups.select(key, *order), [key], order, keep)
         .where(F.col("_rn") == keep)
         .select(key, F.struct(*order).alias("_limit"))
     )

@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.fixed import LINE_PREFIX, STATUS_STATES
 from fleetlens.functions.capture import fits, group, with_groups
 from fleetlens.functions.ordered import ROWS_PER_SLICE, look_back, previous
-from fleetlens.functions.skew import spread_join
+from fleetlens.functions.skew import lookup_join, top_rows
 
 # What each escape of a line prefix looks like, and the field it fills.
 ESCAPES = {
@@ -70,7 +70,7 @@ def route(lines: DataFrame, routes: DataFrame) -> DataFrame:
 
     ``routes(program, destination)``; a unit's program is its name with ``/`` as ``_``.
     """
-    return spread_join(lines, routes.select("program", "destination").distinct(), ["program"])
+    return lookup_join(lines, routes.select("program", "destination").distinct(), ["program"])
 
 
 def program_of(unit: Column) -> Column:
@@ -78,9 +78,8 @@ def program_of(unit: Column) -> Column:
 
 
 def tail(df: DataFrame, n: int = 100, key: str = "program", order: Sequence[str] = ("event_id",)) -> DataFrame:
-    """Last ``n`` rows per log. Each map task keeps only ``n`` per log before the shuffle."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    """Last ``n`` rows per log."""
+    return top_rows(df, [key], order, n).drop("_rn")
 
 
 def changes(

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import lsn_bytes
 from fleetlens.functions.ordered import ROWS_PER_SLICE, previous
 from fleetlens.functions.parts import by_number, joined_parts
-from fleetlens.functions.skew import spread_join
+from fleetlens.functions.skew import spread_join, top_rows
 
 
 def lag_bytes(standbys: DataFrame, masters: DataFrame) -> DataFrame:
@@ -224,12 +224,9 @@ def discover_leader(units: DataFrame) -> DataFrame:
     The recorded leader, else the first other unit publishing ``master``, else
     the unit itself. Two candidates per cluster suffice: a unit skips itself.
     """
-    w = Window.partitionBy("cluster").orderBy("number", "unit")
+    publishing = units.where(F.col("state") == "master").select("cluster", "unit", "number")
     top = (
-        units.where(F.col("state") == "master")
-        .select("cluster", "unit", "number")
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= 2)
+        top_rows(publishing, ["cluster"], ["number", "unit"], 2, descending=False)
         .groupBy("cluster")
         .agg(
             F.max(F.when(F.col("_rn") == 1, F.col("unit"))).alias("_first"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.ordered import look_back, previous, slice_busy_keys
 from fleetlens.functions.parts import by_network, by_number, joined_parts
-from fleetlens.functions.skew import spread_join
+from fleetlens.functions import skew
+from fleetlens.functions.skew import lookup_join, spread_join, top_rows
 from fleetlens.operators.sessions import idle_runs
 
 START = dt.datetime(2024, 1, 1)
@@ -133,3 +134,21 @@ def test_large_address_lists_are_cut_by_network(frame):
     parts = got.collect()
     assert {r.part for r in parts} == {f"10.{i}.0." for i in range(6)}
     assert sorted(a for r in parts for a in r.text.split(",")) == sorted(addresses)
+
+
+@pytest.mark.parametrize("max_rows", [1, 100])
+def test_lookups_are_broadcast_only_while_small(history, frame, max_rows):
+    side = frame([("busy", 1), ("k1", 3)], "k string, x int")
+    got = lookup_join(history, side, ["k"], "left", max_rows)
+    want = history.join(side, ["k"], "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("small_top", [1, 1000])
+def test_top_rows(history, monkeypatch, small_top):
+    monkeypatch.setattr(skew, "SMALL_TOP", small_top)
+    w = Window.partitionBy("k").orderBy(F.desc("ts"), F.desc("id"))
+    want = history.withColumn("_rn", F.row_number().over(w)).where("_rn <= 7")
+    got = top_rows(history, ["k"], ["ts", "id"], 7)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -35,6 +35,9 @@ def build(app: str = "fleetlens", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's shared ``spark.checkpoint.dir``.
 
@@ -43,8 +46,11 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="fleetlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = context.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="fleetlens-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

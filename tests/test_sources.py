@@ -106,14 +106,24 @@ def test_export_options(frame):
         sinks.export(df, "/nowhere", "datname", "s", "xz")
 
 
-def test_work_folder_uses_the_shared_setting(spark):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", "/shared/place/")
-        assert work_folder(spark, "x").startswith("/shared/place/x-")
-        assert work_folder(spark, "x") != work_folder(spark, "x")
-    finally:
-        if old is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", old)
+class Session:
+    """Just enough of a session to ask for a folder."""
+
+    def __init__(self, master, shared):
+        self.conf = {"spark.checkpoint.dir": shared}
+        self.sparkContext = self
+        self.master, self.applicationId = master, f"app-{master}"
+
+
+def test_work_folder_uses_the_shared_setting():
+    shared = Session("spark://x:1", "/shared/place/")
+    assert work_folder(shared, "x").startswith("/shared/place/x-")
+    assert work_folder(shared, "x") != work_folder(shared, "x")
+
+
+def test_work_folder_is_local_only_for_local_sessions():
+    local = Session("local[2]", None)
+    first, second = work_folder(local, "x"), work_folder(local, "y")
+    assert first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(Session("spark://x:1", None), "x")

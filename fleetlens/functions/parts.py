@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.numbers import whole_div
 from fleetlens.functions.skew import spread_join
 
-PART_LIMIT = 1000
+PART_LIMIT = 10_000
 
 
 def by_number(number: Column, limit: int = PART_LIMIT) -> Column:

@@ -120,7 +120,7 @@ def test_large_groups_come_in_parts(frame):
         [("big", i, f"u/{i}") for i in range(2500)] + [("small", 2, "s/2"), ("small", 10, "s/10"), ("small", 2, "s/2")],
         "g string, number bigint, unit string",
     )
-    got = joined_parts(rows, ["g"], ["number", "unit"], "unit", "text", " ", by_number(F.col("number")))
+    got = joined_parts(rows, ["g"], ["number", "unit"], "unit", "text", " ", by_number(F.col("number"), 1000), 1000)
     parts = {(r.g, r.part): r for r in got.collect()}
     assert parts[("small", "")].text == "s/2 s/10"
     big = [parts[k].text for k in sorted(parts) if k[0] == "big"]
@@ -130,7 +130,7 @@ def test_large_groups_come_in_parts(frame):
 def test_large_address_lists_are_cut_by_network(frame):
     addresses = [f"10.{i // 250}.0.{i % 250}/32" for i in range(1500)]
     rows = frame([("g", a) for a in addresses], "g string, address string")
-    got = joined_parts(rows, ["g"], ["address"], "address", "text", ",", by_network(F.col("address")))
+    got = joined_parts(rows, ["g"], ["address"], "address", "text", ",", by_network(F.col("address")), 1000)
     parts = got.collect()
     assert {r.part for r in parts} == {f"10.{i}.0." for i in range(6)}
     assert sorted(a for r in parts for a in r.text.split(",")) == sorted(addresses)

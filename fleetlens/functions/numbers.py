@@ -55,7 +55,7 @@ def lsn_bytes(position: Column, legacy: bool = True) -> Column:
 def version_parts(version: Column) -> Column:
     """Numeric parts of a version, comparable element by element."""
     return F.transform(
-        F.regexp_extract_all(version, F.lit(r"(\d+)"), 1), lambda part: part.cast("int")
+        F.regexp_extract_all(version, F.lit(r"(\d+)"), 1), lambda part: part.try_cast("int")
     )
 
 

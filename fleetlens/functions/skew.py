@@ -47,7 +47,7 @@ def spread_join(
     busy = counts.where(F.col("_n") > limit).select(
         *keys, (whole_div(F.col("_n"), limit) + 1).alias("_ways")
     )
-    hashed = [c for c, kind in big.dtypes if not kind.startswith("map")]
+    hashed = [c for c, kind in big.dtypes if "map<" not in kind]
     split = (
         big.join(F.broadcast(busy), list(keys), "left")
         .withColumn("_way", F.coalesce(F.pmod(F.xxhash64(*hashed), F.col("_ways")), F.lit(0)))
@@ -88,7 +88,7 @@ def top_rows(
     """
     by = [F.desc(c) if descending else F.asc(c) for c in order]
     if n > SMALL_TOP:
-        hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
+        hashed = [c for c, kind in df.dtypes if "map<" not in kind]
         parted = df.withColumn("_way", F.pmod(F.xxhash64(*hashed), F.lit(TOP_WAYS)))
         part = Window.partitionBy(*keys, "_way").orderBy(*by)
         df = parted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_way", "_rn")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from fleetlens.fixed import GAUGE_PREFIX
 from fleetlens.functions.ordered import ROWS_PER_SLICE
 from fleetlens.operators.events import changes, route
-from fleetlens.operators.metrics import sample
+from fleetlens.operators.metrics import gauge_lines, sample
 from fleetlens.operators.sessions import last_states
 
 
@@ -24,6 +26,21 @@ def sample_stream(
     return sample(timed, every, ts=ts, tie=tie)
 
 
+def write_gauge_stream(
+    gauges: DataFrame,
+    path: str,
+    checkpoint: str,
+    prefix: str = GAUGE_PREFIX,
+    unit_col: str | None = None,
+    **trigger: str | bool,
+) -> StreamingQuery:
+    """Start writing gauge lines as text files; ``trigger`` is that of ``writeStream``."""
+    writer = gauge_lines(gauges, prefix, unit_col).writeStream.format("text")
+    if trigger:
+        writer = writer.trigger(**trigger)
+    return writer.option("path", path).option("checkpointLocation", checkpoint).start()
+
+
 def idle_stream(activity: DataFrame, gap_s: int, delay: str = "1 minute") -> DataFrame:
     """Users whose activity went quiet for ``gap_s`` while idle in a transaction.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import events, metrics, sessions
 from fleetlens.plans.adapters import Tables
 from fleetlens.session import work_folder
-from fleetlens.streaming.jobs import ChangeLog, idle_stream, route_stream, sample_stream
+from fleetlens.streaming.jobs import ChangeLog, idle_stream, route_stream, sample_stream, write_gauge_stream
 from fleetlens.streaming.run import drain, read_folder
 
 
@@ -85,6 +85,16 @@ def test_routes(spark, tables, split_events):
     assert text(got) == text(events.route(tables["logs"], tables["routes"]))
 
 
+def test_gauge_lines_as_files(spark, tables, split_events, tmp_path):
+    stream = tables.adapt("gauges", events=read_folder(spark, split_events, max_files=1))
+    out = str(tmp_path / "lines")
+    write_gauge_stream(
+        stream, out, str(tmp_path / "checkpoint"), prefix="p", availableNow=True
+    ).awaitTermination()
+    lines = metrics.gauge_lines(tables["gauges"], prefix="p")
+    assert text(spark.read.text(out)) == text(lines.withColumnRenamed("line", "value"))
+
+
 def test_trigger_limits_reach_the_source(spark, split_events):
     stream = read_folder(spark, split_events, max_bytes="1m")
     assert stream.isStreaming

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm import bpe
 from fleetlens.llm.common import table
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.simhash import near_dedup
@@ -38,3 +40,8 @@ FROM hashed WINDOW w AS (PARTITION BY text_sha256)
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(table(spark, folder, "documents"))
+
+
+@query
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

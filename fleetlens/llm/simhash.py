@@ -139,7 +139,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         low.join(joined, low.fp == joined.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")),
         "simhash-roots",
     )
-    smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    smallest = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-smallest")
     per_print = written(named.join(smallest, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(per_print, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

@@ -11,6 +11,7 @@ from fleetlens.llm import bpe
 from fleetlens.llm.common import table
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.simhash import near_dedup
+from fleetlens.llm.token_counts import token_counts
 
 TEXT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))

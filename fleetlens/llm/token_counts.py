@@ -13,7 +13,7 @@ from fleetlens.llm.common import Texts, map_texts, record, slim
 from fleetlens.llm.splitter import piece_starts, valid
 
 CHUNK = 512  # bytes of a chunk
-MOST_STATES = 1 << 17  # states a worker holds; then it forgets them and starts over
+MOST_STATES = 1 << 18  # states a worker holds; then it forgets them and starts over
 MOST_PAIRS = 1 << 20  # remembered answers about pairs of tokens
 
 UNKNOWN, START = 0, 1  # states: not yet known, and at a piece's first byte
@@ -66,13 +66,26 @@ class CountingTransducer:
                 node = child
             self.ends[node] = i
         self.may: dict[tuple[int, int], bool] = {}
+        self.width = 64  # columns of the table, one for each byte met so far
+        self.column = np.zeros(256, np.int64)
+        self.byte_of: list[int] = []
         self.forget()
 
     def forget(self) -> None:
         self.names = {(): UNKNOWN, ((0, -1, 0),): START}
         self.states: list[tuple] = [(), ((0, -1, 0),)]
-        self.table = np.full((1 << 12) * 256, -1, np.int32)
-        self.table[:256] = UNKNOWN << GAIN_BITS | GAIN_ZERO
+        self.table = np.full((1 << 12) * self.width, -1, np.int32)
+        self.table[: self.width] = UNKNOWN << GAIN_BITS | GAIN_ZERO
+
+    def meet(self, data: np.ndarray) -> None:
+        """Give each byte that is new a column."""
+        for byte in np.flatnonzero(np.bincount(data, minlength=256)).tolist():
+            if byte not in self.byte_of:
+                self.column[byte] = len(self.byte_of)
+                self.byte_of.append(byte)
+        if len(self.byte_of) > self.width:
+            self.width = min(256, 2 * len(self.byte_of))
+            self.forget()
 
     def merge(self, parts: list[int]) -> list[int]:
         """The plain rule, for single bytes: join the neighbours of lowest rank, leftmost first."""
@@ -99,9 +112,9 @@ class CountingTransducer:
         return known
 
     def make(self, key: int) -> None:
-        """The transition at ``key``, a state times 256 plus a byte."""
-        byte, won, rest = key & 255, None, []
-        for node, last, held in self.states[key >> 8]:  # the longest first
+        """The transition at ``key``, a state times ``width`` plus a byte's column."""
+        byte, won, rest = self.byte_of[key % self.width], None, []
+        for node, last, held in self.states[key // self.width]:  # the longest first
             child = self.trie.get(node << 8 | byte)
             if child is None:
                 continue
@@ -116,13 +129,13 @@ class CountingTransducer:
         if state is None:
             state = self.names[name] = len(self.states)
             self.states.append(name)
-            if state * 256 >= len(self.table):
+            if state * self.width >= len(self.table):
                 self.table = np.concatenate([self.table, np.full(len(self.table), -1, np.int32)])
         self.table[key] = state << GAIN_BITS | (gain + GAIN_ZERO)
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All transitions at once: states after, and changes of the counts."""
-        keys = states * 256 + symbols
+        keys = states * self.width + symbols
         to = self.table[keys]
         if to.min(initial=0) < 0:
             for key in np.unique(keys[to < 0]).tolist():
@@ -143,7 +156,7 @@ class CountingTransducer:
         n = len(data)
         chunks = -(-n // CHUNK)
         padded = np.zeros(chunks * CHUNK, np.int64)
-        padded[:n] = data
+        padded[:n] = self.column[data]
         begins = np.zeros(chunks * CHUNK, bool)
         begins[starts] = True
         begins[n:] = True
@@ -179,6 +192,7 @@ class CountingTransducer:
             return np.zeros(len(texts), np.int64)
         if len(self.states) > MOST_STATES:
             self.forget()
+        self.meet(data)
         upto = np.concatenate([[0], np.cumsum(self.changes(data, piece_starts(data, starts, text)), dtype=np.int64)])
         return upto[starts[1:]] - upto[starts[:-1]]
 

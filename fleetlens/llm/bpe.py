@@ -5,18 +5,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Callable
+from functools import cache
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from fleetlens.llm.common import Texts, map_texts, record, slim
+from fleetlens.llm.splitter import piece_starts, valid
 
-CACHE_ENTRIES = 300_000  # pre-tokens whose ids a worker remembers; then it starts over
-CACHED_BYTES = 256  # longer pre-tokens are encoded each time
+CACHE_ENTRIES = 1 << 19  # pre-tokens whose ids a worker remembers; then it starts over
+CACHED_BYTES = 64  # longer pre-tokens are encoded each time
 
 
 class RankQueue:
@@ -70,6 +69,9 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.queue = RankQueue(self.size)
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -129,99 +131,104 @@ class Vocabulary:
             i = after[i]
         return ids
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens one after the other, and where each token's bytes end."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.offsets[ids] - ends + sizes, sizes) + np.arange(total)], ends
 
 
 class Encoder(dict):
-    """Packed ids of each pre-token by its text; computes and remembers those it has not seen."""
+    """Packed ids of each pre-token by its bytes; computes and remembers those it has not seen."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.pieces = vocabulary, regex.compile(pattern).findall
+        self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        packed = array("I", self.vocabulary.encode_piece(raw)).tobytes()
-        if len(raw) <= CACHED_BYTES:
+    def __missing__(self, piece: bytes) -> bytes:
+        packed = array("I", self.vocabulary.encode_piece(piece)).tobytes()
+        if len(piece) <= CACHED_BYTES:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[piece] = packed
         return packed
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), "<u4")
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids start."""
+        data, starts, text = valid(texts)
+        cuts = piece_starts(data, starts, text)
+        raw, places = data.tobytes(), [*cuts.tolist(), len(data)]
+        packed = [self[raw[a:b]] for a, b in zip(places, places[1:], strict=False)]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return np.frombuffer(b"".join(packed), "<u4"), upto[np.searchsorted(cuts, starts)]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, pattern: str) -> Encoder:
+@cache
+def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary file, which every machine has."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(Vocabulary.read(path), pattern)
-    return _ENCODERS[path, pattern]
-
-
-def _over_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[Texts, Encoder], pa.RecordBatch],
-                path: str, pattern: str) -> DataFrame:
-    frame = slim(docs, id_col, text_col)
-    return map_texts(frame, schema.format(frame.schema["id"].dataType.simpleString()), lambda t: make(t, encoder(path, pattern)))
+    return Encoder(Vocabulary.read(path))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-           pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids)``: the ids of each whole text, special strings read as ordinary text.
 
-    ``path`` is a file of ranks, one base64 token and its rank to a line. Each match of
-    ``pattern`` is encoded for itself. A null or empty text has no ids. Rows are handled
-    one by one, so repeated rows come out repeated; other columns are not looked at.
+    ``path`` is a file of ranks, one base64 token and its rank to a line. Text is split
+    by the pattern usual for such vocabularies, and each match is encoded for itself. A
+    null or empty text has no ids. Rows are handled one by one, so repeated rows come out
+    repeated; other columns are not looked at.
     """
 
-    def make(texts: Texts, known: Encoder) -> pa.RecordBatch:
-        made = [known.encode(t.decode("utf-8", "replace")) for t in texts.each()]
-        ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-        values = np.concatenate([*made, np.zeros(0, np.uint32)]).astype(np.int32)
-        return record(id=texts.ids, ids=pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+    def work(texts: Texts) -> pa.RecordBatch:
+        ids, starts = encoder(path).encode(texts)
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
+        return record(id=texts.ids, ids=lists)
 
-    return _over_texts(docs, id_col, text_col, "id {}, ids array<int>", make, path, pattern).withColumnRenamed("id", id_col)
+    frame = slim(docs, id_col, text_col)
+    kind = frame.schema["id"].dataType.simpleString()
+    return map_texts(frame, f"id {kind}, ids array<int>", work).withColumnRenamed("id", id_col)
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(id_col, bytes)``: the bytes that the ids of each row stand for. Null ids give none."""
 
     def run(batches):
-        vocabulary = encoder(path, public_tokenizers.PATTERN).vocabulary
+        vocabulary = encoder(path).vocabulary
         for batch in batches:
-            raw = [vocabulary.decode(np.asarray(ids or [], np.int64)) for ids in batch.column("ids").to_pylist()]
+            raw = [vocabulary.decode(np.array(ids or [], np.int64))[0].tobytes() for ids in batch.column("ids").to_pylist()]
             yield record(id=batch.column("id"), bytes=pa.array(raw, pa.binary()))
 
     frame = coded.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids")
-    schema = f"id {frame.schema['id'].dataType.simpleString()}, bytes binary"
-    return frame.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    kind = frame.schema["id"].dataType.simpleString()
+    return frame.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-               pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_tokens, ids_sha256, decoded_sha256)`` of each text encoded and decoded again.
 
     As ``encode`` and ``decode`` would give them, without sending ids through the JVM
-    between the two: ids hash as little-endian unsigned 32-bit numbers.
+    between the two: ids hash as little-endian unsigned 32-bit numbers. Null and empty
+    texts have no tokens and the digests of nothing.
     """
 
-    def make(texts: Texts, known: Encoder) -> pa.RecordBatch:
-        counts, ids_digest, text_digest = [], [], []
-        for raw in texts.each():
-            ids = known.encode(raw.decode("utf-8", "replace"))
-            counts.append(len(ids))
-            ids_digest.append(hashlib.sha256(ids.tobytes()).hexdigest())
-            text_digest.append(hashlib.sha256(known.vocabulary.decode(ids)).hexdigest())
+    def digests(values: np.ndarray, cuts: list[int]) -> pa.Array:
+        raw = memoryview(np.ascontiguousarray(values).view(np.uint8))
+        return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)], pa.string())
+
+    def work(texts: Texts) -> pa.RecordBatch:
+        known = encoder(path)
+        ids, starts = known.encode(texts)
+        back, ends = known.vocabulary.decode(ids)
+        cuts = np.concatenate([[0], ends])[starts]
         return record(
             id=texts.ids,
-            n_tokens=pa.array(counts, pa.int64()),
-            ids_sha256=pa.array(ids_digest, pa.string()),
-            decoded_sha256=pa.array(text_digest, pa.string()),
+            n_tokens=np.diff(starts),
+            ids_sha256=digests(ids, (starts * 4).tolist()),
+            decoded_sha256=digests(back, cuts.tolist()),
         )
 
-    schema = "id {}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _over_texts(docs, id_col, text_col, schema, make, path, pattern).withColumnRenamed("id", id_col)
+    frame = slim(docs, id_col, text_col)
+    kind = frame.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_texts(frame, schema, work).withColumnRenamed("id", id_col)

@@ -22,10 +22,10 @@ def components(links: DataFrame) -> DataFrame:
     tables = []
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).select(F.col("a").alias("node"), "to")
+        to = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("goal")).select(F.col("a").alias("node"), "goal")
         to = _ends(written(to, "hooks"))
         tables.append(to)
-        ends = to.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+        ends = to.select(F.col("node").alias("_n"), F.col("goal").alias("_t"))
         moved = (
             links.join(ends, links.a == ends._n)
             .select(F.col("_t").alias("a"), "b")
@@ -39,18 +39,18 @@ def components(links: DataFrame) -> DataFrame:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     def then(first: DataFrame, second: DataFrame) -> DataFrame:
-        second = second.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
-        return first.join(second, first.to == second._n, "left").select("node", F.coalesce("_t", "to").alias("to"))
+        second = second.select(F.col("node").alias("_n"), F.col("goal").alias("_t"))
+        return first.join(second, first.goal == second._n, "left").select("node", F.coalesce("_t", "goal").alias("goal"))
 
-    return reduce(then, tables).withColumnRenamed("to", "root")
+    return reduce(then, tables).withColumnRenamed("goal", "root")
 
 
 def _ends(to: DataFrame) -> DataFrame:
-    """Follow ``node -> to`` until nothing changes, twice as far each time."""
+    """Follow ``node -> goal`` until nothing changes, twice as far each time."""
     while True:
-        next_ = to.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+        next_ = to.select(F.col("node").alias("_n"), F.col("goal").alias("_t"))
         far = written(
-            to.join(next_, to.to == next_._n).select("node", F.col("_t").alias("to"), (F.col("_t") != F.col("to")).alias("moved")),
+            to.join(next_, to.goal == next_._n).select("node", F.col("_t").alias("goal"), (F.col("_t") != F.col("goal")).alias("moved")),
             "hooks",
         )
         still = not far.where("moved").isEmpty()

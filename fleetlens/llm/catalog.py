@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe
-from fleetlens.llm.common import table
+from fleetlens.llm import bpe, ppm
+from fleetlens.llm.common import part_of, table
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.simhash import near_dedup
 from fleetlens.llm.token_counts import token_counts
@@ -51,3 +51,8 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score(table(spark, folder, "documents"), part_of("doc_id", 5) == 1)

@@ -42,9 +42,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, by fixed names, whatever other columns there are."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def slim(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
+    """Only the id, the text and ``more``, by fixed names, whatever other columns there are."""
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.col(text_col).cast("string").alias("text"),
+        *[column.alias(name) for name, column in more.items()],
+    )
+
+
+def part_of(id_col: str, parts: int) -> Column:
+    """The CRC-32 of the id as text, modulo ``parts``."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
 class Texts:

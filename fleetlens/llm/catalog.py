@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, ppm
+from fleetlens.llm import bpe, ppm, quality, toxicity
 from fleetlens.llm.common import part_of, table
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.simhash import near_dedup
@@ -27,6 +27,12 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.judged(docs, labels, part_of("doc_id", 4) == 2, 0.3)
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
@@ -48,6 +54,12 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(table(spark, folder, "documents"))
 
 
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.judged(docs, labels, part_of("doc_id", 4) == 2, 0.7)
+
+
 @query
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

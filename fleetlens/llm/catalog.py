@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.llm import bpe, ppm, quality, toxicity
 from fleetlens.llm.common import part_of, table
 from fleetlens.llm.exact_dedup import exact_dedup
+from fleetlens.llm.line_dedup import line_dedup
 from fleetlens.llm.simhash import near_dedup
 from fleetlens.llm.token_counts import token_counts
 
@@ -68,3 +69,8 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score(table(spark, folder, "documents"), part_of("doc_id", 5) == 1)
+
+
+@query
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup(table(spark, folder, "documents"))

@@ -5,24 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.bloom import mark_repeated
 from fleetlens.llm.common import ways, written
 
-BLOCK_BITS = 32_768  # one block of the filter: 4 KB
-ROW_BITS = 16  # bits of the filter per row ...
-MOST_BLOCKS = 32_768  # ... up to 128 MB, the most that is ever sent to every task
-
 
 def normalised(text: Column) -> Column:
     """Each run of blanks as one space; a null as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _bit(bits: Column, place: Column) -> Column:
-    """Whether bit ``place`` of a bitmap is set (bit 0 is the lowest of the first byte)."""
-    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``(id_col, keep_id, group_size, kept, text_sha256)``.
 
@@ -43,25 +34,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("h")),
         "exact-hashes",
     )
-    blocks = max(1, min(MOST_BLOCKS, rows.count() * ROW_BITS // BLOCK_BITS + 1))
-    placed = rows.select(
-        "id",
-        "h",
-        F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block"),
-        F.pmod(F.xxhash64("h", F.lit(1)), F.lit(BLOCK_BITS)).alias("p"),
-        F.pmod(F.xxhash64("h", F.lit(2)), F.lit(BLOCK_BITS)).alias("q"),
-    )
-    repeated = (
-        placed.select("block", F.explode(F.array_distinct(F.array("p", "q"))).alias("place"))
-        .groupBy("block", "place")
-        .count()
-        .where("count > 1")
-    )
-    bitmap = repeated.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
-    # At most MOST_BLOCKS rows of 4 KB.
-    tested = placed.join(F.broadcast(bitmap), "block", "left").select(
-        "id", "h", (F.col("bits").isNotNull() & _bit(F.col("bits"), F.col("p")) & _bit(F.col("bits"), F.col("q"))).alias("maybe")
-    )
+    tested = mark_repeated(rows, "h")
     alone = tested.where("not maybe").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "h"
     )

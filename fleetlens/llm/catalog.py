@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.llm import bpe, ppm, quality, toxicity
 from fleetlens.llm.common import part_of, table
+from fleetlens.llm.decontaminate import decontaminate
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.line_dedup import line_dedup
 from fleetlens.llm.simhash import near_dedup
@@ -28,6 +29,43 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+@query
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op2_decontaminate"] = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+    FROM documents
+), item AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+), sized AS (SELECT item_id, words, least(len(words), 13) AS n FROM item WHERE len(words) > 0
+), place AS (SELECT *, unnest(generate_series(1, len(words) - n + 1)) AS s FROM sized
+), want AS (SELECT DISTINCT item_id, n, array_to_string(words[s:s + n - 1], ' ') AS w FROM place
+), spot AS (
+    SELECT doc_id, n, words, unnest(generate_series(1, len(words) - n + 1)) AS s
+    FROM doc CROSS JOIN (SELECT DISTINCT n FROM want)
+), hit AS (
+    SELECT doc_id, s, spot.n, item_id FROM spot JOIN want
+    ON spot.n = want.n AND array_to_string(words[s:s + spot.n - 1], ' ') = want.w
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY doc_id
+), held AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
 @query
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, ppm, quality, toxicity
+from fleetlens.llm import bpe, ppm, quality, toxicity, warc
 from fleetlens.llm.common import part_of, table
 from fleetlens.llm.decontaminate import decontaminate
 from fleetlens.llm.exact_dedup import exact_dedup
@@ -88,6 +88,24 @@ FROM hashed WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archived(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op5_warc"] = """
+WITH page AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), named AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM page)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM named
+"""
+
+
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(table(spark, folder, "documents"))

@@ -85,19 +85,21 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[Texts]:
-    """Batches with columns ``id`` and ``text`` cut so that each has about ``limit`` bytes of text."""
+def small_batches(
+    batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES, id_col: str = "id", text_col: str = "text"
+) -> Iterator[Texts]:
+    """Batches cut so that each has about ``limit`` bytes of text."""
     for batch in batches:
         n, at = batch.num_rows, 0
         if not n:
             continue
-        _, starts = _bytes_of(batch.column("text"))
+        _, starts = _bytes_of(batch.column(text_col))
         while at < n:
             end = max(at + 1, int(np.searchsorted(starts, starts[at] + limit, "right")) - 1)
             end = min(end, n)
             part = batch.slice(at, end - at)
-            data, own = _bytes_of(part.column("text"))
-            yield Texts(part.column("id"), data, own, part)
+            data, own = _bytes_of(part.column(text_col))
+            yield Texts(part.column(id_col), data, own, part)
             at = end
 
 

@@ -163,23 +163,8 @@ def _deletions(linked: DataFrame, kind: str) -> DataFrame:
     return near.mapInArrow(run, f"id {kind}, gone array<int>").where(F.size("gone") > 0)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``(id_col, text, n_words, n_removed, n_blocks)``.
-
-    ``text`` is what is left of the document. Lines, long ones in pieces of about
-    ``PIECE`` words, are looked up by hash. A document is aligned with each earlier one
-    (smaller id) that is the first to have one of its lines: the rarest links there are,
-    one per line and document, however many documents share the line. So no frequent
-    line has to be left out, and no two documents are paired for a line that an earlier
-    one has. Alignment is by patience diff over the lines they share. Of the lines
-    aligned with earlier documents, runs of ``LEAST_WORDS`` words or more go, if one
-    earlier document has ``LEAST_BLOCK`` of the words in a row. The first document that
-    has a line always keeps it.
-
-    A null text stays null, an empty one empty. Rows with a null id are not compared and
-    stay as they are. Rows repeated with one id are one document. Of other columns none
-    is looked at.
-    """
+def _gone(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(_id, _gone)``: the pieces to delete from each document that has any."""
     frame = slim(docs, id_col, text_col)
     kind = frame.schema["id"].dataType.simpleString()
 
@@ -205,29 +190,78 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Both sides are plain tables, so that adaptive execution can split a frequent line.
     linked = pieces.join(first, "key").where("source < id").select("id", "source", "number", "at_source", "words")
     gone = written(_deletions(linked, kind), "line-deletions")
+    return gone.withColumnsRenamed({"id": "_id", "gone": "_gone"})
+
+
+class Shortened:
+    """What is left of some texts without the pieces in their rows' ``_gone``."""
+
+    def __init__(self, texts: Texts, text_col: str):
+        p, raw = Pieces(texts), texts.data.tobytes()
+        self.n_words = np.bincount(p.doc, p.words, len(texts)).astype(np.int64)
+        self.text, self.n_removed, self.n_blocks = [], [], []
+        nulls = texts.rows.column(text_col).is_null().to_pylist()
+        for i, row in enumerate(texts.rows.column("_gone").to_pylist()):
+            numbers = p.first_of[i] + np.array(sorted(set(row or [])), np.int64)
+            parts, at = [], int(texts.starts[i])
+            for j in numbers.tolist():
+                parts.append(raw[at : int(p.begin[j])])
+                at = int(p.end[j])
+            parts.append(raw[at : int(texts.starts[i + 1])])
+            self.text.append(None if nulls[i] else b"".join(parts).decode("utf-8", "replace"))
+            self.n_removed.append(int(p.words[numbers].sum()))
+            self.n_blocks.append(int((np.diff(numbers, prepend=-9) > 1).sum()))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``(id_col, text, n_words, n_removed, n_blocks)``.
 
-    def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``text`` is what is left of the document. Lines, long ones in pieces of about
+    ``PIECE`` words, are looked up by hash. A document is aligned with each earlier one
+    (smaller id) that is the first to have one of its lines: the rarest links there are,
+    one per line and document, however many documents share the line. So no frequent
+    line has to be left out, and no two documents are paired for a line that an earlier
+    one has. Alignment is by patience diff over the lines they share. Of the lines
+    aligned with earlier documents, runs of ``LEAST_WORDS`` words or more go, if one
+    earlier document has ``LEAST_BLOCK`` of the words in a row. The first document that
+    has a line always keeps it.
+
+    A null text stays null, an empty one empty. Rows with a null id are not compared and
+    stay as they are. Rows repeated with one id are one document. Of other columns none
+    is looked at.
+    """
+    frame = slim(docs, id_col, text_col)
+    kind = frame.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in small_batches(batches):
-            p, lists = Pieces(texts), texts.rows.column("gone").to_pylist()
-            raw, kept, removed, blocks = texts.data.tobytes(), [], [], []
-            for i, (row, text) in enumerate(zip(lists, texts.rows.column("text").is_null().to_pylist(), strict=True)):
-                a, b = int(texts.starts[i]), int(texts.starts[i + 1])
-                numbers = p.first_of[i] + np.array(sorted(set(row or [])), np.int64)
-                parts, at = [], a
-                for j in numbers.tolist():
-                    parts.append(raw[at : int(p.begin[j])])
-                    at = int(p.end[j])
-                parts.append(raw[at:b])
-                kept.append(None if text else b"".join(parts).decode("utf-8", "replace"))
-                removed.append(int(p.words[numbers].sum()))
-                blocks.append(int((np.diff(numbers, prepend=-9) > 1).sum()))
+            left = Shortened(texts, "text")
             yield record(
                 id=texts.ids,
-                text=pa.array(kept, pa.string()),
-                n_words=np.bincount(p.doc, p.words, len(texts)).astype(np.int64),
-                n_removed=pa.array(removed, pa.int64()),
-                n_blocks=pa.array(blocks, pa.int64()),
+                text=pa.array(left.text, pa.string()),
+                n_words=left.n_words,
+                n_removed=pa.array(left.n_removed, pa.int64()),
+                n_blocks=pa.array(left.n_blocks, pa.int64()),
             )
 
+    joined = frame.join(_gone(docs, id_col, text_col), F.col("id") == F.col("_id"), "left").drop("_id")
     schema = f"id {kind}, text string, n_words long, n_removed long, n_blocks long"
-    return frame.join(gone, "id", "left").mapInArrow(rebuild, schema).withColumnsRenamed({"id": id_col, "text": text_col})
+    return joined.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "text": text_col})
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns and what ``line_dedup`` leaves of the text.
+
+    Documents of which nothing but blanks is left are dropped; those that had nothing before stay.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in small_batches(batches, id_col=id_col, text_col=text_col):
+            left = Shortened(texts, text_col)
+            rows = texts.rows.drop_columns("_gone")
+            rows = rows.set_column(rows.schema.get_field_index(text_col), text_col, pa.array(left.text, pa.string()))
+            kept = [not n or bool(t.strip()) for n, t in zip(left.n_removed, left.text, strict=True)]
+            yield rows.filter(pa.array(kept, pa.bool_()))
+
+    joined = docs.join(_gone(docs, id_col, text_col), docs[id_col] == F.col("_id"), "left").drop("_id")
+    return joined.mapInArrow(run, docs.schema)

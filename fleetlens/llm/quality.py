@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import Texts, map_texts, record, slim
+from fleetlens.llm.common import Texts, map_texts, record, slim, small_batches
 from fleetlens.llm.training import Adam, Sample, labelled_sample, prior_shift, sigmoid
 
 CHUNK = 512  # bytes of a chunk ...
@@ -172,6 +174,20 @@ def score(docs: DataFrame, network: ByteNetwork, id_col: str = "doc_id", text_co
     return map_texts(frame, f"id {kind}, score double", work).withColumnRenamed("id", id_col)
 
 
+def keep_good(
+    docs: DataFrame, network: ByteNetwork, least: float, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in small_batches(batches, id_col=id_col, text_col=text_col):
+            scores = sigmoid(sent.value.logits(texts.data, texts.starts).astype(np.float64))
+            yield texts.rows.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judged(docs: DataFrame, labels: DataFrame, held_out: Column, least: float) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` with a network fitted on the labels not held out."""
     scored = score(docs, fitted(docs, labels, held_out))

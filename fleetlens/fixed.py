@@ -65,6 +65,13 @@ BEGIN_MARK = "### BEGIN JUJU SETTINGS ###"
 END_MARK = "### END JUJU SETTINGS ###"
 COMMENTED_OUT = "# juju # "
 RESTART_CONTEXT = "postmaster"
+# Characters of a setting's value that needs no quotes.
+SIMPLE_VALUE = "-._0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# What ships a finished log file; the folder holds the tool's settings.
+ARCHIVE_COMMAND = "/snap/bin/wal-e.envdir {folder} /snap/bin/wal-e wal-push %p"
+ARCHIVE_FOLDER = "wal-e.env"
+# Settings of a standby, included from version 12 on.
+STANDBY_FILE = "juju_recovery.conf"
 INTERNAL_CONTEXT = "internal"
 RELEASE_VERSIONS = {"xenial": "9.5", "bionic": "10", "focal": "12"}
 ALLOWED_VERSIONS = ("", "9.5", "9.6", "10", "11", "12")

@@ -65,7 +65,11 @@ def at_least(version: Column, required: str) -> Column:
     return version_parts(version) >= wanted
 
 
-QUANTITY = r"^(-?\d+)\s*(\w+)?\s*$"
+def _amount(text: Column) -> tuple[Column, Column, Column]:
+    """Digits at the start with their sign, the word after them, and whether that is all."""
+    digits = F.regexp_extract(text, r"^-?[0-9]+", 0)
+    word = F.btrim(F.substring(text, F.length(digits) + 1, F.length(text)), F.lit(" \t\r\n\x0b\x0c"))
+    return digits, word, (digits != "") & ~word.rlike(r"\W")
 
 
 def _unit_map(values: dict[str, int] | dict[str, str]) -> Column:
@@ -78,10 +82,10 @@ _FAMILY = {**{u: "memory" for u in MEMORY_UNITS}, **{u: "time" for u in TIME_UNI
 
 def quantity_error(text: Column, unit: Column) -> Column:
     """Why ``text`` cannot be expressed in ``unit``; null when it can."""
-    own = F.regexp_extract(text, QUANTITY, 2)
+    _, own, well = _amount(text)
     family = _unit_map(_FAMILY)
     return (
-        F.when(~text.rlike(QUANTITY), F.lit("Invalid number or unit"))
+        F.when(~well, F.lit("Invalid number or unit"))
         .when(own == "", F.lit(None).cast("string"))
         .when(
             F.try_element_at(family, own).isNull(),
@@ -99,17 +103,18 @@ def quantity_error(text: Column, unit: Column) -> Column:
 def convert_unit(text: Column, unit: Column) -> Column:
     """``'16MB'`` expressed in ``unit`` as a double; null when it cannot be.
 
-    A number without a unit is taken to be in ``unit`` already.
+    A number without a unit is taken to be in ``unit`` already. Numbers of any size are
+    converted, beyond 2**53 to the nearest double.
     """
-    own = F.regexp_extract(text, QUANTITY, 2)
-    number = F.regexp_extract(text, QUANTITY, 1).try_cast("bigint")
+    digits, own, _ = _amount(text)
+    number = digits.try_cast("double")
     factors = _unit_map(_FACTORS)
     scaled = (
-        number.cast("double")
+        number
         * F.try_element_at(factors, own).cast("double")
         / F.try_element_at(factors, unit).cast("double")
     )
     return F.when(
         quantity_error(text, unit).isNull(),
-        F.when(own == "", number.cast("double")).otherwise(scaled),
+        F.when(own == "", number).otherwise(scaled),
     )

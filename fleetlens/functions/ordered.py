@@ -9,8 +9,8 @@ per key and slice, and the closing value of each slice is handed to the slices
 after it. The answer equals the plain window's.
 
 Keys above the limit number at most ``rows / limit``, and so, up to a small
-factor, do their cut points and slices. That is the bound on everything broadcast
-here. Cut points are approximate quantiles, which may come out differently when
+factor, do their cut points and slices; whether these small tables are broadcast is
+left to Spark's check of their size. Cut points are approximate quantiles, which may come out differently when
 computed again, so they are written to the shared folder once and read from there.
 """
 
@@ -48,7 +48,7 @@ def _cut_points(timed: DataFrame, keys: Sequence[str], busy: DataFrame, limit: i
     quantiles = F.split(F.lit(",".join(str(i / FAN) for i in range(1, FAN))), ",")
     stride = F.greatest(whole_div(F.lit(FAN * limit), F.max("_n")), F.lit(1))
     return (
-        timed.join(F.broadcast(busy), list(keys))
+        timed.join(busy, list(keys))
         .groupBy(*keys)
         .agg(
             F.percentile_approx("_at", quantiles.cast("array<double>"), 4 * FAN).alias("_all"),
@@ -77,7 +77,7 @@ def slice_busy_keys(df: DataFrame, keys: Sequence[str], ts: str, limit: int) ->
     cuts = df.sparkSession.read.schema(points.schema).parquet(folder)
     found = F.when(F.col("_cuts").isNotNull(), _slice_of(epoch_micros(F.col(ts)), F.col("_cuts")))
     return (
-        df.join(F.broadcast(cuts), list(keys), "left")
+        df.join(cuts, list(keys), "left")
         .withColumn(SLICE, found.cast("bigint"))
         .drop("_cuts")
     )
@@ -111,7 +111,7 @@ def look_along(
         .select(*keys, SLICE, F.last("_close", ignorenulls=True).over(along).alias("_carried"))
     )
     return (
-        seen.join(F.broadcast(inherited), [*keys, SLICE], "left")
+        seen.join(inherited, [*keys, SLICE], "left")
         .withColumn(into, F.coalesce("_seen", "_carried"))
         .drop("_v", "_seen", "_carried")
     )

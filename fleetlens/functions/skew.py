@@ -3,79 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.numbers import whole_div
-
-ROWS_PER_TASK = 5_000_000
-
-# Largest lookup table that is sent to every task.
-LOOKUP_ROWS = 100_000
-
 # Up to this many rows per key Spark itself cuts to the top rows before the
 # shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 SMALL_TOP = 1000
-TOP_WAYS = 64
 
 
-def spread_join(
-    big: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    counts: DataFrame | None = None,
-    limit: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """``big`` joined to ``per_key`` (few rows per key), sharing busy keys out over tasks.
-
-    A key with more than ``limit`` rows in ``big`` is split into as many ways as it
-    has multiples of ``limit``, and only its rows in ``per_key`` are repeated. Busy
-    keys number at most ``rows / limit``, which bounds what is broadcast. Adaptive
-    execution splits skewed joins by itself only between two plain shuffles, and
-    ``per_key`` is usually an aggregate.
+def spread_join(big: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``big`` joined to ``per_key`` (few rows per key) so that busy keys can be shared out.
 
-    ``counts`` may pass ``(keys, _n)``, the rows of ``big`` per key or more, when
-    the caller has them. The way is a hash of the row, so it is the same when a
-    lost task is run again. A stream is joined as it is.
+    Adaptive execution splits a busy key only between two shuffles made for the join. An
+    aggregate is already dealt out by its keys and would be joined as it lies, all of a
+    key in one task. So both sides are joined on the keys as one value, which makes Spark
+    shuffle both for the join, or broadcast ``per_key`` by its own check of size. Nothing
+    runs before the query does. A stream is joined as it is. As in any join, a null key
+    meets nothing; ``how`` is inner or left.
     """
     if big.isStreaming:
         return big.join(per_key, list(keys), how)
-    if counts is None:
-        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    busy = counts.where(F.col("_n") > limit).select(
-        *keys, (whole_div(F.col("_n"), limit) + 1).alias("_ways")
-    )
-    hashed = [c for c, kind in big.dtypes if "map<" not in kind]
-    split = (
-        big.join(F.broadcast(busy), list(keys), "left")
-        .withColumn("_way", F.coalesce(F.pmod(F.xxhash64(*hashed), F.col("_ways")), F.lit(0)))
-        .drop("_ways")
-    )
-    repeated = (
-        per_key.join(F.broadcast(busy), list(keys), "left")
-        .withColumn("_way", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1)))
-        .drop("_ways")
-    )
-    return split.join(repeated, [*keys, "_way"], how).drop("_way")
-
-
-def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    max_rows: int = LOOKUP_ROWS,
-) -> DataFrame:
-    """``big`` joined to a lookup table that is broadcast only if it is small.
-
-    Runs a job that counts ``lookup`` up to ``max_rows``. Beyond that the join is
-    ``spread_join``. Either way every row is kept that the join keeps.
-    """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(lookup), list(keys), how)
-    return spread_join(big, lookup, keys, how)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    side = per_key.where(known).withColumn("_key", F.struct(*keys)).drop(*keys)
+    joined = big.withColumn("_key", F.struct(*keys)).join(side, "_key", how)
+    rest = [c for c in [*big.columns, *side.columns] if c not in keys and c != "_key"]
+    return joined.select(*keys, *rest)
 
 
 def top_rows(
@@ -89,7 +43,8 @@ def top_rows(
     by = [F.desc(c) if descending else F.asc(c) for c in order]
     if n > SMALL_TOP:
         hashed = [c for c, kind in df.dtypes if "map<" not in kind]
-        parted = df.withColumn("_way", F.pmod(F.xxhash64(*hashed), F.lit(TOP_WAYS)))
+        ways = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parted = df.withColumn("_way", F.pmod(F.xxhash64(*hashed), F.lit(ways)))
         part = Window.partitionBy(*keys, "_way").orderBy(*by)
         df = parted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_way", "_rn")
     whole = Window.partitionBy(*keys).orderBy(*by)

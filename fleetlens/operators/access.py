@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.fixed import (
-    BEGIN_MARK,
-    COMMENTED_OUT,
-    END_MARK,
     IDENT_MAP,
     IDENT_PAIRS,
     MIRRORED_KEYS,
@@ -19,7 +16,7 @@ from fleetlens.fixed import (
     PUBLIC_SCHEMA,
     REPLICATION_ACCOUNT,
 )
-from fleetlens.functions.parts import by_network, by_number, joined_parts
+from fleetlens.functions.managed import block, commented_out, is_code, without_block
 from fleetlens.functions.skew import spread_join
 from fleetlens.functions.text import (
     account_name,
@@ -181,30 +178,39 @@ def access_rules(clusters: DataFrame, peers: DataFrame, relations: DataFrame) ->
 
 def retire_rules(texts: DataFrame, text: str = "text") -> DataFrame:
     """A rules text without its managed block and with every other rule commented out."""
-    bare = F.regexp_replace(text, rf"(?imsd)^\s*{BEGIN_MARK}.*^\s*{END_MARK}\s*$", "")
     return texts.withColumn(
-        text, F.regexp_replace(bare, r"(?md)^\s*([^#\s].*)$", COMMENTED_OUT + "$1")
+        text, commented_out(without_block(F.col(text)), is_code)
     )
 
 
-RELATION = ("relname", "relid")
+def rules_file(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules text of each cluster: the retired old one and a new block of ``access_rules``.
+
+    ``texts(cluster, text)``; a cluster without rules gets an empty block. All rules of a
+    cluster make one text, so a list holds as many as its file has lines.
+    """
+    in_order = F.struct(*[F.col(c) for c in RULE_ORDER], F.col("rule"))
+    ordered = rules.groupBy("cluster").agg(F.sort_array(F.collect_list(in_order)).alias("_rules"))
+    lines = F.coalesce(F.transform("_rules", lambda r: r["rule"]), F.array().cast("array<string>"))
+    return spread_join(retire_rules(texts), ordered, ["cluster"], "left").select(
+        "cluster", F.concat("text", F.lit("\n"), block(lines)).alias("text")
+    )
+
+
+RELATION = ("cluster", "relname", "relid")
 
 
 def allowed_units(relations: DataFrame, keys: Sequence[str] = RELATION) -> DataFrame:
-    """Units of each relation that have an address, as text in unit order."""
+    """Units of each relation that have an address: a row for each, in order of ``number, unit``."""
     reachable = relations.where(
         F.size(address_list(F.col("egress"), F.col("ingress"), F.col("private"))) > 0
     )
-    return joined_parts(
-        reachable, keys, ["number", "unit"], "unit", "allowed_units", " ", by_number(F.col("number"))
-    )
+    return reachable.select(*keys, "number", "unit").distinct()
 
 
 def allowed_subnets(relations: DataFrame, keys: Sequence[str] = RELATION) -> DataFrame:
-    """Distinct address ranges of each relation, as sorted text."""
-    return joined_parts(
-        incoming(relations), keys, ["address"], "address", "allowed_subnets", ",", by_network(F.col("address"))
-    )
+    """Distinct address ranges of each relation: a row for each, in order of ``address``."""
+    return incoming(relations).select(*keys, "address").distinct()
 
 
 def connection_string(fields: dict[str, Column]) -> Column:
@@ -229,52 +235,49 @@ def unit_strings(units: DataFrame) -> DataFrame:
 
 
 def connection_strings(units: DataFrame, keys: Sequence[str] = RELATION) -> DataFrame:
-    """Per relation: the master's connection string and the standbys', one per line.
+    """Connection strings of each relation ``(keys, role, unit, conn)``, a row for each unit.
 
-    ``units`` has one row per relation and publishing unit, with ``is_master``.
-    A side without a usable string is null.
+    ``units`` has one row per relation and publishing unit, with ``is_master``; the role is
+    ``master`` or ``standby``. A unit without a usable string has a null ``conn`` if it is a
+    master and no row if it is a standby.
     """
-    ready = unit_strings(units)
-    master = ready.groupBy(*keys).agg(
-        F.max(F.when(F.col("is_master"), F.col("conn"))).alias("master")
-    )
-    standbys = joined_parts(
-        ready.where(~F.col("is_master") & F.col("conn").isNotNull()),
-        keys,
-        ["conn", "unit"],
-        "conn",
-        "standbys",
-        "\n",
-        by_number(F.col("number")),
-    )
-    return master.join(standbys, list(keys), "left").select(
-        *keys, "master", F.coalesce("part", F.lit("")).alias("part"), "standbys"
-    )
+    role = F.when(F.col("is_master"), F.lit("master")).otherwise(F.lit("standby"))
+    ready = unit_strings(units).select(*keys, role.alias("role"), "unit", "conn")
+    return ready.where((F.col("role") == "master") | F.col("conn").isNotNull())
 
 
 def missing_grants(
     wanted: DataFrame, roles: DataFrame, memberships: DataFrame
 ) -> DataFrame:
-    """Roles ``wanted(account, roles)`` (comma list) that the account does not hold.
+    """Roles ``wanted(cluster, account, roles)`` (comma list) that the account does not hold.
 
-    ``roles(oid, rolname)`` names both ends of ``memberships(member, roleid)``.
-    Roles held but not wanted are left alone.
+    ``roles(cluster, oid, rolname)`` names both ends of ``memberships(cluster, member,
+    roleid)``; numbers and names of roles repeat across clusters. Roles held but not wanted
+    are left alone.
     """
+    member = roles.select("cluster", F.col("oid").alias("member"), F.col("rolname").alias("account"))
+    held_role = roles.select("cluster", F.col("oid").alias("roleid"), F.col("rolname").alias("role"))
     held = (
-        memberships.join(roles.select(F.col("oid").alias("member"), F.col("rolname").alias("account")), "member")
-        .join(roles.select(F.col("oid").alias("roleid"), F.col("rolname").alias("role")), "roleid")
-        .select("account", "role")
+        memberships.join(member, ["cluster", "member"])
+        .join(held_role, ["cluster", "roleid"])
+        .select("cluster", "account", "role")
         .distinct()
     )
-    asked = (
-        wanted.select("account", F.explode(F.split("roles", ",")).alias("role"))
+    return _asked_roles(wanted).join(held, ["cluster", "account", "role"], "left_anti")
+
+
+def _asked_roles(wanted: DataFrame) -> DataFrame:
+    return (
+        wanted.select("cluster", "account", F.explode(F.split("roles", ",")).alias("role"))
         .where(F.col("role") != "")
         .distinct()
     )
-    return asked.join(held, ["account", "role"], "left_anti")
 
 
-_EXTENSION = r"^\s*([^(\s]+)\s*(?:\((\w+)\))?"
+def missing_roles(wanted: DataFrame, roles: DataFrame) -> DataFrame:
+    """Roles that some account of ``wanted(cluster, account, roles)`` asks for and the cluster lacks."""
+    asked = _asked_roles(wanted).select("cluster", "role").distinct()
+    return asked.join(roles.select("cluster", F.col("rolname").alias("role")).distinct(), ["cluster", "role"], "left_anti")
 
 
 def wanted_extensions(wanted: DataFrame) -> DataFrame:
@@ -282,10 +285,13 @@ def wanted_extensions(wanted: DataFrame) -> DataFrame:
     items = wanted.select("datname", F.explode(F.split("extensions", ",")).alias("_item")).where(
         F.col("_item") != ""
     )
-    schema = F.nullif(F.regexp_extract("_item", _EXTENSION, 2), F.lit(""))
+    # What is before the bracket, and what is between it and the next one.
+    name, inside = F.trim(F.substring_index("_item", "(", 1)), F.substring_index("_item", "(", -1)
+    closed = F.contains("_item", F.lit("(")) & F.contains(inside, F.lit(")"))
+    schema = F.nullif(F.when(closed, F.trim(F.substring_index(inside, ")", 1))), F.lit(""))
     return items.select(
         "datname",
-        F.regexp_extract("_item", _EXTENSION, 1).alias("extension"),
+        F.substring_index(name, " ", 1).alias("extension"),
         F.coalesce(schema, F.lit(PUBLIC_SCHEMA)).alias("schema"),
     ).distinct()
 
@@ -326,22 +332,25 @@ def relation_account(unit: Column, relname: Column) -> Column:
 
 
 def credential_gaps(relations: DataFrame, known: DataFrame) -> DataFrame:
-    """Accounts the relations need for which ``known(account)`` has no password."""
+    """Accounts ``(cluster, account)`` the relations need for which ``known`` has no password."""
     needed = (
-        relations.select(relation_account(F.col("unit"), F.col("relname")).alias("account"))
+        relations.select("cluster", relation_account(F.col("unit"), F.col("relname")).alias("account"))
         .where(F.col("account").isNotNull())
         .distinct()
     )
-    return needed.join(known.select("account").distinct(), "account", "left_anti")
+    return needed.join(known.select("cluster", "account").distinct(), ["cluster", "account"], "left_anti")
 
 
 def accounts_to_rename(relations: DataFrame) -> DataFrame:
-    """Published accounts ``(relname, relid, service, user)`` that differ from today's naming."""
+    """Published accounts that differ from today's naming, as ``(RELATION, old, new)``.
+
+    Both the ``user`` and the ``schema_user`` of a relation now have the relation's account.
+    """
     new = relation_account(F.col("service"), F.col("relname"))
     return (
-        relations.where(F.col("relname").isin("db", "db-admin") & (F.coalesce("user", F.lit("")) != ""))
-        .select("relname", "relid", F.col("user").alias("old"), new.alias("new"))
-        .where(F.col("old") != F.col("new"))
+        relations.where(F.col("relname").isin("db", "db-admin"))
+        .select(*RELATION, F.explode(F.array("user", "schema_user")).alias("old"), new.alias("new"))
+        .where((F.col("old") != "") & (F.col("old") != F.col("new")))
         .distinct()
     )
 
@@ -356,10 +365,13 @@ def unit_order(df: DataFrame, unit: str = "unit") -> DataFrame:
 def relation_database(relations: DataFrame) -> DataFrame:
     """Database of each relation: asked for, else published, else the client service's name.
 
+    ``all``, published to an administrative relation, is no database's name.
     The remote unit with the lowest number speaks for the relation. Input:
-    ``relname, relid, unit, number, requested, published``.
+    ``cluster, relname, relid, unit, number, requested, published``.
     """
-    first = relations.groupBy(*RELATION).agg(
+    bogus = (F.col("relname") == "db-admin") & (F.col("published") == "all")
+    named = relations.withColumn("published", F.when(~F.coalesce(bogus, F.lit(False)), F.col("published")))
+    first = named.groupBy(*RELATION).agg(
         F.min_by(F.struct("unit", "requested", "published"), F.struct("number", "unit")).alias("_f")
     )
     return first.select(
@@ -373,7 +385,8 @@ def mirror(
 ) -> DataFrame:
     """Give every standby row the leader's published keys.
 
-    ``units(relname, relid, unit, leader)``; ``leaders(relname, relid, unit, *keys)``.
+    ``units(cluster, relname, relid, unit, leader)``; ``leaders(cluster, relname, relid, unit,
+    *keys)``.
     Without the leader's row the unit is still waiting.
     """
     source = leaders.select(

@@ -125,20 +125,31 @@ def resolve_backup(
 ) -> DataFrame:
     """The backup each restore request ``(request_id, store, backup, target_time)`` uses.
 
-    ``LATEST`` takes the newest backup started before the target; a named one
-    must exist and have started before it. Requests and backups are merged into
+    ``LATEST``, which a null or blank ``backup`` also means, takes the newest backup
+    started before the target; a named one must exist and have started before it.
+    Without a target the store's newest is taken from one aggregate. Requests and backups are merged into
     one timeline per store and each request looks back along it, so no pairs of
     the two are ever formed.
     """
-    stores = backups.groupBy("store").agg(F.lit(True).alias("known_store"))
-    checked = spread_join(requests, stores, ["store"], "left")
-    latest = checked.where(F.col("backup") == LATEST)
+    stores = backups.groupBy("store").agg(
+        F.lit(True).alias("known_store"), F.max_by("name", F.struct("started", "name")).alias("newest")
+    )
+    asked = F.coalesce(F.nullif(F.trim("backup"), F.lit("")), F.lit(LATEST))
+    checked = spread_join(requests.withColumn("backup", asked), stores, ["store"], "left")
+    untimed = checked.where((F.col("backup") == LATEST) & F.col("target_time").isNull()).select(
+        "request_id",
+        "store",
+        "backup",
+        F.col("newest").alias("resolved"),
+        F.when(F.col("known_store").isNull(), F.lit("no backups")).alias("reason"),
+    )
+    latest = checked.where((F.col("backup") == LATEST) & F.col("target_time").isNotNull())
     named = checked.where(F.col("backup") != LATEST)
 
     # At equal times a request comes first, so a backup must be strictly older.
     timeline = latest.select(
         "store",
-        F.coalesce("target_time", F.lit("9999-01-01").cast("timestamp_ntz")).alias("at"),
+        F.col("target_time").alias("at"),
         F.lit(0).alias("side"),
         F.lit(None).cast("string").alias("name"),
         "request_id",
@@ -167,11 +178,11 @@ def resolve_backup(
     known = (
         backups.withColumn("_name", _normal(F.col("name")))
         .groupBy("store", "_name")
-        .agg(F.min_by("name", "started").alias("name"), F.min("started").alias("started"))
+        .agg(F.min_by("name", F.struct("started", "name")).alias("name"), F.min("started").alias("started"))
     )
     early = F.col("target_time").isNull() | (F.col("started") < F.col("target_time"))
-    asked = named.withColumn("_name", _normal(F.col("backup")))
-    by_name = spread_join(asked, known, ["store", "_name"], "left").select(
+    by_given = named.withColumn("_name", _normal(F.col("backup")))
+    by_name = spread_join(by_given, known, ["store", "_name"], "left").select(
         "request_id",
         "store",
         "backup",
@@ -181,4 +192,4 @@ def resolve_backup(
         .when(~early, F.lit("not before target"))
         .alias("reason"),
     )
-    return by_latest.unionByName(by_name)
+    return untimed.unionByName(by_latest).unionByName(by_name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,15 @@ from fleetlens.functions.numbers import at_least
 from fleetlens.specs import StatSpec
 
 
-def databases(df: DataFrame, exclude: Sequence[str] = SYSTEM_DATABASES) -> DataFrame:
-    """Distinct database names without the excluded ones and without null."""
-    return df.select("datname").where(~F.col("datname").isin(*exclude)).distinct()
+# A server of the fleet; database names repeat across servers.
+SERVER = ("unit",)
+
+
+def databases(
+    df: DataFrame, exclude: Sequence[str] = SYSTEM_DATABASES, keys: Sequence[str] = SERVER
+) -> DataFrame:
+    """Distinct databases of each server without the excluded names and without null."""
+    return df.select(*keys, "datname").where(~F.col("datname").isin(*exclude)).distinct()
 
 
 def to_gauges(
@@ -28,7 +35,8 @@ def to_gauges(
     """Wide to long: one ``(metric, value)`` row per remaining column, null as 0.
 
     Columns outside ``spec`` are cut before the unpivot, so a parquet scan reads
-    only what becomes a gauge. ``ids`` columns ride along unchanged.
+    only what becomes a gauge. ``ids`` columns ride along unchanged. The gauge of a text
+    that is no number is null.
     """
     named = {*spec.key, *spec.exclude, *ids, *([dbname] if dbname else [])}
     values = [c for c in df.columns if c not in named]
@@ -41,49 +49,54 @@ def to_gauges(
     wide = df.select(
         *ids,
         F.concat_ws(".", *stem).alias("_stem") if stem else F.lit(None).cast("string").alias("_stem"),
-        *[F.col(c).cast("double").alias(c) for c in values],
+        *[
+            F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c).try_cast("double")).alias(c)
+            if kind == "string"
+            else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+            for c, kind in df.dtypes
+            if c in values
+        ],
     )
     return wide.unpivot([*ids, "_stem"], values, "_column", "_value").select(
         *ids,
         F.concat_ws(".", "_stem", "_column").alias("metric"),
-        F.coalesce("_value", F.lit(0.0)).alias("value"),
+        F.col("_value").alias("value"),
     )
 
 
-def _with_zeroes(dbs: DataFrame, counts: DataFrame) -> DataFrame:
-    named = [c for c in counts.columns if c != "datname"]
-    return dbs.join(counts, "datname", "left").select(
-        "datname", *[F.coalesce(c, F.lit(0)).alias(c) for c in named]
-    )
+def _with_zeroes(dbs: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    by = [*keys, "datname"]
+    named = [c for c in counts.columns if c not in by]
+    return dbs.join(counts, by, "left").select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in named])
 
 
-def session_totals(dbs: DataFrame, activity: DataFrame) -> DataFrame:
+def session_totals(dbs: DataFrame, activity: DataFrame, keys: Sequence[str] = SERVER) -> DataFrame:
     """Sessions per listed database, zero where there are none."""
-    counts = activity.groupBy("datname").agg(F.count(F.lit(1)).alias("connections"))
-    return _with_zeroes(dbs, counts)
+    counts = activity.groupBy(*keys, "datname").agg(F.count(F.lit(1)).alias("connections"))
+    return _with_zeroes(dbs, counts, keys)
 
 
-def session_states(dbs: DataFrame, activity: DataFrame) -> DataFrame:
+def session_states(dbs: DataFrame, activity: DataFrame, keys: Sequence[str] = SERVER) -> DataFrame:
     """Sessions per listed database and state, in one pass over ``activity``.
 
     The counts are aggregated before the join, so a database that holds most of
     the sessions costs one partial count per map task.
     """
-    counts = activity.groupBy("datname").agg(
+    counts = activity.groupBy(*keys, "datname").agg(
         F.count_if("waiting").alias("connections_waiting"),
         *[F.count_if(F.col("state") == state).alias(g) for g, state in SESSION_STATES.items()],
     )
-    return _with_zeroes(dbs, counts)
+    return _with_zeroes(dbs, counts, keys)
 
 
-def session_counts(dbs: DataFrame, activity: DataFrame) -> DataFrame:
+def session_counts(dbs: DataFrame, activity: DataFrame, keys: Sequence[str] = SERVER) -> DataFrame:
     """``session_totals`` and ``session_states`` together, still one pass."""
-    counts = activity.groupBy("datname").agg(
+    counts = activity.groupBy(*keys, "datname").agg(
         F.count(F.lit(1)).alias("connections"),
         F.count_if("waiting").alias("connections_waiting"),
         *[F.count_if(F.col("state") == state).alias(g) for g, state in SESSION_STATES.items()],
     )
-    return _with_zeroes(dbs, counts)
+    return _with_zeroes(dbs, counts, keys)
 
 
 def gate(df: DataFrame, version_col: str, required: str | None) -> DataFrame:
@@ -93,6 +106,21 @@ def gate(df: DataFrame, version_col: str, required: str | None) -> DataFrame:
     return df.where(at_least(F.col(version_col), required))
 
 
+def collect_gauges(
+    snapshots: Sequence[tuple[StatSpec, DataFrame]], keys: Sequence[str] = SERVER, version: str = "version"
+) -> DataFrame:
+    """Gauges ``(keys, metric, value)`` of all snapshots together.
+
+    Each snapshot comes with the server's ``keys`` and its ``version``, which gates the
+    specs that need a newer one, and with ``datname`` if it is of a database.
+    """
+    parts = []
+    for spec, df in snapshots:
+        gated = gate(df, version, spec.version_required).drop(version)
+        parts.append(to_gauges(gated, spec, "datname" if "datname" in df.columns else None, keys))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def gauge_line(
     metric: Column, value: Column, prefix: str = GAUGE_PREFIX, unit: Column | None = None
 ) -> Column:

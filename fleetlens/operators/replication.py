@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import lsn_bytes
 from fleetlens.functions.ordered import ROWS_PER_SLICE, previous
-from fleetlens.functions.parts import by_number, joined_parts
 from fleetlens.functions.skew import spread_join, top_rows
 
 
@@ -17,15 +16,20 @@ def lag_bytes(standbys: DataFrame, masters: DataFrame) -> DataFrame:
     """Bytes each standby trails its master by, and whether it has caught up.
 
     ``standbys(cluster, unit, position)`` against one row per cluster in
-    ``masters(cluster, position)``. An unknown position means not in sync.
+    ``masters(cluster, position)``. An unknown position, or no master row at all, means
+    an unknown lag and not in sync.
     """
-    local, remote = lsn_bytes(F.col("s.position")), lsn_bytes(F.col("m.position"))
+    local, remote = lsn_bytes(F.col("_local")), lsn_bytes(F.col("_remote"))
     return (
-        standbys.alias("s")
-        .join(masters.alias("m"), F.col("s.cluster") == F.col("m.cluster"))
+        spread_join(
+            standbys.select("cluster", "unit", F.col("position").alias("_local")),
+            masters.select("cluster", F.col("position").alias("_remote")),
+            ["cluster"],
+            "left",
+        )
         .select(
-            F.col("s.cluster").alias("cluster"),
-            F.col("s.unit").alias("unit"),
+            "cluster",
+            "unit",
             (remote - local).cast("decimal(38,0)").alias("lag"),
             F.coalesce(local >= remote, F.lit(False)).alias("in_sync"),
         )
@@ -84,10 +88,8 @@ def barrier(units: DataFrame) -> DataFrame:
 
 
 def waiting_on(units: DataFrame) -> DataFrame:
-    """The waiting units of a cluster as sorted text; very large clusters come in parts."""
-    return joined_parts(
-        waiting_units(units), ["cluster"], ["unit"], "unit", "waiting_on", ",", by_number(F.col("number"))
-    )
+    """The waiting units of each cluster: a row for each, in order of ``number, unit``."""
+    return waiting_units(units).distinct()
 
 
 def is_replicating(units: DataFrame, stat_replication: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def role_flags(units: DataFrame) -> DataFrame:
     is_primary = ~F.col("in_recovery")
 
     flagged = (
-        spread_join(named, facts, ["cluster"], "left", facts.select("cluster", "_n"))
+        spread_join(named, facts, ["cluster"], "left")
         .join(allowed, ["cluster", "unit"], "left")
         .withColumn(
             "_known_anointed",
@@ -196,23 +198,23 @@ def missing_rows(
 ) -> DataFrame:
     """Rows of ``master(cluster, *keys)`` that a copy ``(cluster, unit, *keys)`` lacks.
 
-    Complete rows are set aside by counting how many units hold them, so only the
-    incomplete ones are paired with the units of their cluster.
+    Only copies on the cluster's ``units(cluster, unit)`` count. Complete rows are set aside
+    by counting how many units hold them, so only the incomplete ones are paired with the
+    units of their cluster.
     """
     row = ["cluster", *keys]
-    held = copies.select("cluster", "unit", *keys).distinct()
-    counts = held.groupBy(*row).agg(F.count(F.lit(1)).alias("_held"))
     members = units.select("cluster", "unit").distinct()
+    held = copies.select("cluster", "unit", *keys).distinct().join(members, ["cluster", "unit"], "left_semi")
+    counts = held.groupBy(*row).agg(F.count(F.lit(1)).alias("_held"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_units"))
-    bound = master.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
     counted = master.select(*row).distinct().join(counts, row, "left")
     incomplete = (
-        spread_join(counted, sizes, ["cluster"], counts=bound)
+        spread_join(counted, sizes, ["cluster"])
         .where(F.coalesce("_held", F.lit(0)) < F.col("_units"))
         .select(*row)
     )
     return (
-        spread_join(incomplete, members, ["cluster"], counts=bound)
+        spread_join(incomplete, members, ["cluster"])
         .join(held, [*row, "unit"], "left_anti")
         .select("cluster", "unit", *keys)
     )

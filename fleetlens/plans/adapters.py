@@ -13,7 +13,7 @@ AS_OF = "2024-02-01 00:00:00"
 
 ADAPTERS = {
     "activity": """
-SELECT event_id AS pid, concat('u', user_id) AS usename,
+SELECT concat('h', user_id % 3) AS unit, event_id AS pid, concat('u', user_id) AS usename,
   CASE WHEN event_type = 'signup' THEN NULL ELSE concat('app', event_id % 5) END AS application_name,
   concat('db', user_id % 7) AS datname,
   CASE event_type WHEN 'click' THEN 'active' WHEN 'view' THEN 'idle'
@@ -22,9 +22,9 @@ SELECT event_id AS pid, concat('u', user_id) AS usename,
   event_id % 11 = 0 AS waiting, ts - INTERVAL '1' HOUR AS backend_start, ts AS state_change
 FROM {events}""",
     "databases": """
-SELECT DISTINCT concat('db', user_id % 7) AS datname FROM {events}
-UNION ALL SELECT 'db_empty' UNION ALL SELECT 'postgres'
-UNION ALL SELECT 'template0' UNION ALL SELECT 'template1'""",
+SELECT DISTINCT concat('h', user_id % 3) AS unit, concat('db', user_id % 7) AS datname FROM {events}
+UNION ALL SELECT 'h0', 'db_empty' UNION ALL SELECT 'h1', 'db_empty' UNION ALL SELECT 'h1', 'postgres'
+UNION ALL SELECT 'h2', 'template0' UNION ALL SELECT 'h3', 'template1'""",
     "table_stats": """
 SELECT concat('db', l_suppkey % 7) AS datname, concat('s', l_suppkey % 3) AS schemaname,
   concat('t', l_partkey % 50) AS relname, count(*) AS n_tup_ins,
@@ -37,6 +37,13 @@ SELECT concat('h', c_custkey) AS unit, c_nationkey AS connections,
   CASE c_custkey % 6 WHEN 0 THEN '9.1' WHEN 1 THEN '9.3' WHEN 2 THEN '9.10' WHEN 3 THEN '10'
     WHEN 4 THEN '9.2.24' ELSE '12.1' END AS version
 FROM {customer}""",
+    "fleet_versions": """
+SELECT DISTINCT concat('h', user_id % 3) AS unit, CASE user_id % 3 WHEN 0 THEN '9.1' WHEN 1 THEN '9.3' ELSE '12.1' END AS version
+FROM {events}""",
+    "fleet_writers": """
+SELECT concat('h', s_suppkey) AS unit, '9.1' AS version, s_nationkey AS checkpoints,
+  CASE s_suppkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN '1.5' ELSE NULL END AS note, s_name AS stats_reset
+FROM {supplier}""",
     "part_gauges": """
 SELECT concat('app.', p_brand, '/', p_partkey) AS unit, concat('parts.', p_type, '.size') AS metric,
   CAST(p_size AS DOUBLE) AS value
@@ -94,7 +101,7 @@ FROM {orders}""",
     "masters": """
 SELECT concat('c', o_custkey % 50) AS cluster,
   concat(hex(max(o_custkey) % 4096), '/', hex(CAST(floor(avg(o_orderkey)) AS BIGINT) * 65536)) AS position
-FROM {orders} GROUP BY 1""",
+FROM {orders} WHERE o_custkey % 50 <> 7 GROUP BY 1""",
     "position_samples": """
 SELECT concat('h', user_id) AS unit, ts, event_id AS sample_id,
   CASE WHEN event_type = 'signup' THEN NULL
@@ -111,6 +118,7 @@ FROM {orders}""",
 SELECT concat('c', o_custkey % 5) AS cluster, o_orderkey AS token FROM {orders}""",
     "copied_rows": """
 SELECT concat('c', o_custkey % 5) AS cluster, 'copy/1' AS unit, o_orderkey AS token FROM {orders}
+UNION ALL SELECT concat('c', o_custkey % 5), 'gone/9', o_orderkey FROM {orders} WHERE o_orderstatus = 'P'
 UNION ALL SELECT concat('c', o_custkey % 5), 'copy/2', o_orderkey FROM {orders} WHERE o_orderstatus <> 'P'
 UNION ALL SELECT concat('c', o_custkey % 5), 'copy/3', o_orderkey FROM {orders} WHERE o_totalprice > 20000""",
     "cluster_units": """
@@ -218,7 +226,7 @@ SELECT doc_id, concat('Port = 1', chr(10), text, chr(10), ' work_mem = 4MB # kee
 FROM {documents}""",
     "managed_settings": """
 SELECT doc_id, 'port' AS name, CAST(n_chars AS STRING) AS value FROM {documents}
-UNION ALL SELECT doc_id, CASE lang WHEN 'en' THEN 'fsync' ELSE 'work_mem' END, concat('it''s ', source) FROM {documents}
+UNION ALL SELECT doc_id, CASE lang WHEN 'en' THEN 'fsync' ELSE 'work_mem' END, concat('it''s ', CASE WHEN doc_id % 50 = 7 THEN chr(10) ELSE '' END, source) FROM {documents}
 WHERE n_chars > 500""",
     "version_facts": """
 SELECT concat('h', c_custkey) AS unit, CASE WHEN c_custkey % 5 = 0 THEN '9.6' WHEN c_custkey % 5 = 1 THEN '' ELSE NULL END AS cached,
@@ -273,7 +281,8 @@ SELECT concat('r', n_regionkey) AS cluster,
   CASE WHEN n_regionkey = 2 THEN 'ALL' ELSE 'CONNECT,,TEMPORARY,CONNECT' END AS privileges
 FROM {nation} GROUP BY n_regionkey""",
     "endpoints": """
-SELECT CASE c_custkey % 3 WHEN 0 THEN 'db' WHEN 1 THEN 'db-admin' ELSE 'master' END AS relname, c_nationkey AS relid,
+SELECT concat('r', CAST(floor(c_nationkey / 5) AS INT)) AS cluster,
+  CASE c_custkey % 3 WHEN 0 THEN 'db' WHEN 1 THEN 'db-admin' ELSE 'master' END AS relname, c_nationkey % 5 AS relid,
   concat('pg/', c_custkey) AS unit, c_custkey AS number, c_custkey = low AS is_master,
   concat('10.1.', c_nationkey, '.', c_custkey % 250) AS host,
   CASE WHEN c_custkey % 11 = 3 THEN '' ELSE '5432' END AS port, concat('db', c_nationkey) AS database,
@@ -281,14 +290,14 @@ SELECT CASE c_custkey % 3 WHEN 0 THEN 'db' WHEN 1 THEN 'db-admin' ELSE 'master'
 FROM {customer} JOIN (SELECT c_nationkey AS nk, c_custkey % 3 AS kind, min(c_custkey) AS low FROM {customer} GROUP BY 1, 2) m
   ON c_nationkey = nk AND c_custkey % 3 = kind""",
     "wanted_roles": """
-SELECT concat('a', c_custkey) AS account, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '1-URGENT,,5-LOW'
+SELECT concat('r', c_custkey % 3) AS cluster, concat('a', CAST(floor(c_custkey / 3) AS BIGINT)) AS account, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '1-URGENT,,5-LOW'
   WHEN 2 THEN '2-HIGH,reader' ELSE '3-MEDIUM,5-LOW' END AS roles
 FROM {customer}""",
     "roles": """
-SELECT c_custkey AS oid, concat('a', c_custkey) AS rolname FROM {customer}
-UNION ALL SELECT DISTINCT -CAST(substring(o_orderpriority, 1, 1) AS BIGINT), o_orderpriority FROM {orders}""",
+SELECT concat('r', c_custkey % 3) AS cluster, CAST(floor(c_custkey / 3) AS BIGINT) AS oid, concat('a', CAST(floor(c_custkey / 3) AS BIGINT)) AS rolname FROM {customer}
+UNION ALL SELECT DISTINCT concat('r', o_custkey % 3), -CAST(substring(o_orderpriority, 1, 1) AS BIGINT), o_orderpriority FROM {orders}""",
     "memberships": """
-SELECT o_custkey AS member, -CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS roleid FROM {orders}""",
+SELECT concat('r', o_custkey % 3) AS cluster, CAST(floor(o_custkey / 3) AS BIGINT) AS member, -CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS roleid FROM {orders}""",
     "wanted_extensions": """
 SELECT concat('db', s_suppkey % 40) AS datname, CASE s_suppkey % 3 WHEN 0 THEN ' Brand#1, Brand#2(SMALL)'
   WHEN 1 THEN 'Brand#3(LARGE),,citext' ELSE 'Brand#5 (PROMO),Brand#4' END AS extensions
@@ -301,7 +310,7 @@ FROM {part}""",
 SELECT DISTINCT concat('db', p_partkey % 40) AS datname, p_type AS oid, p_type AS nspname FROM {part}
 UNION ALL SELECT DISTINCT concat('db', p_partkey % 40), 'public', 'public' FROM {part}""",
     "known_accounts": """
-SELECT DISTINCT concat(CASE c_custkey % 4 WHEN 0 THEN 'juju_' WHEN 1 THEN 'jujuadmin_' ELSE 'jujurepl_' END,
+SELECT DISTINCT concat('r', c_custkey % 5) AS cluster, concat(CASE c_custkey % 4 WHEN 0 THEN 'juju_' WHEN 1 THEN 'jujuadmin_' ELSE 'jujurepl_' END,
   'nation-', c_nationkey) AS account
 FROM {customer} WHERE c_acctbal > 9500""",
     "rule_texts": """
@@ -310,13 +319,15 @@ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat('local all a', p_partkey
   WHEN 2 THEN concat('host x y, z ', p_size, chr(10), '# note') WHEN 3 THEN concat('host ', p_name) ELSE '' END AS text
 FROM {part}""",
     "database_requests": """
-SELECT CASE c_custkey % 3 WHEN 0 THEN 'db' WHEN 1 THEN 'db-admin' ELSE 'master' END AS relname, c_nationkey AS relid,
+SELECT concat('r', CAST(floor(c_nationkey / 5) AS INT)) AS cluster,
+  CASE c_custkey % 3 WHEN 0 THEN 'db' WHEN 1 THEN 'db-admin' ELSE 'master' END AS relname, c_nationkey % 5 AS relid,
   concat(lower(replace(n_name, '_', '-')), '/', c_custkey) AS unit, c_custkey AS number,
   CASE WHEN c_acctbal > 4000 THEN concat('asked_', c_custkey) ELSE NULL END AS requested,
-  CASE WHEN c_nationkey % 2 = 0 THEN concat('published_', c_nationkey) ELSE NULL END AS published
+  CASE WHEN c_nationkey % 4 = 1 THEN 'all' WHEN c_nationkey % 2 = 0 THEN concat('published_', c_nationkey) ELSE NULL END AS published
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "published_keys": """
-SELECT CASE c_custkey % 3 WHEN 0 THEN 'db' WHEN 1 THEN 'db-admin' ELSE 'master' END AS relname, c_nationkey AS relid,
+SELECT concat('r', CAST(floor(c_nationkey / 5) AS INT)) AS cluster,
+  CASE c_custkey % 3 WHEN 0 THEN 'db' WHEN 1 THEN 'db-admin' ELSE 'master' END AS relname, c_nationkey % 5 AS relid,
   concat('pg/', c_custkey) AS unit, concat('pg/', low) AS leader, concat('db', c_nationkey) AS database,
   concat('u', c_custkey) AS user, concat('p', c_custkey) AS password, c_mktsegment AS roles,
   concat('su', c_custkey) AS schema_user, concat('sp', c_custkey) AS schema_password,

@@ -37,7 +37,7 @@ def lsn_bytes(t: Tables) -> DataFrame:
     "replicas",
     "masters",
     sql=f"""WITH p AS (SELECT r.cluster, r.unit, {_bytes('r.position')} AS here, {_bytes('m.position')} AS there
-      FROM replicas r JOIN masters m ON m.cluster = r.cluster)
+      FROM replicas r LEFT JOIN masters m ON m.cluster = r.cluster)
     SELECT cluster, unit, CAST(there - here AS DECIMAL(38,0)) AS lag, coalesce(here >= there, false) AS in_sync FROM p""",
 )
 def lag_bytes(t: Tables) -> DataFrame:
@@ -77,8 +77,7 @@ def barrier(t: Tables) -> DataFrame:
 @query(
     "replicas",
     sql="""
-    SELECT cluster, '' AS part, string_agg(DISTINCT unit, ',' ORDER BY unit) AS waiting_on, count(DISTINCT unit) AS n
-    FROM replicas WHERE following <> '' GROUP BY cluster""",
+    SELECT DISTINCT cluster, unit, number FROM replicas WHERE following <> ''""",
 )
 def waiting_on(t: Tables) -> DataFrame:
     return replication.waiting_on(t["replicas"])
@@ -123,14 +122,13 @@ def role_flags(t: Tables) -> DataFrame:
     "master_rows",
     "copied_rows",
     sql="""
-    SELECT m.cluster, u.unit, m.token FROM master_rows m JOIN (SELECT DISTINCT cluster, unit FROM copied_rows) u ON u.cluster = m.cluster
+    SELECT m.cluster, u.unit, m.token FROM master_rows m JOIN (SELECT DISTINCT cluster, unit FROM copied_rows WHERE unit <> 'gone/9') u ON u.cluster = m.cluster
     WHERE NOT EXISTS (SELECT 1 FROM copied_rows c WHERE c.cluster = m.cluster AND c.unit = u.unit AND c.token = m.token)""",
 )
 def missing_rows(t: Tables) -> DataFrame:
     copies = t["copied_rows"]
-    return replication.missing_rows(
-        t["master_rows"], copies, copies.select("cluster", "unit"), ["token"]
-    )
+    units = copies.where("unit <> 'gone/9'").select("cluster", "unit")  # that one has left
+    return replication.missing_rows(t["master_rows"], copies, units, ["token"])
 
 
 @query(

@@ -10,7 +10,13 @@ from fleetlens.operators import freshness, metrics, sessions
 from fleetlens.plans.adapters import AS_OF, Tables
 from fleetlens.plans.registry import moment, query
 from fleetlens.sources.snapshots import snapshot
-from fleetlens.specs import DATABASE_SPECS, SESSION_STATE_SPEC, StatSpec
+from fleetlens.specs import (
+    DATABASE_SPECS,
+    SERVER_SPECS,
+    SESSION_STATE_SPEC,
+    SESSION_TOTAL_SPEC,
+    StatSpec,
+)
 from fleetlens.streaming.jobs import idle_stream as idle_stream_job
 from fleetlens.streaming.jobs import sample_stream
 from fleetlens.streaming.run import drain, read_folder
@@ -18,15 +24,15 @@ from fleetlens.streaming.run import drain, read_folder
 SQL_NOW = f"TIMESTAMP '{AS_OF}'"
 IDLE_GAP_S = 6 * 3600
 
-_LISTED = "SELECT DISTINCT datname FROM databases WHERE datname NOT IN ('postgres', 'template0', 'template1')"
+_LISTED = "SELECT DISTINCT unit, datname FROM databases WHERE datname NOT IN ('postgres', 'template0', 'template1')"
 _STATE_COUNTS = ", ".join(
     f"count(*) FILTER (a.state = '{state}') AS {gauge}" for gauge, state in SESSION_STATES.items()
 )
 
 
 def _counted(columns: str) -> str:
-    return f"""counted AS (SELECT d.datname, {columns}
-      FROM ({_LISTED}) d LEFT JOIN activity a ON a.datname = d.datname GROUP BY d.datname)"""
+    return f"""counted AS (SELECT d.unit, d.datname, {columns}
+      FROM ({_LISTED}) d LEFT JOIN activity a ON a.unit = d.unit AND a.datname = d.datname GROUP BY d.unit, d.datname)"""
 
 
 _ALL_COUNTS = ["connections", "connections_waiting", *SESSION_STATES]
@@ -57,19 +63,19 @@ def database_list(t: Tables) -> DataFrame:
     "activity",
     "databases",
     sql=f"""WITH {_counted(f"count(a.pid) AS connections, count(*) FILTER (a.waiting) AS connections_waiting, {_STATE_COUNTS}")}
-    SELECT concat('databases.', datname, '.', name) AS metric, CAST(value AS DOUBLE) AS value
+    SELECT unit, concat('databases.', datname, '.', name) AS metric, CAST(value AS DOUBLE) AS value
     FROM counted UNPIVOT (value FOR name IN ({', '.join(_ALL_COUNTS)}))""",
 )
 def session_gauges(t: Tables) -> DataFrame:
     """Session counts of every listed database as gauges."""
     counts = metrics.session_counts(metrics.databases(t["databases"]), t["activity"])
-    return metrics.to_gauges(counts, SESSION_STATE_SPEC, "datname")
+    return metrics.to_gauges(counts, SESSION_STATE_SPEC, "datname", ("unit",))
 
 
 @query(
     "activity",
     "databases",
-    sql=f"WITH {_counted('count(a.pid) AS connections')} SELECT datname, connections FROM counted",
+    sql=f"WITH {_counted('count(a.pid) AS connections')} SELECT unit, datname, connections FROM counted",
 )
 def session_totals(t: Tables) -> DataFrame:
     return metrics.session_totals(metrics.databases(t["databases"]), t["activity"])
@@ -110,6 +116,35 @@ def gated_gauges(t: Tables) -> DataFrame:
     )
 
 
+_FLEET_SESSIONS = f"""fleet AS (SELECT a.unit, a.datname, any_value(v.version) AS version, count(*) AS connections,
+        count(*) FILTER (waiting) AS connections_waiting, {_STATE_COUNTS} FROM activity a JOIN fleet_versions v ON v.unit = a.unit GROUP BY ALL)"""
+
+
+@query(
+    "activity",
+    "fleet_versions",
+    "fleet_writers",
+    sql=f"""WITH {_FLEET_SESSIONS}
+    SELECT unit, concat('databases.', datname, '.connections') AS metric, CAST(connections AS DOUBLE) AS value FROM fleet
+    UNION ALL SELECT unit, concat('databases.', datname, '.', name), CAST(value AS DOUBLE)
+      FROM (SELECT * FROM fleet WHERE CAST(string_split(version, '.') AS INTEGER[]) >= [9, 3])
+      UNPIVOT (value FOR name IN (connections_waiting, {', '.join(SESSION_STATES)}))
+    UNION ALL SELECT unit, concat('pg_stat_bgwriter.', name), value
+      FROM (SELECT unit, coalesce(CAST(checkpoints AS DOUBLE), 0) AS checkpoints, coalesce(TRY_CAST(note AS DOUBLE), CASE WHEN note IS NULL THEN 0 END) AS note FROM fleet_writers)
+      UNPIVOT INCLUDE NULLS (value FOR name IN (checkpoints, note))""",
+)
+def collected_gauges(t: Tables) -> DataFrame:
+    """Session totals of every server, states of those new enough for them, and writer statistics."""
+    versions = t["fleet_versions"]
+    activity = t["activity"]
+    seen = activity.select("unit", "datname").distinct()
+    totals = metrics.session_totals(seen, activity).join(versions, "unit")
+    states = metrics.session_states(seen, activity).join(versions, "unit")
+    return metrics.collect_gauges(
+        [(SESSION_TOTAL_SPEC, totals), (SESSION_STATE_SPEC, states), (SERVER_SPECS[0], t["fleet_writers"])]
+    )
+
+
 @query(
     "part_gauges",
     sql="""

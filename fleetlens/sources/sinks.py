@@ -6,7 +6,7 @@ Every function here runs a job.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.fixed import GAUGE_PREFIX
@@ -51,6 +51,11 @@ def write_routed(lines: DataFrame, path: str) -> None:
     ).text(path)
 
 
+def _is_complete(spark: SparkSession, folder: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def export(
     df: DataFrame,
     folder: str,
@@ -61,8 +66,9 @@ def export(
 ) -> DataFrame:
     """Write ``df`` compressed to ``<folder>/<stamp>``, one sub-folder per ``by`` value.
 
-    An export that exists already is left alone. Returns ``(by, files, bytes, mb,
-    skipped)`` from the files found there.
+    An export that exists already is left alone. Returns ``(by, files, bytes, mb, status)``
+    from the files found there. The status is ``written``, ``skipped`` if a whole export was
+    there before, or ``incomplete`` if what was there has no mark of success.
     """
     if tool not in CODECS:
         raise ValueError(f"The compression tool must be one of {', '.join(CODECS)}")
@@ -73,18 +79,18 @@ def export(
     writer = df.hint("rebalance", by).write.partitionBy(by).mode("errorifexists")
     if level is not None and codec == "gzip":
         writer = writer.option("zlib.compress.level", _LEVEL_NAMES[level])
-    skipped = False
+    status = "written"
     try:
         writer.csv(target, header=True, compression=codec)
     except AnalysisException as error:
         if error.getCondition() != "PATH_ALREADY_EXISTS":
             raise
-        skipped = True
+        status = "skipped" if _is_complete(df.sparkSession, target) else "incomplete"
     name = F.url_decode(F.regexp_extract("path", rf"/{by}=([^/]*)/", 1))
     return (
         list_files(df.sparkSession, target)
         .groupBy(name.alias(by))
         .agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
         .withColumn("mb", F.round(F.col("bytes") / 1048576, 2))
-        .withColumn("skipped", F.lit(skipped))
+        .withColumn("status", F.lit(status))
     )

@@ -80,6 +80,7 @@ class ChangeLog:
         self.limit = limit
 
     def _last(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """What the trigger before left; only the first one has none before it."""
         if batch_id == 0:
             return None
         try:
@@ -87,26 +88,24 @@ class ChangeLog:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
+            raise RuntimeError(f"the last values that trigger {batch_id} needs are gone from {self.folder}") from error
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(self.key, self.ts, self.tie, self.value).withColumn("_old", F.lit(False))
-        known = self._last(batch.sparkSession, batch_id)
+        kept = batch.select(self.key, self.ts, self.tie, self.value).persist()
+        try:
+            self._apply(kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    def _apply(self, rows: DataFrame, batch_id: int) -> None:
+        # Known values come before anything in this trigger.
+        start, first = F.lit("0001-01-01").cast(dict(rows.dtypes)[self.ts]), F.lit(-(1 << 63)).cast("bigint")
+        known = self._last(rows.sparkSession, batch_id)
         if known is not None:
-            # Known values come before anything in this trigger.
-            start = F.lit("0001-01-01").cast(dict(batch.dtypes)[self.ts])
-            rows = rows.unionByName(
-                known.select(
-                    self.key,
-                    start.alias(self.ts),
-                    F.lit(-1).cast("bigint").alias(self.tie),
-                    self.value,
-                    F.lit(True).alias("_old"),
-                )
-            )
+            rows = rows.unionByName(known.select(self.key, start.alias(self.ts), first.alias(self.tie), self.value))
         found = changes(
             rows, self.key, self.value, self.ts, self.tie, self.limit
-        ).where(F.col(self.tie) >= 0)
+        ).where((F.col(self.ts) != start) | (F.col(self.tie) != first))
         found.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
         rows.groupBy(self.key).agg(
             F.max_by(self.value, F.struct(self.ts, self.tie)).alias(self.value)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import access, backups, events, freshness, metrics, replication, sessions, settings
-from fleetlens.specs import DATABASE_SPECS, SERVER_SPECS, StatSpec
+from fleetlens.specs import DATABASE_SPECS, SERVER_SPECS, SESSION_STATE_SPEC, StatSpec
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -42,14 +42,32 @@ def test_gauge_names_follow_the_spec(frame):
 
 def test_sessions_are_counted_with_zeroes(frame):
     act = frame(
-        [("a", "active", True), ("a", "idle", False), ("a", None, False), ("x", "idle", False)],
-        "datname string, state string, waiting boolean",
+        [("h1", "a", "active", True), ("h1", "a", "idle", False), ("h1", "a", None, False), ("h1", "x", "idle", False),
+         ("h2", "a", "idle", False)],
+        "unit string, datname string, state string, waiting boolean",
     )
-    dbs = metrics.databases(frame([("a",), ("b",), ("a",), ("postgres",), (None,)], "datname string"))
-    got = {r.datname: r for r in metrics.session_counts(dbs, act).collect()}
-    assert set(got) == {"a", "b"}
-    assert (got["a"].connections, got["a"].connections_waiting, got["a"].connections_active) == (3, 1, 1)
-    assert got["b"].connections == got["b"].connections_idle == 0
+    listed = [("h1", "a"), ("h1", "b"), ("h1", "a"), ("h1", "postgres"), ("h1", None), ("h2", "a")]
+    dbs = metrics.databases(frame(listed, "unit string, datname string"))
+    got = {(r.unit, r.datname): r for r in metrics.session_counts(dbs, act).collect()}
+    assert set(got) == {("h1", "a"), ("h1", "b"), ("h2", "a")}
+    a, b = got["h1", "a"], got["h1", "b"]
+    assert (a.connections, a.connections_waiting, a.connections_active) == (3, 1, 1)
+    assert b.connections == b.connections_idle == 0 and got["h2", "a"].connections == 1
+
+
+def test_all_snapshots_together(frame):
+    shots = []
+    for spec in (*SERVER_SPECS, *DATABASE_SPECS):
+        columns = ["unit", "version", *(["datname"] if spec not in SERVER_SPECS else []), *spec.key, "n", "note"]
+        row = [("h1", "9.1", *(["db"] if spec not in SERVER_SPECS else []), *spec.key, 3, "text")]
+        kinds = ["int" if c == "n" else "string" for c in columns]
+        shots.append((spec, frame(row, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))))
+    shots.append((SESSION_STATE_SPEC, frame([("h1", "9.1", "db", 1), ("h2", "9.3", "db", 1)], "unit string, version string, datname string, idle int")))
+    got = metrics.collect_gauges(shots).collect()
+    assert len(got) == 9 * 2 + 1
+    assert [r.unit for r in got if r.metric == "databases.db.idle"] == ["h2"]
+    assert ("h1", "databases.db.indexes.schemaname.relname.indexrelname.n", 3.0) in {tuple(r) for r in got}
+    assert all(r.value is None for r in got if r.metric.endswith(".note"))
 
 
 def test_gauge_lines(frame):
@@ -209,9 +227,10 @@ def test_pairs(frame):
 
 def test_lag(frame):
     standbys = frame([("c", "a", "0/10"), ("c", "b", "0/20"), ("c", "d", None)], "cluster string, unit string, position string")
+    standbys = standbys.union(frame([("lost", "e", "0/1")], standbys.schema))
     masters = frame([("c", "0/20")], "cluster string, position string")
     assert rows(replication.lag_bytes(standbys, masters), "unit", "lag", "in_sync") == [
-        ("a", 16, False), ("b", 0, True), ("d", None, False)]
+        ("a", 16, False), ("b", 0, True), ("d", None, False), ("e", None, False)]
 
 
 def test_settled_needs_a_repeat(frame):
@@ -230,7 +249,7 @@ def test_barrier(frame):
     df = frame([("c", "c/1", 1, "m"), ("c", "c/2", 2, ""), ("c", "c/3", 3, None), ("d", "d/1", 1, "")],
                "cluster string, unit string, number bigint, following string")
     assert rows(replication.barrier(df)) == [("c", 1, False), ("d", 0, True)]
-    assert rows(replication.waiting_on(df), "cluster", "waiting_on") == [("c", "c/1")]
+    assert rows(replication.waiting_on(df), "cluster", "unit", "number") == [("c", "c/1", 1)]
 
 
 ROLE = ("cluster string, unit string, manual boolean, master string, anointed string, host string, "
@@ -279,7 +298,7 @@ def test_roles_in_switchover_and_manual_mode(frame):
 
 def test_missing_rows(frame):
     master = frame([("c", 1), ("c", 2), ("d", 1)], "cluster string, token int")
-    copies = frame([("c", "c/1", 1), ("c", "c/1", 1), ("c", "c/2", 1), ("c", "c/2", 2), ("d", "d/1", 1)], "cluster string, unit string, token int")
+    copies = frame([("c", "c/1", 1), ("c", "c/1", 1), ("c", "c/2", 1), ("c", "c/2", 2), ("d", "d/1", 1), ("c", "gone/1", 1), ("c", "gone/2", 2), ("c", "gone/2", 1)], "cluster string, unit string, token int")
     units = frame([("c", "c/1"), ("c", "c/2"), ("c", "c/3"), ("d", "d/1")], "cluster string, unit string")
     assert rows(replication.missing_rows(master, copies, units, ["token"])) == [
         ("c", "c/1", 2), ("c", "c/3", 1), ("c", "c/3", 2)]
@@ -314,6 +333,8 @@ def test_derived_settings(frame):
     assert (a.wal_level, a.wal_keep_segments, a.archive_mode, a.password_encryption) == ("hot_standby", None, None, "true")
     assert (b.shared_buffers, b.effective_cache_size, b.max_wal_senders, b.max_connections) == ("251 MB", "750 MB", 11, 200)
     assert (b.wal_level, b.wal_keep_segments, b.archive_mode, b.syslog_ident) == ("logical", 600, "on", "b_0")
+    assert b.archive_command == "/snap/bin/wal-e.envdir /etc/postgresql/9.6/main/wal-e.env /snap/bin/wal-e wal-push %p"
+    assert a.archive_command is None
     assert (c.shared_buffers, c.wal_keep_segments, c.password_encryption) == ("8192 MB", 500, "md5")
 
 
@@ -354,7 +375,7 @@ def test_rewriting_a_managed_text(frame):
     old = "port = 1\n# port = 2\n\n  PORT=3 # x\nports = 4\n### BEGIN JUJU SETTINGS ###\nport = 9\n### END JUJU SETTINGS ###\n"
     texts = frame([(1, old), (2, "a = 1")], "doc_id int, text string")
     chosen = frame([(1, "port", "5"), (1, "x", "it's"), (1, "x", "it's")], "doc_id int, name string, value string")
-    got = dict(rows(settings.rewrite_managed(texts, chosen)))
+    got = {r.doc_id: r.text for r in settings.rewrite_managed(texts, chosen).collect()}
     assert got[1] == ("# juju # port = 1\n# port = 2\n# juju # PORT=3 # x\nports = 4\n\n"
                       "### BEGIN JUJU SETTINGS ###\nport = 5\nx = 'it''s'\n### END JUJU SETTINGS ###")
     assert got[2] == "a = 1\n### BEGIN JUJU SETTINGS ###\n### END JUJU SETTINGS ###"
@@ -428,10 +449,11 @@ def test_rules_file_is_retired(frame):
 
 
 def test_roles_and_extensions(frame):
-    wanted = frame([("u", "B,,C")], "account string, roles string")
-    roles = frame([(1, "u"), (2, "A"), (3, "B")], "oid int, rolname string")
-    members = frame([(1, 2), (1, 3)], "member int, roleid int")
-    assert rows(access.missing_grants(wanted, roles, members)) == [("u", "C")]
+    wanted = frame([("c", "u", "B,,C"), ("d", "u", "B")], "cluster string, account string, roles string")
+    roles = frame([("c", 1, "u"), ("c", 2, "A"), ("c", 3, "B"), ("d", 1, "B"), ("d", 3, "u")], "cluster string, oid int, rolname string")
+    members = frame([("c", 1, 2), ("c", 1, 3)], "cluster string, member int, roleid int")
+    assert rows(access.missing_grants(wanted, roles, members)) == [("c", "u", "C"), ("d", "u", "B")]
+    assert rows(access.missing_roles(wanted, roles)) == [("c", "C")]
     ext = frame([("d", "A", 1), ("d", "B", 1)], "datname string, extname string, extnamespace int")
     ns = frame([("d", 1, "public"), ("e", 1, "other")], "datname string, oid int, nspname string")
     missing = access.missing_extensions(frame([("d", "B, C(custom)")], "datname string, extensions string"), ext, ns)
@@ -443,14 +465,17 @@ def test_connection_strings(frame):
     df = frame([("db", 1, "pg/1", 1, True, "h1", "5432", "d", "u", "p"), ("db", 1, "pg/2", 2, False, "h2", "5432", "d", "u", "a b"),
                 ("db", 1, "pg/3", 3, False, "h3", "", "d", "u", "p"), ("db", 2, "pg/1", 1, True, "h1", "5432", "d", None, "p")],
                "relname string, relid int, unit string, number bigint, is_master boolean, host string, port string, database string, user string, password string")
-    assert rows(access.connection_strings(df), "relid", "master", "standbys") == [
-        (1, "dbname=d host=h1 password=p port=5432 user=u", "dbname=d host=h2 password='a b' port=5432 user=u"), (2, None, None)]
+    df = df.withColumn("cluster", F.lit("c"))
+    assert rows(access.connection_strings(df), "relid", "role", "unit", "conn") == [
+        (1, "master", "pg/1", "dbname=d host=h1 password=p port=5432 user=u"),
+        (1, "standby", "pg/2", "dbname=d host=h2 password='a b' port=5432 user=u"), (2, "master", "pg/1", None)]
 
 
 def test_database_of_a_relation(frame):
     df = frame([("db", 1, "app/10", 10, "late", None), ("db", 1, "app/9", 9, None, "shown"), ("db", 2, "web/1", 1, None, None), ("db", 3, "x/1", 1, "asked", "shown")],
                "relname string, relid int, unit string, number bigint, requested string, published string")
-    assert rows(access.relation_database(df), "relid", "database") == [(1, "shown"), (2, "web"), (3, "asked")]
+    df = df.union(frame([("db-admin", 4, "adm/1", 1, None, "all")], df.schema)).withColumn("cluster", F.lit("c"))
+    assert rows(access.relation_database(df), "relid", "database") == [(1, "shown"), (2, "web"), (3, "asked"), (4, "adm")]
 
 
 def test_natural_order(frame):

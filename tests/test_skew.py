@@ -8,9 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.ordered import look_back, previous, slice_busy_keys
-from fleetlens.functions.parts import by_network, by_number, joined_parts
 from fleetlens.functions import skew
-from fleetlens.functions.skew import lookup_join, spread_join, top_rows
+from fleetlens.functions.skew import spread_join, top_rows
 from fleetlens.operators.sessions import idle_runs
 
 START = dt.datetime(2024, 1, 1)
@@ -100,48 +99,37 @@ def test_idle_runs_split_or_not(history, limit):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("limit", [45, 10_000])
-def test_spread_join_is_a_join(history, frame, how, limit):
-    side = frame([("busy", 1), ("busy", 2), ("k1", 3), ("nobody", 4)], "k string, x int")
-    got = spread_join(history, side, ["k"], how, limit=limit)
-    want = history.join(side, ["k"], how)
+def test_spread_join_is_a_join(history, frame, how):
+    side = frame([("busy", 1), ("busy", 2), ("k1", 3), ("nobody", 4), (None, 5)], "k string, x int")
+    nulls = history.limit(1).withColumn("k", F.lit(None).cast("string")).unionByName(history)
+    got = spread_join(nulls, side, ["k"], how)
+    want = nulls.join(side, ["k"], how)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_spread_join_takes_known_counts(history, frame):
-    side = frame([("busy", 1)], "k string, x int")
-    counts = frame([("busy", 1000)], "k string, _n bigint")
-    assert spread_join(history, side, ["k"], counts=counts, limit=100).count() == 1000
-
-
-def test_large_groups_come_in_parts(frame):
-    rows = frame(
-        [("big", i, f"u/{i}") for i in range(2500)] + [("small", 2, "s/2"), ("small", 10, "s/10"), ("small", 2, "s/2")],
-        "g string, number bigint, unit string",
-    )
-    got = joined_parts(rows, ["g"], ["number", "unit"], "unit", "text", " ", by_number(F.col("number"), 1000), 1000)
-    parts = {(r.g, r.part): r for r in got.collect()}
-    assert parts[("small", "")].text == "s/2 s/10"
-    big = [parts[k].text for k in sorted(parts) if k[0] == "big"]
-    assert len(big) == 3 and " ".join(big).split() == [f"u/{i}" for i in range(2500)]
-
-
-def test_large_address_lists_are_cut_by_network(frame):
-    addresses = [f"10.{i // 250}.0.{i % 250}/32" for i in range(1500)]
-    rows = frame([("g", a) for a in addresses], "g string, address string")
-    got = joined_parts(rows, ["g"], ["address"], "address", "text", ",", by_network(F.col("address")), 1000)
-    parts = got.collect()
-    assert {r.part for r in parts} == {f"10.{i}.0." for i in range(6)}
-    assert sorted(a for r in parts for a in r.text.split(",")) == sorted(addresses)
-
-
-@pytest.mark.parametrize("max_rows", [1, 100])
-def test_lookups_are_broadcast_only_while_small(history, frame, max_rows):
-    side = frame([("busy", 1), ("k1", 3)], "k string, x int")
-    got = lookup_join(history, side, ["k"], "left", max_rows)
-    want = history.join(side, ["k"], "left")
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+def test_busy_keys_of_an_aggregate_are_split(spark, frame):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        big = spark.range(40_000, numPartitions=8).selectExpr("if(id % 2 = 0, -1, id % 50) AS k", "sha(cast(id AS string)) AS v")
+        joined = spread_join(big, big.groupBy("k").agg(F.count("v").alias("n")), ["k"])
+        assert joined.count() == 40_000
+        plain = joined.groupBy().agg(F.max("v"), F.sum("n"))
+        plain.collect()
+        assert "skew=true" in plain._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("small_top", [1, 1000])

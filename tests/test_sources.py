@@ -91,11 +91,18 @@ def test_export(spark, tmp_path, frame, tool, ending):
     df = frame([("a b", 1), ("a b", 2), ("c", 3)], "datname string, x int")
     done = sinks.export(df, str(tmp_path), "datname", "20240101_000000", tool, 9 if tool == "gzip" else None)
     got = {r.datname: r for r in done.collect()}
-    assert set(got) == {"a b", "c"} and got["c"].bytes > 0 and not got["c"].skipped
+    assert set(got) == {"a b", "c"} and got["c"].bytes > 0 and got["c"].status == "written"
     listed = files.list_files(spark, str(tmp_path)).where(F.contains("path", F.lit("part-")))
     assert all(r.path.endswith(ending) for r in listed.collect())
     again = sinks.export(df.limit(0), str(tmp_path), "datname", "20240101_000000", tool)
-    assert {(r.datname, r.bytes, r.skipped) for r in again.collect()} == {(k, v.bytes, True) for k, v in got.items()}
+    assert {(r.datname, r.bytes, r.status) for r in again.collect()} == {(k, v.bytes, "skipped") for k, v in got.items()}
+
+
+def test_a_broken_export_is_not_taken_for_a_whole_one(spark, tmp_path, frame):
+    df = frame([("a", 1)], "datname string, x int")
+    sinks.export(df, str(tmp_path), "datname", "s", "none")
+    (tmp_path / "s" / "_SUCCESS").unlink()
+    assert {r.status for r in sinks.export(df, str(tmp_path), "datname", "s", "none").collect()} == {"incomplete"}
 
 
 def test_export_options(frame):

@@ -1,5 +1,7 @@
 """Streams over split files against the batch form."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def test_a_trigger_run_again_changes_nothing(spark, tables):
     assert text(log.read(spark)) == text(events.changes(df, "unit", "target"))
 
 
+def test_negative_ids_and_lost_values(spark, frame):
+    log = ChangeLog(work_folder(spark, "changes"), "k", "v", tie="id")
+    rows = [("a", datetime(2024, 1, 1), -5, "x"), ("a", datetime(2024, 1, 2), -4, "y")]
+    log.apply(frame(rows, "k string, ts timestamp_ntz, id bigint, v string"), 0)
+    log.apply(frame([("a", datetime(2024, 1, 3), -3, "y"), ("a", datetime(2024, 1, 4), -2, "z")], "k string, ts timestamp_ntz, id bigint, v string"), 1)
+    assert sorted((r.id, r.v, r.previous) for r in log.read(spark).collect()) == [(-5, "x", None), (-4, "y", "x"), (-2, "z", "y")]
+    with pytest.raises(RuntimeError, match="gone"):
+        ChangeLog(work_folder(spark, "changes"), "k", "v", tie="id").apply(frame([], "k string, ts timestamp_ntz, id bigint, v string"), 3)
+
+
 def test_samples(spark, tables, split_events):
     stream = tables.adapt("gauges", events=read_folder(spark, split_events, max_files=1))
     out = spark.read.parquet(drain(sample_stream(stream), "samples"))

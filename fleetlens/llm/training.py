@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 @dataclass
@@ -30,9 +30,9 @@ def labelled_sample(
         F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")
     )
     counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    # Each task keeps its first per_class rows before any shuffle.
-    chosen = usable.withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= per_class).drop("rn")
+    # Each task keeps its first per_class rows of a class before any are sent.
+    first = [usable.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
+    chosen = first[0].unionByName(first[1])
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
     # At most twice per_class slim rows.

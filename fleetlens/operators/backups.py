@@ -127,69 +127,57 @@ def resolve_backup(
 
     ``LATEST``, which a null or blank ``backup`` also means, takes the newest backup
     started before the target; a named one must exist and have started before it.
-    Without a target the store's newest is taken from one aggregate. Requests and backups are merged into
-    one timeline per store and each request looks back along it, so no pairs of
-    the two are ever formed.
+    Names and the newest of each store come from aggregates, in one pass over the
+    requests. Those for the latest before a target are merged with the backups into one
+    timeline per store and look back along it, so no pairs of the two are ever formed.
     """
     stores = backups.groupBy("store").agg(
         F.lit(True).alias("known_store"), F.max_by("name", F.struct("started", "name")).alias("newest")
     )
-    asked = F.coalesce(F.nullif(F.trim("backup"), F.lit("")), F.lit(LATEST))
-    checked = spread_join(requests.withColumn("backup", asked), stores, ["store"], "left")
-    untimed = checked.where((F.col("backup") == LATEST) & F.col("target_time").isNull()).select(
+    known = (
+        backups.withColumn("_name", _normal(F.col("name")))
+        .groupBy("store", "_name")
+        .agg(F.min_by("name", F.struct("started", "name")).alias("name"), F.min("started").alias("started"))
+    )
+    asked = requests.withColumn("backup", F.coalesce(F.nullif(F.trim("backup"), F.lit("")), F.lit(LATEST)))
+    latest, targeted = F.col("backup") == LATEST, F.col("target_time").isNotNull()
+
+    direct = asked.where(~(latest & targeted)).withColumn("_name", _normal(F.col("backup")))
+    early = ~targeted | (F.col("started") < F.col("target_time"))
+    answered = spread_join(spread_join(direct, stores, ["store"], "left"), known, ["store", "_name"], "left").select(
         "request_id",
         "store",
         "backup",
-        F.col("newest").alias("resolved"),
-        F.when(F.col("known_store").isNull(), F.lit("no backups")).alias("reason"),
+        F.when(latest, F.col("newest")).when(early, F.col("name")).alias("resolved"),
+        F.when(F.col("known_store").isNull(), F.lit("no backups"))
+        .when(latest, F.lit(None).cast("string"))
+        .when(F.col("name").isNull(), F.lit("not found"))
+        .when(~early, F.lit("not before target"))
+        .alias("reason"),
     )
-    latest = checked.where((F.col("backup") == LATEST) & F.col("target_time").isNotNull())
-    named = checked.where(F.col("backup") != LATEST)
 
     # At equal times a request comes first, so a backup must be strictly older.
-    timeline = latest.select(
+    timeline = asked.where(latest & targeted).select(
         "store",
         F.col("target_time").alias("at"),
         F.lit(0).alias("side"),
         F.lit(None).cast("string").alias("name"),
         "request_id",
         "backup",
-        "known_store",
     ).unionByName(
         backups.select("store", F.col("started").alias("at"), F.lit(1).alias("side"), "name"),
         allowMissingColumns=True,
     )
-    by_latest = (
-        look_back(
-            timeline, ["store"], "at", ["side", "name"], F.col("name"), "resolved", True, limit
-        )
-        .where(F.col("side") == 0)
-        .select(
-            "request_id",
-            "store",
-            "backup",
-            "resolved",
-            F.when(F.col("known_store").isNull(), F.lit("no backups"))
-            .when(F.col("resolved").isNull(), F.lit("none before target"))
-            .alias("reason"),
-        )
-    )
-
-    known = (
-        backups.withColumn("_name", _normal(F.col("name")))
-        .groupBy("store", "_name")
-        .agg(F.min_by("name", F.struct("started", "name")).alias("name"), F.min("started").alias("started"))
-    )
-    early = F.col("target_time").isNull() | (F.col("started") < F.col("target_time"))
-    by_given = named.withColumn("_name", _normal(F.col("backup")))
-    by_name = spread_join(by_given, known, ["store", "_name"], "left").select(
+    found = look_back(
+        timeline, ["store"], "at", ["side", "name"], F.col("name"), "resolved", True, limit
+    ).where(F.col("side") == 0)
+    looked = spread_join(found, stores.drop("newest"), ["store"], "left").select(
         "request_id",
         "store",
         "backup",
-        F.when(early, F.col("name")).alias("resolved"),
+        "resolved",
         F.when(F.col("known_store").isNull(), F.lit("no backups"))
-        .when(F.col("name").isNull(), F.lit("not found"))
-        .when(~early, F.lit("not before target"))
+        .when(F.col("resolved").isNull(), F.lit("none before target"))
         .alias("reason"),
     )
-    return untimed.unionByName(by_latest).unionByName(by_name)
+    return answered.unionByName(looked)

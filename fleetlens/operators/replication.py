@@ -204,8 +204,9 @@ def missing_rows(
     """
     row = ["cluster", *keys]
     members = units.select("cluster", "unit").distinct()
-    held = copies.select("cluster", "unit", *keys).distinct().join(members, ["cluster", "unit"], "left_semi")
-    counts = held.groupBy(*row).agg(F.count(F.lit(1)).alias("_held"))
+    held = copies.select("cluster", "unit", *keys)
+    listed = held.distinct().join(members, ["cluster", "unit"])
+    counts = listed.groupBy(*row).agg(F.count(F.lit(1)).alias("_held"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_units"))
     counted = master.select(*row).distinct().join(counts, row, "left")
     incomplete = (

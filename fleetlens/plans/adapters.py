@@ -116,6 +116,8 @@ SELECT concat('n', o_custkey % 25) AS unit, concat('10.0.0.', o_orderkey % 1000)
 FROM {orders}""",
     "master_rows": """
 SELECT concat('c', o_custkey % 5) AS cluster, o_orderkey AS token FROM {orders}""",
+    "listed_units": """
+SELECT DISTINCT concat('c', o_custkey % 5) AS cluster, concat('copy/', o_orderkey % 3 + 1) AS unit FROM {orders}""",
     "copied_rows": """
 SELECT concat('c', o_custkey % 5) AS cluster, 'copy/1' AS unit, o_orderkey AS token FROM {orders}
 UNION ALL SELECT concat('c', o_custkey % 5), 'gone/9', o_orderkey FROM {orders} WHERE o_orderstatus = 'P'

@@ -121,14 +121,14 @@ def role_flags(t: Tables) -> DataFrame:
 @query(
     "master_rows",
     "copied_rows",
+    "listed_units",
     sql="""
-    SELECT m.cluster, u.unit, m.token FROM master_rows m JOIN (SELECT DISTINCT cluster, unit FROM copied_rows WHERE unit <> 'gone/9') u ON u.cluster = m.cluster
+    SELECT m.cluster, u.unit, m.token FROM master_rows m JOIN listed_units u ON u.cluster = m.cluster
     WHERE NOT EXISTS (SELECT 1 FROM copied_rows c WHERE c.cluster = m.cluster AND c.unit = u.unit AND c.token = m.token)""",
 )
 def missing_rows(t: Tables) -> DataFrame:
-    copies = t["copied_rows"]
-    units = copies.where("unit <> 'gone/9'").select("cluster", "unit")  # that one has left
-    return replication.missing_rows(t["master_rows"], copies, units, ["token"])
+    """One of the units that hold copies has left its cluster and doesn't count."""
+    return replication.missing_rows(t["master_rows"], t["copied_rows"], t["listed_units"], ["token"])
 
 
 @query(

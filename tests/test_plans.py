@@ -53,3 +53,13 @@ def test_without_busy_keys_the_plain_window_is_left(name, spark, small):
     plan = plan_of(spark, small, name)
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan
+
+
+# Most scans of all inputs together; an adapter's own unions count.
+MOST_SCANS = {"resolve_backup": 6, "resolve_named_backup": 6, "missing_rows": 13, "connection_strings": 2,
+              "role_flags": 6, "allowed_units": 2, "standby_counts": 5, "lag_bytes": 2, "validate": 2}
+
+
+@pytest.mark.parametrize("name", sorted(MOST_SCANS))
+def test_inputs_are_not_read_over_and_over(name, spark, small):
+    assert len(re.findall("FileScan parquet", plan_of(spark, small, name))) <= MOST_SCANS[name]

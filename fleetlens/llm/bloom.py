@@ -10,7 +10,7 @@ ROW_BITS = 16  # bits of the filter per row ...
 MOST_BLOCKS = 32_768  # ... up to 128 MB, the most that is ever sent to every task
 
 
-def _bit(bits: Column, place: Column) -> Column:
+def bit(bits: Column, place: Column) -> Column:
     """Whether bit ``place`` of a bitmap is set (bit 0 is the lowest of the first byte)."""
     byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
@@ -35,5 +35,5 @@ def mark_repeated(rows: DataFrame, key: str, hashes: int = 2) -> DataFrame:
     found = rows.withColumn("_block", block).join(F.broadcast(bitmaps), "_block", "left")  # at most MOST_BLOCKS of 4 KB
     hit = F.col("_bits").isNotNull()
     for place in places:
-        hit = hit & _bit(F.col("_bits"), place)
+        hit = hit & bit(F.col("_bits"), place)
     return found.withColumn("maybe", hit).drop("_block", "_bits")

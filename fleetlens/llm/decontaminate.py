@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.bloom import BLOCK_BITS, bit
 from fleetlens.llm.common import ascii_lower, written
 
 SPAN = 13  # words of a window
 K = 8  # words whose hash may become a fingerprint
 KEPT_OF = SPAN - K + 1  # hashes in a row of which the lowest is kept: any SPAN words have one
 
+PRINT_PLACES = 512  # places of the bitmap for each fingerprint of the benchmark ...
+MOST_PLACES = 1 << 23  # ... up to 1 MB, the most that is ever sent to every task
+HITS = "array<struct<print:bigint,windows:array<struct<s:int,n:int,window:string>>>>"
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,51 +46,66 @@ def _grams(words: Column, n: int) -> Column:
     )
 
 
-def _fingerprints(words: Column) -> Column:
+def _winnowed(hashes: Column) -> Column:
     """The lowest of each ``KEPT_OF`` hashes in a row."""
     return F.array_distinct(
-        let(
-            _grams(words, K),
-            lambda h: F.transform(up_to(F.size(h) - KEPT_OF + 1), lambda i: F.array_min(F.slice(h, i, KEPT_OF))),
-        )
+        F.transform(up_to(F.size(hashes) - KEPT_OF + 1), lambda i: F.array_min(F.slice(hashes, i, KEPT_OF)))
+    )
+
+
+def _hits(words: Column, hashes: Column, prints: Column, bits: Column, size: int, windows: Callable[[Column], Column]) -> Column:
+    """Each place whose hash is one of ``prints`` and may be one of the benchmark's: the print, and windows there."""
+    return let(
+        F.filter(prints, lambda h: _may_hold(bits, h, size)),
+        lambda some: F.when(
+            F.size(some) > 0,
+            F.transform(
+                F.filter(up_to(F.size(hashes)), lambda i: F.array_contains(some, F.element_at(hashes, i))),
+                lambda i: F.struct(F.element_at(hashes, i).alias("print"), windows(i).alias("windows")),
+            ),
+        ).otherwise(F.array().cast(HITS)),
     )
 
 
 def _windows(words: Column, starts: Column, n: int) -> Column:
     return F.transform(
         starts,
-        lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), F.array_join(F.slice(words, s, n), " ").alias("window")),
+        lambda s: F.struct(
+            s.cast("int").alias("s"), F.lit(n).alias("n"), F.array_join(F.slice(words, s, n), " ").alias("window")
+        ),
     )
 
 
-def _around(words: Column, marks: Column) -> Column:
-    """The windows around each place of a marked hash that lie within the text."""
-    return let(
-        F.array_distinct(
-            F.flatten(
-                let(
-                    _grams(words, K),
-                    lambda h: F.transform(
-                        F.filter(up_to(F.size(h)), lambda i: F.array_contains(marks, F.element_at(h, i))),
-                        lambda i: F.filter(
-                            F.sequence(i - KEPT_OF + 1, i), lambda s: (s >= 1) & (s <= F.size(words) - SPAN + 1)
-                        ),
-                    ),
-                )
-            )
-        ),
-        lambda starts: _windows(words, starts, SPAN),
-    )
+def _around(words: Column, i: Column) -> Column:
+    """The windows that hold the ``K`` words at ``i`` and lie within the text."""
+    starts = F.filter(F.sequence(i - KEPT_OF + 1, i), lambda s: (s >= 1) & (s <= F.size(words) - SPAN + 1))
+    return _windows(words, starts, SPAN)
 
 
-def _short(words: Column, marks: Column, least: int, n: int) -> Column:
-    """The windows of ``n`` words whose first ``least`` words have a marked hash."""
-    return let(
-        _grams(words, least),
-        lambda h: _windows(
-            words, F.filter(up_to(F.size(words) - n + 1), lambda i: F.array_contains(marks, F.element_at(h, i))), n
-        ),
-    )
+def _from(words: Column, i: Column, lengths: list[int]) -> Column:
+    """The windows of short items' lengths that begin at ``i``."""
+    starts = lambda n: F.when(i + n - 1 <= F.size(words), F.array(i)).otherwise(F.array().cast("array<int>"))
+    return F.concat(*[_windows(words, starts(n), n) for n in lengths])
+
+
+def _places(print_: Column, size: int) -> list[Column]:
+    return [F.pmod(print_, F.lit(size)), F.pmod(F.xxhash64(print_), F.lit(size))]
+
+
+def _may_hold(bits: Column, print_: Column, size: int) -> Column:
+    first, second = _places(print_, size)
+    return bit(bits, first) & bit(bits, second)
+
+
+def _filter(prints: DataFrame, size: int) -> DataFrame:
+    """One row: a bitmap of ``size`` places, two of which each print sets."""
+    slots = prints.select(F.explode(F.array(*_places(F.col("print"), size))).alias("slot"))
+    set_ = slots.groupBy(F.expr(f"slot div {BLOCK_BITS}").alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % BLOCK_BITS).alias("bits"))
+    empty = F.unhex(F.lit("00" * (BLOCK_BITS // 8)))
+    blocks = size // BLOCK_BITS
+    every = prints.sparkSession.range(blocks).select(F.col("id").alias("block")).join(set_, "block", "left")
+    listed = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("bits", empty).alias("bits")))).alias("all"))
+    return listed.select(F.concat(*[F.col("all")[i]["bits"] for i in range(blocks)]).alias("bits"), F.lit(0).cast("long").alias("one"))
 
 
 def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,9 +128,11 @@ def decontaminate(
     document is contaminated if at least one word in twenty is hit.
 
     Both sides are winnowed: of any ``KEPT_OF`` hashes of ``K`` words in a row the lowest is
-    a fingerprint, so every shared window shares one. Fingerprints are joined; documents
-    that share none are done. A hit is extended to the windows around it, which are compared
-    as text. Items shorter than a window are found by the hash of their first words.
+    a fingerprint, so every shared window shares one. A bitmap of the benchmark's
+    fingerprints, of at most ``MOST_PLACES`` bits, goes to every task and rules out nearly all
+    others where they are made; what is left is joined with the fingerprints. A hit is
+    extended to the windows around it, which are compared as text. Texts are read once and
+    never shuffled. Items shorter than a window are found by the hash of their first words.
 
     Null and empty texts have no words. A null item id stands for no item. Rows repeated
     with one id and text each get the same answer; different texts with one id are
@@ -118,7 +140,7 @@ def decontaminate(
     """
     bench = written(_items(items, item_col, item_text_col), "bench-items")
     lengths = sorted(r.n for r in bench.where(F.col("n") < SPAN).select("n").distinct().collect())  # below SPAN
-    prints = [bench.where(F.col("n") == SPAN).select(F.explode(_fingerprints(F.col("words"))).alias("print"))]
+    prints = [bench.where(F.col("n") == SPAN).select(F.explode(let(_grams(F.col("words"), K), _winnowed)).alias("print"))]
     least = lengths[0] if lengths else 0
     if lengths:
         begins = let(F.transform(F.slice("words", 1, least), lambda w: F.xxhash64(w)), lambda h: F.xxhash64(h))
@@ -137,22 +159,33 @@ def decontaminate(
         F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.hex(F.xxhash64(text)), F.hex(F.hash(text))).alias("key"),
         text.alias("text"),
     )
-    both = _fingerprints
-    if lengths:
-        both = lambda w: F.array_union(_fingerprints(w), _grams(w, least))
-    shared = keyed.select("key", F.explode(let(words_of(F.col("text")), both)).alias("print")).join(marked, "print", "left_semi")
-    hits = written(shared.groupBy("key").agg(F.collect_set("print").alias("marks")), "shared-prints")
-
-    def candidates(words: Column) -> Column:
-        marks = F.col("marks")
-        found = [_around(words, marks), *(_short(words, marks, least, n) for n in lengths)]
-        return F.when(marks.isNotNull(), F.concat(*found))
-
-    facts = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), candidates(w).alias("windows")))
-    checked = written(
-        keyed.join(hits, "key", "left").select("id", "key", facts.alias("facts")).select("id", "key", "facts.*"), "checked"
+    size = BLOCK_BITS
+    while size < min(MOST_PLACES, PRINT_PLACES * marked.count()):
+        size *= 2
+    bitmap = written(_filter(marked, size), "bench-filter")
+
+    def hits(words: Column) -> Column:
+        bits = F.col("bits")
+        found = let(_grams(words, K), lambda h: _hits(words, h, _winnowed(h), bits, size, lambda i: _around(words, i)))
+        if not lengths:
+            return found
+        short = let(
+            _grams(words, least),
+            lambda h: _hits(words, h, F.array_distinct(h), bits, size, lambda i: _from(words, i, lengths)),
+        )
+        return F.concat(found, short)
+
+    facts = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), hits(w).alias("hits")))
+    # The bitmap's one row, of at most MOST_PLACES / 8 bytes, for every document.
+    met = keyed.withColumn("one", F.pmod(F.xxhash64("key"), F.lit(1))).join(F.broadcast(bitmap), "one")
+    checked = written(met.select("id", "key", facts.alias("facts")).select("id", "key", "facts.*"), "checked")
+    shared = (
+        checked.where("size(hits) > 0")
+        .select("key", F.explode("hits").alias("hit"))
+        .select("key", "hit.*")
+        .join(marked, "print", "left_semi")
     )
-    found = checked.where("size(windows) > 0").select("key", F.explode("windows").alias("w")).select("key", "w.*").join(windows, "window")
+    found = shared.select("key", F.explode("windows").alias("w")).select("key", "w.*").join(windows, "window")
     per_doc = found.groupBy("key").agg(
         F.collect_set(F.struct("s", "n")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
     )
@@ -162,7 +195,7 @@ def decontaminate(
     summed = per_doc.select(
         "key", n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items")
     )
-    out = checked.drop("windows").join(summed, "key", "left").select(
+    out = checked.drop("hits").join(summed, "key", "left").select(
         F.col("id").alias(id_col),
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import bpe, quality
+from fleetlens.llm.bloom import without_keys
 from fleetlens.llm.common import part_of, table, written
 from fleetlens.llm.decontaminate import decontaminate
 from fleetlens.llm.line_dedup import without_repeats
@@ -34,13 +35,13 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near copies."""
     copies = near_dedup(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(written(copies, "near-copies"), "doc_id", "left_anti")
+    return without_keys(docs, written(copies, "near-copies"), "doc_id")
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(written(found, "contaminated"), "doc_id", "left_anti")
+    return without_keys(docs, written(found, "contaminated"), "doc_id")
 
 
 def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

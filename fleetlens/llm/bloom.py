@@ -16,6 +16,29 @@ def bit(bits: Column, place: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
 
 
+def _places(key: str, rows: int, hashes: int) -> tuple[Column, list[Column]]:
+    """A key's block and its places in it, for a filter of so many rows."""
+    blocks = max(1, min(MOST_BLOCKS, rows * ROW_BITS // BLOCK_BITS + 1))
+    places = [F.pmod(F.xxhash64(key, F.lit(n + 1)), F.lit(BLOCK_BITS)) for n in range(hashes)]
+    return F.pmod(F.xxhash64(key), F.lit(blocks)), places
+
+
+def _slots(rows: DataFrame, block: Column, places: list[Column]) -> DataFrame:
+    return rows.select(F.explode(F.array_distinct(F.array(*[block * BLOCK_BITS + p for p in places]))).alias("slot"))
+
+
+def _looked_up(rows: DataFrame, slots: DataFrame, block: Column, places: list[Column]) -> DataFrame:
+    """``rows`` with ``maybe``: all their places are among the slots."""
+    bitmaps = slots.groupBy(F.expr(f"slot div {BLOCK_BITS}").alias("_block")).agg(
+        F.bitmap_construct_agg(F.col("slot") % BLOCK_BITS).alias("_bits")
+    )
+    found = rows.withColumn("_block", block).join(F.broadcast(bitmaps), "_block", "left")  # at most MOST_BLOCKS of 4 KB
+    hit = F.col("_bits").isNotNull()
+    for place in places:
+        hit = hit & bit(F.col("_bits"), place)
+    return found.withColumn("_maybe", hit).drop("_block", "_bits")
+
+
 def mark_repeated(rows: DataFrame, key: str, hashes: int = 2) -> DataFrame:
     """``rows`` with a column ``maybe``, which is true wherever another row has the same key.
 
@@ -24,16 +47,19 @@ def mark_repeated(rows: DataFrame, key: str, hashes: int = 2) -> DataFrame:
     places in one block for each key; places of two or more rows are set. Then each row
     looks its places up. Only numbers of places are shuffled.
     """
-    blocks = max(1, min(MOST_BLOCKS, rows.count() * ROW_BITS // BLOCK_BITS + 1))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
-    places = [F.pmod(F.xxhash64(key, F.lit(n + 1)), F.lit(BLOCK_BITS)) for n in range(hashes)]
-    slots = rows.select(F.explode(F.array_distinct(F.array(*[block * BLOCK_BITS + p for p in places]))).alias("slot"))
-    repeated = slots.groupBy("slot").count().where("count > 1")
-    bitmaps = repeated.groupBy(F.expr(f"slot div {BLOCK_BITS}").alias("_block")).agg(
-        F.bitmap_construct_agg(F.col("slot") % BLOCK_BITS).alias("_bits")
-    )
-    found = rows.withColumn("_block", block).join(F.broadcast(bitmaps), "_block", "left")  # at most MOST_BLOCKS of 4 KB
-    hit = F.col("_bits").isNotNull()
-    for place in places:
-        hit = hit & bit(F.col("_bits"), place)
-    return found.withColumn("maybe", hit).drop("_block", "_bits")
+    block, places = _places(key, rows.count(), hashes)
+    repeated = _slots(rows, block, places).groupBy("slot").count().where("count > 1")
+    return _looked_up(rows, repeated, block, places).withColumnRenamed("_maybe", "maybe")
+
+
+def without_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is not in ``gone``, a written table of keys; null keys stay.
+
+    Wide rows are not shuffled for it: a filter of the keys that go, of bounded size, is
+    sent to every task, and what it doesn't hold passes straight through. Only the rest,
+    the rows that go and a few more, are joined. ``rows`` are read twice.
+    """
+    block, places = _places(key, gone.count(), 2)
+    tested = _looked_up(rows, _slots(gone, block, places).distinct(), block, places)
+    maybe = tested.where("_maybe").join(gone.select(key), key, "left_anti")
+    return tested.where("not _maybe").unionByName(maybe).select(*rows.columns)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fleetlens.llm import simhash
-from fleetlens.llm.bloom import mark_repeated
+from fleetlens.llm.bloom import mark_repeated, without_keys
 from fleetlens.llm.exact_dedup import exact_dedup
 
 SCHEMA = "doc_id long, text string, h string, keep_id long"
@@ -49,6 +49,16 @@ def test_bloom_filter_misses_no_repeat(spark):
         assert by[True].five == 301 and by[False].five == 0 and by[False].n > 2400
 
 
+def test_keys_that_go(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, f"t{i}", i) for i in range(500)], "k long, t string, slot int")
+    gone = spark.createDataFrame([(i,) for i in range(0, 500, 3)] + [(None,), (9,)], "k long")
+    got = without_keys(rows, gone, "k")
+    assert got.columns == rows.columns
+    want = [(k, t, n) for k, t, n in rows.collect() if k is None or k % 3]
+    assert sorted(tuple(r)[2] for r in got.collect()) == sorted(n for *_, n in want)
+    assert without_keys(rows, gone.limit(0), "k").count() == 500
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -36,6 +36,7 @@ RATE = 0.004
 def symbols(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The bytes, 256 higher where they repeat what is shortly before in the same text."""
     repeats = np.zeros(len(data), bool)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(starts[:-1], np.diff(starts)).astype(np.int32)
     for lag in LAGS:
         if len(data) <= lag + RUN:
             break
@@ -44,9 +45,8 @@ def symbols(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         run = run[2:] & run[:-2]  # 4
         wide = run[4:] & run[:-4]  # 8
         run = wide[4:] & run[: len(wide) - 4]  # 12
-        repeats[lag + RUN - 1 :] |= run
-    place = np.arange(len(data)) - np.repeat(starts[:-1], np.diff(starts))
-    repeats[place < RUN] = False
+        back = lag + RUN - 1  # as far as the earlier run begins
+        repeats[back:] |= run & (place[back:] >= back)
     return data + 256 * repeats.astype(np.int16)
 
 

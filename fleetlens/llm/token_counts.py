@@ -91,11 +91,10 @@ class CountingTransducer:
         """The plain rule, for single bytes: join the neighbours of lowest rank, leftmost first."""
         merges = self.merges
         while len(parts) > 1:
-            best = min((merges[p][0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in merges) if any(
-                p in merges for p in zip(parts, parts[1:], strict=False)) else None
-            if best is None:
+            ranked = [(merges[p][0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in merges]
+            if not ranked:
                 break
-            i = best[1]
+            i = min(ranked)[1]
             parts[i : i + 2] = [merges[parts[i], parts[i + 1]][1]]
         return parts
 

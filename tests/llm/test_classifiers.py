@@ -46,6 +46,9 @@ def test_repeats_are_marked_within_a_text_only():
     text = b"word " * 20
     marks = quality.symbols(*joined([text, text[:10], b"abcdefghijklmnopqrstuvwxyz"])) >= 256
     assert marks[20:100].all() and not marks[:12].any() and not marks[100:].any()
+    alone = quality.symbols(*joined([text])) >= 256
+    after = quality.symbols(*joined([text, text])) >= 256
+    assert (after[100:] == alone).all()  # whatever text comes before
 
 
 @pytest.mark.parametrize("name", ["filters", "mix", "bytes"])

@@ -164,8 +164,7 @@ def decontaminate(
         size *= 2
     bitmap = written(_filter(marked, size), "bench-filter")
 
-    def hits(words: Column) -> Column:
-        bits = F.col("bits")
+    def hits(words: Column, bits: Column) -> Column:
         found = let(_grams(words, K), lambda h: _hits(words, h, _winnowed(h), bits, size, lambda i: _around(words, i)))
         if not lengths:
             return found
@@ -175,7 +174,11 @@ def decontaminate(
         )
         return F.concat(found, short)
 
-    facts = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), hits(w).alias("hits")))
+    # The bitmap is taken out of its row once for each document, not for each fingerprint.
+    facts = let(
+        words_of(F.col("text")),
+        lambda w: let(F.col("bits"), lambda b: F.struct(F.size(w).alias("n_words"), hits(w, b).alias("hits"))),
+    )
     # The bitmap's one row, of at most MOST_PLACES / 8 bytes, for every document.
     met = keyed.withColumn("one", F.pmod(F.xxhash64("key"), F.lit(1))).join(F.broadcast(bitmap), "one")
     checked = written(met.select("id", "key", facts.alias("facts")).select("id", "key", "facts.*"), "checked")

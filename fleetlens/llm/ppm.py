@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import record, slim, small_batches, written
@@ -17,10 +17,11 @@ from fleetlens.llm.common import record, slim, small_batches, written
 ORDER = 4  # bytes of context
 SYMBOLS = 257  # bytes and the end of a text
 END = 256
+GRAM_BITS = 8 * ORDER + 9
 BEFORE = 0  # stands for what is before a text's first byte
 
-# A context with a following byte is kept if the corpus has it at least once in so many
-# places; so no order of the trie can ever have more entries than this.
+# A context with a following byte is sent to every task if the corpus has it at least once
+# in so many places, so that at most this many are; all others are joined.
 KEPT = 1 << 22
 
 # Words held by at least one in so many tokens are sent to every task; others are joined.
@@ -194,27 +195,123 @@ class _Hash:
         return rows
 
 
-def fit(counts: DataFrame, total: int) -> Trie:
-    """The trie of ``corpus_counts``, whose symbols number ``total``.
+def _of_order(k: int) -> Column:
+    """The number of the order-k gram that ends the longest one."""
+    context = F.shiftrightunsigned("gram", 9).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+    return context * 512 + F.col("gram").bitwiseAND(F.lit(511).cast("long"))
 
-    Each order's counts are sums of the next one's. An entry is kept from ``total / KEPT``
-    on, so that an order has at most ``KEPT`` entries; a context's entries that are kept
-    are also kept in its shorter context, whose counts are no lower.
+
+def fit(longest: DataFrame) -> Trie:
+    """The whole trie of a corpus of at most ``KEPT`` symbols, from its longest grams' counts.
+
+    Each order's counts are sums of the next one's.
     """
-    longest = counts.where("gram is not null").select("gram", "n")
-    least = max(1, -(-total // KEPT))
     orders = []
     for k in range(ORDER + 1):
-        context = F.shiftrightunsigned("gram", 9).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
-        own = (context * 512 + F.col("gram").bitwiseAND(F.lit(511).cast("long"))).alias("gram")
-        # At most KEPT rows of two numbers.
-        kept = longest.groupBy(own).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        grams, n = kept.column("gram").to_numpy(), kept.column("n").to_numpy()
+        own = longest.groupBy(_of_order(k).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most KEPT rows
+        grams, n = own.column("gram").to_numpy(), own.column("n").to_numpy()
         order = np.argsort(grams)
         orders.append((grams[order].astype(np.int64), n[order].astype(np.int64)))
     return Trie(orders)
 
 
+class Shares:
+    """The shares of the frequent grams of the longest order; those of others are not known here."""
+
+    def __init__(self, grams: np.ndarray, shares: np.ndarray):
+        self.found = _Hash(grams, shares)
+
+    def log10_shares(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each symbol after its context, NaN where it has to be joined."""
+        at = self.found.find(grams)
+        return np.where(at >= 0, self.found.values[at], np.nan)
+
+
+def _shares(longest: DataFrame) -> DataFrame:
+    """``(gram, n, share)``: what each gram of the longest order that the corpus has scores."""
+    context = Window.partitionBy(F.shiftrightunsigned("gram", 9))  # at most SYMBOLS rows
+    return longest.select(
+        "gram", "n", (F.log10("n") - F.log10(F.sum("n").over(context) + F.count("n").over(context))).alias("share")
+    )
+
+
+def _orders(longest: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order all grams ``(gram, n)`` and all contexts with the facts that ``Trie`` has of them."""
+    grams = [longest]
+    for k in range(ORDER - 1, -1, -1):
+        shorter = grams[0].groupBy(_of_order(k).alias("gram")).agg(F.sum("n").alias("n"))
+        grams.insert(0, written(shorter, "ppm-grams"))
+    orders = []
+    lower = None
+    for k, own in enumerate(grams):
+        context = F.shiftrightunsigned("gram", 9).alias("context")
+        if k == 0:
+            held = own.groupBy(context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+            held = held.withColumns({"fresh": SYMBOLS - F.col("kinds"), "rest": SYMBOLS - F.col("kinds")})
+        else:
+            # A gram or context has at most 256 that are longer by a byte, so no key is busy.
+            taken = grams[k - 1].select(F.col("gram").alias("low"), F.col("n").alias("low_n"))
+            held = (
+                own.withColumn("low", _of_order(k - 1))
+                .join(taken, "low")
+                .groupBy(context)
+                .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("low_n").alias("taken"))
+                .withColumn("parent", F.col("context").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1).cast("long")))
+            )
+            above = lower.select(
+                F.col("context").alias("parent"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds")
+            )
+            fresh = F.col("low_kinds") - F.col("kinds")
+            held = held.join(above, "parent").withColumns({"fresh": fresh, "rest": F.col("low_total") - F.col("taken") + fresh})
+        lower = written(held.select("context", "total", "kinds", "fresh", "rest"), "ppm-contexts")
+        facts = lower.select(
+            "context",
+            F.log10(F.col("total") + F.col("kinds")).alias("own"),
+            F.log10("kinds").alias("escape"),
+            F.log10(F.greatest("rest", F.lit(1))).alias("rest"),
+            F.when(F.col("fresh") > 0, F.log10("fresh")).alias("free_or"),
+        )
+        orders.append((own, facts))
+    return orders
+
+
+def _escaped(missing: DataFrame, longest: DataFrame) -> DataFrame:
+    """``(gram, share)`` of grams that the corpus doesn't have: ``Trie.log10_shares`` by joins.
+
+    ``sum`` is null until a context is met, ``fresh`` where an escape is free.
+    """
+    state = missing.select(
+        "gram", F.lit(0.0).alias("share"), F.lit(None).cast("double").alias("sum"),
+        F.lit(None).cast("double").alias("fresh"), F.lit(False).alias("done"),
+    )
+    for k, (own, facts) in reversed(list(enumerate(_orders(longest)))):
+        small = F.broadcast if k <= 1 else lambda df: df  # at most 256 * SYMBOLS rows by nature
+        asked = state.withColumns({"key": _of_order(k), "context": F.shiftrightunsigned(_of_order(k), 9)})
+        met = asked.join(small(facts), "context", "left").join(
+            small(own.select(F.col("gram").alias("key"), F.col("n").alias("c"))), "key", "left"
+        )
+        known = ~F.col("done") & F.col("own").isNotNull()
+        met = met.withColumns(
+            {
+                "fresh": F.when(known & F.col("sum").isNull(), F.col("escape")).otherwise(F.col("fresh")),
+                "sum": F.when(known & F.col("sum").isNull(), F.col("own")).otherwise(F.col("sum")),
+            }
+        )
+        hit, miss = known & F.col("c").isNotNull(), known & F.col("c").isNull()
+        state = met.select(
+            "gram",
+            F.when(hit, F.col("share") + F.log10("c") - F.col("sum"))
+            .when(miss & F.col("fresh").isNotNull(), F.col("share") + F.col("fresh") - F.col("sum"))
+            .otherwise(F.col("share"))
+            .alias("share"),
+            F.when(miss, F.col("rest")).otherwise(F.col("sum")).alias("sum"),
+            F.when(miss, F.col("free_or")).otherwise(F.col("fresh")).alias("fresh"),
+            (F.col("done") | hit).alias("done"),
+        )
+    last = F.col("share") - F.coalesce("sum", F.lit(math.log10(SYMBOLS)))
+    return state.select("gram", F.when(F.col("done"), F.col("share")).otherwise(last).alias("share"))
+
+
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per document.
 
@@ -228,6 +325,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     Counts of all learned documents are added up in Spark. A word of the corpus may have
     any number of rows: only words that are at least one of ``FREQUENT`` tokens (so at
     most that many words) go to every task; what a document has of the others is joined.
+    It is the same with the trie: the longest grams that are at least one of ``KEPT``
+    symbols go to every task with their shares. A document's other grams are joined with
+    the shares of all grams, and those that the corpus doesn't have with all contexts and
+    grams of each order. No count is left out.
 
     A null or empty text is one token, its end. A null ``held_out`` counts as learned.
     Repeated rows count as often as they are there and are scored for each row. With
@@ -243,7 +344,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     words = counts.where("gram is null").select("word", F.col("n").alias("c"))
     frequent = words.where(F.col("c") * FREQUENT >= sums.tokens).toArrow()  # at most FREQUENT rows
     context = docs.sparkSession.sparkContext
-    trie = context.broadcast(fit(counts, sums.symbols))
+    longest = counts.where("gram is not null").select("gram", "n")
+    whole = sums.symbols <= KEPT  # then every gram is frequent, and one that isn't there is known to be missing
+    if whole:
+        trie = context.broadcast(fit(longest))
+    else:
+        shares = written(_shares(longest), "ppm-shares")
+        often = shares.where(F.col("n") * KEPT >= sums.symbols).select("gram", "share").toArrow()  # at most KEPT rows
+        trie = context.broadcast(Shares(often.column("gram").to_numpy(), often.column("share").to_numpy()))
     known = context.broadcast(dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True)))
     size = sums.tokens + 0.5 * (sums.kinds + 1)
 
@@ -253,7 +361,20 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rare = scored.select("row", F.explode("rare").alias("word", "n"))
     found = rare.join(words, "word", "left")
     term = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(size)) * F.col("n")
-    rest = found.groupBy("row").agg(F.sum(term).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("n_found"))
+    n_found = F.when(F.col("c") > 0, F.col("n"))
+    terms = found.select("row", term.alias("more"), n_found.alias("n_found"), F.lit(None).cast("double").alias("grams"))
+    if not whole:
+        # Learned texts have no gram that the corpus doesn't have.
+        asked = scored.where("held").select(F.explode("rare_grams").alias("gram", "n")).select("gram").distinct()
+        seldom = shares.where(F.col("n") * KEPT < sums.symbols).select("gram", "share")
+        missing = written(asked.join(seldom, "gram", "left_anti"), "ppm-missing")
+        every = seldom.unionByName(written(_escaped(missing, longest), "ppm-escaped"))
+        met = scored.select("row", F.explode("rare_grams").alias("gram", "n")).join(every, "gram")
+        none = F.lit(None)
+        terms = terms.unionByName(
+            met.select("row", none.cast("double").alias("more"), none.cast("long").alias("n_found"), (F.col("share") * F.col("n")).alias("grams"))
+        )
+    rest = terms.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "n_found", "grams")])
     return scored.join(rest, "row", "left").select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
@@ -261,18 +382,26 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         (F.col("n_known") + F.coalesce("n_found", F.lit(0))).alias("n_known"),
         F.lit(sums.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("grams", F.lit(0.0))).alias("score"),
     )
 
 
 def _first_pass(numbered: DataFrame, trie: Broadcast, known: Broadcast, size: float) -> DataFrame:
-    """Score each text with the trie and the frequent words; list its other words."""
+    """Score each text with the frequent grams and words; list its other grams and words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, logs = trie.value, {w: math.log10((c + 0.5) / size) for w, c in known.value.items()}
         for texts in small_batches(batches):
             symbols, begins = _symbols(texts.data, texts.starts)
-            upto = np.concatenate([[0.0], np.cumsum(model.log10_shares(_grams(symbols, begins)))])
+            grams = _grams(symbols, begins)
+            shares = model.log10_shares(grams)
+            open_ = np.flatnonzero(np.isnan(shares))
+            shares[open_] = 0
+            upto = np.concatenate([[0.0], np.cumsum(shares)])
+            # A gram takes GRAM_BITS, the text's number within the batch the bits above.
+            held_by = np.searchsorted(begins, open_, "right") - 1
+            keys, times = np.unique(held_by << GRAM_BITS | grams[open_], return_counts=True)
+            gram_cuts = np.searchsorted(keys >> GRAM_BITS, np.arange(len(texts) + 1))
             tokens, found, base, rare_words, rare_counts, cuts = [], [], [], [], [], [0]
             for text in texts.each():
                 words = words_of(text)
@@ -298,10 +427,14 @@ def _first_pass(numbered: DataFrame, trie: Broadcast, known: Broadcast, size: fl
                 base=pa.array(base, pa.float64()),
                 score=np.subtract(upto[begins[1:]], upto[begins[:-1]]),
                 rare=entries,
+                rare_grams=pa.MapArray.from_arrays(
+                    pa.array(gram_cuts, pa.int32()), pa.array(keys & (1 << GRAM_BITS) - 1), pa.array(times, pa.int64())
+                ),
             )
 
     kind = numbered.schema["id"].dataType.simpleString()
     return numbered.mapInArrow(
         run,
-        f"id {kind}, held boolean, row long, n_tokens long, n_known long, base double, score double, rare map<binary,long>",
+        f"id {kind}, held boolean, row long, n_tokens long, n_known long, base double, score double, "
+        "rare map<binary,long>, rare_grams map<long,long>",
     )

@@ -104,3 +104,9 @@ def test_nothing_to_learn_from(spark):
     assert [round(r.score, 3) for r in rows] == [round(-n * math.log10(257), 3) for n in (3, 1)]
     assert [r.train_tokens for r in rows] == [0, 0]
     assert ppm.score(docs.limit(0), part_of("doc_id", 5) == 1).count() == 0
+
+
+@pytest.mark.parametrize("kept", [3, 60])
+def test_scores_when_most_grams_are_joined(spark, monkeypatch, kept):
+    monkeypatch.setattr(ppm, "KEPT", kept)
+    test_scores(spark, monkeypatch, 3)

@@ -26,7 +26,8 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 @query
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
+    docs, path = table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts(docs, path, 512, added_tokens=True)
 
 
 @query

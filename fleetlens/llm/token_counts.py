@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
 
 import numpy as np
@@ -27,6 +28,15 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _added(tokens: list[dict]) -> re.Pattern[bytes] | None:
+    """Finds the vocabulary's added tokens, the longest of those that begin at one place."""
+    for token in tokens:
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added token {token['content']!r} looks at its neighbours, which is not supported")
+    contents = sorted((t["content"].encode() for t in tokens if t["content"]), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, contents))) if contents else None
+
+
 class CountingTransducer:
     """Reads the bytes of a piece; each transition says by how much the token count changes.
 
@@ -41,7 +51,9 @@ class CountingTransducer:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        self.added = _added(whole.get("added_tokens") or [])
         letters = _byte_letters()
         as_bytes = lambda text: bytes(letters[x] for x in text)
         self.tokens = {i: as_bytes(t) for t, i in model["vocab"].items() if all(x in letters for x in t)}
@@ -184,6 +196,26 @@ class CountingTransducer:
             waiting = waiting[~done[waiting]]
         return gains.T.reshape(-1)[:n]
 
+    def count_around_added(self, texts: Texts) -> np.ndarray:
+        """Tokens of each text, in which an added token is one and cuts the text."""
+        if self.added is None or not self.added.search(texts.data.tobytes()):
+            return self.count(texts)
+        inside, starts, owner = np.ones(len(texts.data), bool), [0], []
+        found = np.zeros(len(texts), np.int64)
+        for i, (begin, text) in enumerate(zip(texts.starts.tolist(), texts.each(), strict=False)):
+            at = 0
+            for match in self.added.finditer(text):
+                found[i] += 1
+                inside[begin + match.start() : begin + match.end()] = False
+                starts.append(starts[-1] + match.start() - at)
+                owner.append(i)
+                at = match.end()
+            starts.append(starts[-1] + len(text) - at)
+            owner.append(i)
+        parts = Texts(pa.array(owner), texts.data[inside], np.array(starts, np.int64), texts.rows)
+        np.add.at(found, np.array(owner, np.int64), self.count(parts))
+        return found
+
     def count(self, texts: Texts) -> np.ndarray:
         """Tokens of each text."""
         data, starts, text = valid(texts)
@@ -202,17 +234,22 @@ def transducer(path: str) -> CountingTransducer:
     return CountingTransducer(path)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(
+    docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False
+) -> DataFrame:
     """``(id_col, n_bytes, n_tokens, over_limit)`` of each whole text.
 
     ``path`` is a byte-level BPE vocabulary in the JSON form of the tokenizers library,
-    with its usual splitting of text. Tokens are counted as that library does without
-    special tokens. Null and empty texts have none. Rows are handled one by one, so
+    with its usual splitting of text. With ``added_tokens``, strings in a text that the
+    vocabulary lists as added tokens are one token each, as by the library's default;
+    otherwise they are plain text (its ``encode_special_tokens``). None is put around a
+    text. Null and empty texts have none. Rows are handled one by one, so
     repeated rows come out repeated; other columns are not looked at.
     """
 
     def work(texts: Texts) -> pa.RecordBatch:
-        counts = transducer(path).count(texts)
+        made = transducer(path)
+        counts = made.count_around_added(texts) if added_tokens else made.count(texts)
         return record(id=texts.ids, n_bytes=np.diff(texts.starts), n_tokens=counts, over_limit=counts > limit)
 
     frame = slim(docs, id_col, text_col)

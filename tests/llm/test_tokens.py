@@ -12,7 +12,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from fleetlens.llm import bpe, splitter, token_counts
+from fleetlens.llm import bpe, catalog, splitter, token_counts
 from fleetlens.llm.common import small_batches
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,3 +110,15 @@ def test_bpe(spark, library):
         assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.round_trip(docs.limit(0), RANKS).count() == 0
+
+
+def test_added_tokens_are_one_token_by_default_of_the_library(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate([*texts(9, 200), "end of one <|endoftext|> next", "<|endoftext|><|endoftext|> a", "<|endoftext|"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known = Tokenizer.from_file(JSON)
+    got = catalog.op1_token_counts(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = rows[r.doc_id][1] or ""
+        n = len(known.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 512), text

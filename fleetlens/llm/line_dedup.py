@@ -43,7 +43,7 @@ class Pieces:
     A piece ends with its line, or after a pair of words whose hash says so: one in
     ``PIECE``. So a passage falls into the same pieces wherever in a line it stands. The
     key is a hash of the words and of how many equal pieces came before in the text, so
-    that it is unique in it.
+    that it is unique in it. ``first_key`` is the key of the first of the equal pieces.
     """
 
     def __init__(self, texts: Texts):
@@ -75,6 +75,7 @@ class Pieces:
             nth = np.empty(len(order), np.int64)
             nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
             self.keys = _mix(keys + nth.astype(np.uint64) * _ODD).astype(np.int64)
+            self.first_key = _mix(keys).astype(np.int64)
         self.words = last + 1 - start
         self.first_of = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.number = np.arange(len(self.doc)) - self.first_of[self.doc]
@@ -112,17 +113,20 @@ def repeated_pieces(rows: list[tuple[object, int, int, int]]) -> list[int]:
     """Numbers of the pieces to delete from one document, of ``(source, number, at_source, words)``."""
     by_source: dict[object, list[tuple[int, int]]] = {}
     words = {}
-    for source, number, at_source, n in sorted(rows, key=lambda r: r[1]):
+    for source, number, at_source, n in sorted(rows, key=lambda r: (r[1], -r[2])):
         by_source.setdefault(source, []).append((number, at_source))
         words[number] = n
     covered: dict[int, bool] = {}  # by number: whether in a block that is long enough
     for pairs in by_source.values():
+        # A number's places fall, so that the run takes one of them at most.
+        covered.update((number, covered.get(number, False)) for number, _ in aligned(pairs))
+        # Blocks of the run and off it: pieces in a row that are in a row in the source.
         block: list[int] = []
         last = None
-        for number, at_source in [*aligned(pairs), (-9, -9)]:
+        for number, at_source in [*sorted(set(pairs), key=lambda p: (p[1] - p[0], p[0])), (-9, -9)]:
             if last is not None and (number, at_source) != (last[0] + 1, last[1] + 1):
-                long = sum(words[i] for i in block) >= LEAST_BLOCK
-                covered.update((i, long) for i in block)
+                if sum(words[i] for i in block) >= LEAST_BLOCK:
+                    covered.update((i, True) for i in block)
                 block = []
             block.append(number)
             last = (number, at_source)
@@ -170,11 +174,15 @@ def _gone(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def cut(texts: Texts) -> pa.RecordBatch:
         p = Pieces(texts)
+        # A further copy in the text also looks for the first one that an earlier document has.
+        # It is never the first of its key, as the text's own first copy has a lower number.
+        again = np.flatnonzero(p.keys != p.first_key)
+        at = np.concatenate([np.arange(len(p.doc)), again])
         return record(
-            id=texts.ids.take(pa.array(p.doc)),
-            key=p.keys,
-            number=pa.array(p.number, pa.int32()),
-            words=pa.array(p.words, pa.int32()),
+            id=texts.ids.take(pa.array(p.doc[at])),
+            key=np.concatenate([p.keys, p.first_key[again]]),
+            number=pa.array(p.number[at], pa.int32()),
+            words=pa.array(p.words[at], pa.int32()),
         )
 
     pieces = written(map_texts(frame.where("id is not null"), f"id {kind}, key long, number int, words int", cut), "line-pieces")
@@ -221,7 +229,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     (smaller id) that is the first to have one of its lines: the rarest links there are,
     one per line and document, however many documents share the line. So no frequent
     line has to be left out, and no two documents are paired for a line that an earlier
-    one has. Alignment is by patience diff over the lines they share. Of the lines
+    one has. Alignment is by patience diff over the lines they share; blocks of
+    ``LEAST_BLOCK`` words in a row on both sides count wherever they stand in the two,
+    and further copies within the later document count with the first. Of the lines
     aligned with earlier documents, runs of ``LEAST_WORDS`` words or more go, if one
     earlier document has ``LEAST_BLOCK`` of the words in a row. The first document that
     has a line always keeps it.

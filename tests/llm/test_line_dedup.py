@@ -84,3 +84,21 @@ def test_small_tables(spark, size):
 def test_keys_of_many_words_differ():
     p = Pieces(batch([" ".join(map(str, range(20000)))]))
     assert len(np.unique(p.keys)) == len(p.keys)
+
+
+def test_passages_in_other_order_and_further_copies_go(spark):
+    draw = random.Random(6)
+    a, b, c = (prose(draw, 90) for _ in range(3))
+    own = [prose(draw, 30) for _ in range(6)]
+    texts = [f"{a}\n{own[0]}\n{b}", f"{own[1]}\n{b}\n{own[2]}\n{a}", c, f"{c}\n{own[3]}\n{c}\n{own[4]}\n{c}", f"{own[5]}\n{a}\n{a}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in line_dedup(docs).collect()}
+    assert left[0] == texts[0] and left[2] == c
+    assert left[1].split() == f"{own[1]} {own[2]}".split()
+    assert left[3].split() == f"{own[3]} {own[4]}".split()
+    assert left[4].split() == own[5].split()
+
+
+def test_blocks_off_the_run_count():
+    assert repeated_pieces([("a", i, 50 + i, 6) for i in range(4)] + [("a", 20 + i, i, 6) for i in range(3)]) == [0, 1, 2, 3, 20, 21, 22]
+    assert repeated_pieces([("a", n, i, 7) for at in (0, 9) for i, n in enumerate(range(at, at + 3))]) == [0, 1, 2, 9, 10, 11]

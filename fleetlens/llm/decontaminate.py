@@ -111,7 +111,7 @@ def _filter(prints: DataFrame, size: int) -> DataFrame:
 def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return (
         items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words"))
-        .where("item is not null and size(words) > 0")
+        .where("size(words) > 0")
         .withColumn("n", F.least(F.size("words"), F.lit(SPAN)))
     )
 
@@ -134,7 +134,8 @@ def decontaminate(
     extended to the windows around it, which are compared as text. Texts are read once and
     never shuffled. Items shorter than a window are found by the hash of their first words.
 
-    Null and empty texts have no words. A null item id stands for no item. Rows repeated
+    Null and empty texts have no words. Items with a null id hit as any others; together
+    they are one of ``n_items``, and none of the ids in ``items_sha256``. Rows repeated
     with one id and text each get the same answer; different texts with one id are
     different documents. Other columns are not looked at.
     """
@@ -190,13 +191,14 @@ def decontaminate(
     )
     found = shared.select("key", F.explode("windows").alias("w")).select("key", "w.*").join(windows, "window")
     per_doc = found.groupBy("key").agg(
-        F.collect_set(F.struct("s", "n")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
+        F.collect_set(F.struct("s", "n")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"),
+        F.max(F.col("item").isNull().cast("int")).alias("unnamed"),
     )
     n_hit = F.size(
         F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))
     )
     summed = per_doc.select(
-        "key", n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items")
+        "key", n_hit.cast("long").alias("n_hit"), (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), F.array_join("items", ",").alias("items")
     )
     out = checked.drop("hits").join(summed, "key", "left").select(
         F.col("id").alias(id_col),

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
+from fleetlens.llm.catalog import ORACLES
 from fleetlens.llm.decontaminate import SPAN, WORD, decontaminate
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,3 +76,22 @@ def test_no_python_runs(spark):
     bench = spark.createDataFrame([(1, "x y z " * 9)], "item_id long, text string")
     plan = decontaminate(docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_items_without_an_id_hit_as_the_sql_says(spark):
+    draw = random.Random(8)
+    named, unnamed, other = (prose(draw, 20) for _ in range(3))
+    texts = [f"{prose(draw, 9)} {unnamed}", f"{named} {unnamed} {other}", named, prose(draw, 30), f"{unnamed} {unnamed}"]
+    docs = list(enumerate(texts))
+    items = [(None, unnamed), (7, named), (None, other), (8, unnamed[:60])]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = sorted(db.execute(ORACLES["op2_decontaminate"]).fetchall())
+    got = decontaminate(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert sorted(map(tuple, got.collect())) == want
+    assert sum(w[-1] for w in want) == 4

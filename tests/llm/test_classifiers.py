@@ -110,3 +110,14 @@ def test_without_labels(spark, module):
 
 def test_words_are_those_between_blanks_and_marks():
     assert toxicity.WORDS.findall("Ça va-t-il 3x!".encode().lower()) == [m.encode() for m in re.findall(r"[0-9a-z\u0080-￿]+", "Ça va-t-il 3x!".lower().replace("ç", "Ç"))]
+
+
+def test_judged_goes_by_language(spark, monkeypatch):
+    net = toxicity.WordNetwork()
+    net.thresholds = {"en": 0.0, "de": 1.1}
+    monkeypatch.setattr(toxicity, "fitted", lambda *_: net)
+    rows = [(1, "some words", "en"), (2, "some words", "de"), (2, "some words", "en"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = toxicity.judged(docs, docs, part_of("doc_id", 4) == 2, 0.3).collect()
+    assert sorted((r.doc_id, r.toxic_by_language) for r in got if r.doc_id < 3) == [(1, 1), (2, 0), (2, 1)]
+    assert [r.toxic_by_language == (r.score >= 0.5) for r in got if r.doc_id == 3] == [True]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, ppm, quality, toxicity, warc
-from fleetlens.llm.common import part_of, table
+from fleetlens.llm import bpe, infill, ppm, quality, toxicity, warc
+from fleetlens.llm.common import part_of, table, written
 from fleetlens.llm.decontaminate import decontaminate
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.line_dedup import line_dedup
@@ -131,3 +131,36 @@ def op9_ppm(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup(table(spark, folder, "documents"))
+
+
+@query
+def op12_infill(spark: SparkSession, folder: str) -> DataFrame:
+    packed = written(infill.pack(table(spark, folder, "documents")), "frames")
+    return infill.with_digests(infill.transform(packed))
+
+
+ORACLES["op12_infill"] = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+           sha256('1:' || CAST(doc_id AS VARCHAR)) AS h
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, units, len(units) AS n,
+           CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS b,
+           CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d
+    FROM cut
+), parted AS (
+    SELECT doc_id, text, CAST(n AS BIGINT) AS n,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain'
+                WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(units[1:least(a, b)], '') AS p, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS m,
+           array_to_string(units[greatest(a, b) + 1:n], '') AS s
+    FROM drawn
+)
+SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parted
+"""

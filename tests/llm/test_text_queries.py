@@ -11,7 +11,7 @@ from fleetlens.llm.common import table
 
 def test_all_are_registered():
     names = set(contract.queries())
-    assert {n.split("_")[0] for n in TEXT_QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in TEXT_QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(TEXT_QUERIES) | {"pipeline"} <= names
     assert set(ORACLES) <= set(contract.oracle_sql())
 

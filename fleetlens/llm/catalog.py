@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, infill, ppm, quality, toxicity, warc
+from fleetlens.llm import bpe, infill, ppm, quality, token_records, toxicity, warc
 from fleetlens.llm.common import part_of, table, written
 from fleetlens.llm.decontaminate import decontaminate
 from fleetlens.llm.exact_dedup import exact_dedup
@@ -164,3 +165,10 @@ SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIG
        sha256(text) AS restored_sha256
 FROM parted
 """
+
+
+@query
+def op13_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    found = token_records.stored(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return found.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, infill, ppm, quality, token_records, toxicity, warc
+from fleetlens.llm import bpe, infill, merkle, ppm, quality, token_records, toxicity, warc
 from fleetlens.llm.common import part_of, table, written
 from fleetlens.llm.decontaminate import decontaminate
 from fleetlens.llm.exact_dedup import exact_dedup
@@ -134,6 +134,66 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup(table(spark, folder, "documents"))
 
 
+@query
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in columns]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf_digest(changed))
+    found = merkle.manifest(table(spark, folder, "documents"), columns, more={"tampered": tampered})
+    return merkle.verified(found.withColumn("candidate", F.coalesce("tampered", "leaf")), candidate_col="candidate")
+
+
+ORACLES["op11_merkle"] = r"""
+WITH RECURSIVE value AS (
+    SELECT *, CASE WHEN doc_id IS NULL THEN '-' ELSE length(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+           || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+           || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+           CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail
+    FROM documents
+), byte AS (  -- CRC-32 by table
+    SELECT list(list_reduce([b, 0, 1, 2, 3, 4, 5, 6, 7],
+                            lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+    FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256))
+), leaf AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree,
+           sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE length(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || tail) AS leaf,
+           sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END || tail) AS other,
+           xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                           lambda x: CAST(ascii(x) AS BIGINT))),
+                           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 7 = 0 AS tampered
+    FROM value CROSS JOIN byte
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+    FROM leaf
+), node AS (
+    SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM placed
+    UNION ALL
+    SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, lvl, pos // 2, n
+), sub AS (
+    SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1
+), top AS (
+    SELECT 0 AS lvl, pos, n, subroot AS h FROM sub
+    UNION ALL
+    SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n
+), fold AS (
+    SELECT tree, pos AS spot, 0 AS lvl, pos, n, CASE WHEN tampered THEN other ELSE leaf END AS h, '' AS proof FROM placed
+    UNION ALL
+    SELECT f.tree, spot, f.lvl + 1, f.pos // 2, (f.n + 1) // 2,
+           sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+    FROM fold f LEFT JOIN node s ON s.tree = f.tree AND s.lvl = f.lvl AND s.pos = xor(f.pos, 1) WHERE f.n > 1
+), rise AS (
+    SELECT fold.tree, spot, 0 AS lvl, sub.pos, sub.n, h, proof FROM fold JOIN sub ON sub.tree = fold.tree WHERE fold.n = 1
+    UNION ALL
+    SELECT f.tree, spot, f.lvl + 1, f.pos // 2, (f.n + 1) // 2,
+           sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+    FROM rise f LEFT JOIN top s ON s.lvl = f.lvl AND s.pos = xor(f.pos, 1) WHERE f.n > 1
+)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, rise.h AS folded_root, rise.h = top.h AS verified
+FROM placed JOIN sub ON sub.tree = placed.tree JOIN rise ON rise.tree = placed.tree AND rise.spot = placed.pos AND rise.n = 1
+JOIN top ON top.n = 1
+"""
+
+
 @query
 def op12_infill(spark: SparkSession, folder: str) -> DataFrame:
     packed = written(infill.pack(table(spark, folder, "documents")), "frames")

@@ -16,11 +16,11 @@ def bit(bits: Column, place: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
 
 
-def _places(key: str, rows: int, hashes: int) -> tuple[Column, list[Column]]:
+def _places(keys: list[str], rows: int, hashes: int) -> tuple[Column, list[Column]]:
     """A key's block and its places in it, for a filter of so many rows."""
     blocks = max(1, min(MOST_BLOCKS, rows * ROW_BITS // BLOCK_BITS + 1))
-    places = [F.pmod(F.xxhash64(key, F.lit(n + 1)), F.lit(BLOCK_BITS)) for n in range(hashes)]
-    return F.pmod(F.xxhash64(key), F.lit(blocks)), places
+    places = [F.pmod(F.xxhash64(*keys, F.lit(n + 1)), F.lit(BLOCK_BITS)) for n in range(hashes)]
+    return F.pmod(F.xxhash64(*keys), F.lit(blocks)), places
 
 
 def _slots(rows: DataFrame, block: Column, places: list[Column]) -> DataFrame:
@@ -47,19 +47,35 @@ def mark_repeated(rows: DataFrame, key: str, hashes: int = 2) -> DataFrame:
     places in one block for each key; places of two or more rows are set. Then each row
     looks its places up. Only numbers of places are shuffled.
     """
-    block, places = _places(key, rows.count(), hashes)
+    block, places = _places([key], rows.count(), hashes)
     repeated = _slots(rows, block, places).groupBy("slot").count().where("count > 1")
     return _looked_up(rows, repeated, block, places).withColumnRenamed("_maybe", "maybe")
 
 
+def split_by_filter(rows: DataFrame, keyed: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The ``rows`` whose keys may be among those of ``keyed``, a written table, and all others.
+
+    For wide rows of which only the first are to be joined, and so shuffled. A filter of
+    bounded size is sent to every task. Where there are more keys than it can tell apart
+    it would only cost time: then all rows are in the first part, and the join is Spark's
+    own. Both parts read ``rows``; other columns may have any names.
+    """
+    n = keyed.count()
+    if n * ROW_BITS > MOST_BLOCKS * BLOCK_BITS:
+        return rows, rows.where("false")
+    block, places = _places(list(keys), n, 2)
+    slots = _slots(keyed, block, places).distinct()
+    names = [f"key{i}" for i in range(len(keys))]
+    packed = rows.select(F.struct("*").alias("row"), *[F.col(k).alias(name) for k, name in zip(keys, names, strict=True)])
+    tested = _looked_up(packed, slots, *_places(names, n, 2))
+    return tested.where("_maybe").select("row.*"), tested.where("not _maybe").select("row.*")
+
+
 def without_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The ``rows`` whose ``key`` is not in ``gone``, a written table of keys; null keys stay.
 
-    Wide rows are not shuffled for it: a filter of the keys that go, of bounded size, is
-    sent to every task, and what it doesn't hold passes straight through. Only the rest,
-    the rows that go and a few more, are joined. ``rows`` are read twice.
+    What a filter of the keys doesn't hold passes straight through; only the rest, the
+    rows that go and a few more, are shuffled.
     """
-    block, places = _places(key, gone.count(), 2)
-    tested = _looked_up(rows, _slots(gone, block, places).distinct(), block, places)
-    maybe = tested.where("_maybe").join(gone.select(key), key, "left_anti")
-    return tested.where("not _maybe").unionByName(maybe).select(*rows.columns)
+    some, others = split_by_filter(rows, gone, key)
+    return others.unionByName(some.join(gone.select(key), key, "left_anti").select(*rows.columns))

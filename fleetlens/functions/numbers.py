@@ -38,8 +38,13 @@ def nice_age(seconds: Column) -> Column:
     )
 
 
+def is_position(text: Column) -> Column:
+    """Two hexadecimal numbers of up to sixteen digits with a slash between them, and nothing else."""
+    return text.rlike("^[0-9A-Fa-f]{1,16}/[0-9A-Fa-f]{1,16}$") & ~F.endswith(text, F.lit("\n"))
+
+
 def lsn_bytes(position: Column, legacy: bool = True) -> Column:
-    """``hi/lo`` (hex) as one ordered number, ``decimal(38,0)``.
+    """``hi/lo`` (hex) as one ordered number, ``decimal(38,0)``; null for any other text.
 
     The high half alone can exceed a bigint once scaled, so the arithmetic stays
     decimal throughout.
@@ -49,7 +54,7 @@ def lsn_bytes(position: Column, legacy: bool = True) -> Column:
         return F.conv(F.split_part(position, F.lit("/"), F.lit(i)), 16, 10).cast("decimal(20,0)")
 
     scale = F.lit(LEGACY_SEGMENT if legacy else SEGMENT).cast("decimal(12,0)")
-    return (half(1) * scale + half(2)).cast("decimal(38,0)")
+    return F.when(is_position(position), (half(1) * scale + half(2)).cast("decimal(38,0)"))
 
 
 def version_parts(version: Column) -> Column:

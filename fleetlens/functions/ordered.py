@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from fleetlens.functions.numbers import epoch_micros, whole_div
 from fleetlens.session import work_folder
@@ -34,7 +35,8 @@ SLICE = "_slice"
 
 def _slice_of(at: Column, cuts: Column) -> Column:
     """How many of the sorted ``cuts`` are not after ``at``, by halving."""
-    steps = F.array(*[F.lit(FAN >> i) for i in range(1, FAN.bit_length())])
+    most = 4 * FAN  # the quantiles, and two for each crowded time
+    steps = F.array(*[F.lit(most >> i) for i in range(1, most.bit_length())])
     return F.aggregate(
         steps,
         F.lit(0),
@@ -44,43 +46,60 @@ def _slice_of(at: Column, cuts: Column) -> Column:
 
 def _cut_points(timed: DataFrame, keys: Sequence[str], busy: DataFrame, limit: int) -> DataFrame:
     """Quantiles of each busy key's times, one for every ``limit`` rows up to ``FAN``."""
+    return _quantiles(timed.join(busy, list(keys)), keys, "_at", limit, "_cuts")
+
+
+def _quantiles(rows: DataFrame, by: Sequence[str], value: str, limit: int, into: str) -> DataFrame:
+    """``(*by, into)``: quantiles of ``value``, one for every ``limit`` of the ``_n`` rows, up to ``FAN``."""
     # One text literal keeps the plan small; an array of literals would be a node each.
     quantiles = F.split(F.lit(",".join(str(i / FAN) for i in range(1, FAN))), ",")
     stride = F.greatest(whole_div(F.lit(FAN * limit), F.max("_n")), F.lit(1))
-    return (
-        timed.join(busy, list(keys))
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx("_at", quantiles.cast("array<double>"), 4 * FAN).alias("_all"),
-            stride.alias("_stride"),
-        )
-        .select(
-            *keys, F.filter("_all", lambda _, i: (i + 1) % F.col("_stride") == 0).alias("_cuts")
-        )
-    )
+    every = F.percentile_approx(value, quantiles.cast("array<double>"), 4 * FAN)
+    found = rows.groupBy(*by).agg(every.alias("_all"), stride.alias("_stride"))
+    return found.select(*by, F.filter("_all", lambda _, i: (i + 1) % F.col("_stride") == 0).alias(into))
 
 
-def slice_busy_keys(df: DataFrame, keys: Sequence[str], ts: str, limit: int) -> DataFrame:
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def slice_busy_keys(df: DataFrame, keys: Sequence[str], ts: str, limit: int, tie: str | None = None) -> DataFrame:
     """Add ``_slice``, growing with ``ts`` inside a key and null for keys within ``limit``.
 
     Runs a job that counts rows per key; without any busy key ``df`` is returned as
-    it is. A burst is cut as finely as it is dense, but rows with equal times stay
-    together.
+    it is. A burst is cut as finely as it is dense. A time that more than ``limit`` rows of
+    a key share is a slice of its own, and if ``tie``, the next column of the order, is a
+    number, it is cut again at quantiles of that.
     """
-    timed = df.select(*keys, epoch_micros(F.col(ts)).alias("_at"))
+    numeric = tie is not None and isinstance(df.schema[tie].dataType, IntegralType)
+    ties = [F.col(tie).cast("bigint").alias("_tie")] if numeric else []
+    timed = df.select(*keys, epoch_micros(F.col(ts)).alias("_at"), *ties)
     busy = timed.groupBy(*keys).agg(F.count("_at").alias("_n")).where(F.col("_n") > limit)
     if busy.isEmpty():
         return df
     points = _cut_points(timed, keys, busy, limit)
-    folder = work_folder(df.sparkSession, "cuts")
-    points.write.parquet(folder)
-    cuts = df.sparkSession.read.schema(points.schema).parquet(folder)
-    found = F.when(F.col("_cuts").isNotNull(), _slice_of(epoch_micros(F.col(ts)), F.col("_cuts")))
-    return (
-        df.join(cuts, list(keys), "left")
-        .withColumn(SLICE, found.cast("bigint"))
-        .drop("_cuts")
-    )
+    inner = None
+    if numeric:
+        shared = timed.join(busy.withColumnRenamed("_n", "_of"), list(keys)).groupBy(*keys, "_at")
+        most = F.greatest(F.lit(limit).cast("bigint"), whole_div(F.col("_of"), FAN))
+        crowded = shared.agg(F.count(F.lit(1)).alias("_n"), F.max("_of").alias("_of")).where(F.col("_n") > most).drop("_of")
+        crowded = _written(crowded, "crowded")
+        if not crowded.isEmpty():
+            edges = crowded.groupBy(*keys).agg(F.flatten(F.collect_list(F.array("_at", F.col("_at") + 1))).alias("_edges"))
+            both = F.array_sort(F.array_distinct(F.concat("_cuts", F.coalesce("_edges", F.array().cast("array<bigint>")))))
+            points = points.join(edges, list(keys), "left").select(*keys, both.alias("_cuts"))
+            inner = _quantiles(timed.join(crowded, [*keys, "_at"]), [*keys, "_at"], "_tie", limit, "_tie_cuts")
+            inner = _written(inner, "tie-cuts")
+    cuts = _written(points, "cuts")
+    found = F.when(F.col("_cuts").isNotNull(), _slice_of(epoch_micros(F.col(ts)), F.col("_cuts"))).cast("bigint")
+    sliced = df.join(cuts, list(keys), "left")
+    if inner is None:
+        return sliced.withColumn(SLICE, found).drop("_cuts")
+    within = F.coalesce(_slice_of(F.col(tie).cast("bigint"), F.col("_tie_cuts")), F.lit(0)).cast("bigint")
+    placed = sliced.withColumn("_at", epoch_micros(F.col(ts))).join(inner, [*keys, "_at"], "left")
+    return placed.withColumn(SLICE, found * FAN + within).select(*df.columns, SLICE)
 
 
 def look_along(
@@ -132,7 +151,7 @@ def look_back(
     ``ties`` completes the order after ``ts``. ``inclusive`` lets the row itself
     count. Keys and ``ts`` must not be null. Runs the counting job of ``slice_busy_keys``.
     """
-    sliced = slice_busy_keys(df, keys, ts, limit)
+    sliced = slice_busy_keys(df, keys, ts, limit, ties[0] if ties else None)
     return look_along(sliced, keys, ts, ties, value, into, inclusive).drop(SLICE)
 
 

@@ -19,6 +19,7 @@ from fleetlens.fixed import (
 from fleetlens.functions.managed import block, commented_out, is_code, without_block
 from fleetlens.functions.skew import spread_join
 from fleetlens.functions.text import (
+    BLANKS,
     account_name,
     addr_range,
     csv_items,
@@ -28,15 +29,25 @@ from fleetlens.functions.text import (
     unit_number,
 )
 
-RELATIONS_TYPE = "map<string,map<string,map<string,map<string,string>>>>"
+RELATIONS_TYPE = "map<string,map<string,map<string,map<string,variant>>>>"
 
 
 def flatten_relations(df: DataFrame, column: str = "relations") -> DataFrame:
     """Nested relation settings (JSON text or map) to one row per remote unit.
 
     Adds ``relname, relid, unit, settings``; null settings are dropped, as
-    assigning null removes a key.
+    assigning null removes a key. Values of other types than text are no settings either;
+    ``rejected_settings`` reports them.
     """
+    kept = [*(c for c in df.columns if c != column), "relname", "relid", "unit"]
+    flat = _remote_units(df, column)
+    if dict(df.dtypes)[column] != "string":
+        return flat.select(*kept, F.map_filter("_settings", lambda k, v: v.isNotNull()).alias("settings"))
+    texts = F.map_filter("_settings", lambda k, v: F.coalesce(_kind(v) == "text", F.lit(False)))
+    return flat.select(*kept, F.transform_values(texts, lambda k, v: F.try_variant_get(v, "$", "string")).alias("settings"))
+
+
+def _remote_units(df: DataFrame, column: str) -> DataFrame:
     nested = F.col(column)
     if dict(df.dtypes)[column] == "string":
         nested = F.from_json(nested, RELATIONS_TYPE)
@@ -45,16 +56,58 @@ def flatten_relations(df: DataFrame, column: str = "relations") -> DataFrame:
         df.select(*kept, F.explode(nested).alias("relname", "_ids"))
         .select(*kept, "relname", F.explode("_ids").alias("relid", "_units"))
         .select(*kept, "relname", "relid", F.explode("_units").alias("unit", "_settings"))
-        .select(
-            *kept,
-            "relname",
-            "relid",
-            "unit",
-            F.map_filter("_settings", lambda k, v: v.isNotNull()).alias("settings"),
-        )
     )
 
 
+def _kind(value: Column) -> Column:
+    """What a JSON value is: text, number, boolean, object or array; null for a null."""
+    told = F.substring_index(F.schema_of_variant(value), "<", 1)
+    return (
+        F.when(told == "STRING", F.lit("text"))
+        .when(told == "BOOLEAN", F.lit("boolean"))
+        .when(told == "OBJECT", F.lit("object"))
+        .when(told == "ARRAY", F.lit("array"))
+        .when(told != "VOID", F.lit("number"))
+    )
+
+
+def rejected_settings(df: DataFrame, column: str = "relations") -> DataFrame:
+    """Settings in relation documents (JSON text) that are no texts: a row for each with its ``kind``."""
+    kept = [*(c for c in df.columns if c != column), "relname", "relid", "unit"]
+    each = _remote_units(df, column).select(*kept, F.explode("_settings").alias("key", "_value"))
+    return each.select(*kept, "key", _kind(F.col("_value")).alias("kind")).where(F.col("kind") != "text")
+
+
+def status_units(df: DataFrame, column: str = "status") -> DataFrame:
+    """Status documents (JSON text) to a row per unit.
+
+    Adds ``application, unit, current, message, leader, role``. Applications are under
+    ``applications``, or ``services`` in older documents; ``role`` is what a message that
+    begins with ``Live`` says next. Values that are no texts, and documents or parts that
+    don't parse, give nulls or no rows; a unit without a status has nulls.
+    """
+    kept = [c for c in df.columns if c != column]
+
+    def part(bag: str, path: str, kind: str) -> Column:
+        return F.try_variant_get(F.col(bag), path, kind)
+
+    def told(name: str) -> Column:
+        path = f"$['workload-status'].{name}"
+        return F.when(_kind(part("_unit", path, "variant")) == "text", part("_unit", path, "string"))
+
+    bags = "map<string,variant>"
+    parsed = df.select(*kept, F.try_parse_json(column).alias("_status"))
+    apps = F.coalesce(part("_status", "$.services", bags), part("_status", "$.applications", bags))
+    units = (
+        parsed.select(*kept, F.explode(apps).alias("application", "_app"))
+        .select(*kept, "application", F.explode(part("_app", "$.units", bags)).alias("unit", "_unit"))
+        .select(*kept, "application", "unit", told("current").alias("current"), told("message").alias("message"),
+                F.coalesce(part("_unit", "$.leader", "boolean"), F.lit(False)).alias("leader"))
+    )
+    role = F.when(F.startswith("message", F.lit("Live ")), F.split_part(F.col("message"), F.lit(" "), F.lit(2)))
+    return units.withColumn("role", role)
+
+
 def address_columns(flat: DataFrame, settings: str = "settings") -> DataFrame:
     """Pull the three address settings out of a settings map; null means not set."""
     bag = F.col(settings)
@@ -281,21 +334,32 @@ def missing_roles(wanted: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def wanted_extensions(wanted: DataFrame) -> DataFrame:
-    """``name`` or ``name(schema)`` items of ``wanted(datname, extensions)`` as rows."""
-    items = wanted.select("datname", F.explode(F.split("extensions", ",")).alias("_item")).where(
-        F.col("_item") != ""
-    )
-    # What is before the bracket, and what is between it and the next one.
-    name, inside = F.trim(F.substring_index("_item", "(", 1)), F.substring_index("_item", "(", -1)
-    closed = F.contains("_item", F.lit("(")) & F.contains(inside, F.lit(")"))
-    schema = F.nullif(F.when(closed, F.trim(F.substring_index(inside, ")", 1))), F.lit(""))
-    return items.select(
-        "datname",
-        F.substring_index(name, " ", 1).alias("extension"),
-        F.coalesce(schema, F.lit(PUBLIC_SCHEMA)).alias("schema"),
+    """``name`` or ``name(schema)`` items of ``wanted(datname, extensions)`` as rows.
+
+    A name ends at a blank or a bracket. A schema is a word in brackets after it; what is
+    in brackets but no word, and anything after, doesn't count. Items without a name
+    are left to ``refused_extensions``.
+    """
+    named = _extension_items(wanted).where(F.col("_name") != "")
+    after = F.ltrim(F.substring(F.col("_bare"), F.length("_name") + 1, F.length("_bare")), F.lit(BLANKS))
+    inside = F.substring_index(F.substring(after, F.lit(2), F.length(after)), ")", 1)
+    told = F.startswith(after, F.lit("(")) & F.contains(after, F.lit(")")) & inside.rlike(r"(?U)^\w+$")
+    return named.select(
+        "datname", F.col("_name").alias("extension"), F.when(told, inside).otherwise(F.lit(PUBLIC_SCHEMA)).alias("schema")
     ).distinct()
 
 
+def _extension_items(wanted: DataFrame) -> DataFrame:
+    items = wanted.select("datname", F.explode(F.split("extensions", ",")).alias("item")).where(F.col("item") != "")
+    bare = items.withColumn("_bare", F.ltrim("item", F.lit(BLANKS)))
+    return bare.withColumn("_name", F.substring_index(F.regexp_replace("_bare", r"[(\s]", "("), "(", 1))
+
+
+def refused_extensions(wanted: DataFrame) -> DataFrame:
+    """Items ``(datname, item)`` of ``wanted(datname, extensions)`` that name no extension."""
+    return _extension_items(wanted).where(F.col("_name") == "").select("datname", "item").distinct()
+
+
 def missing_extensions(
     wanted: DataFrame, extensions: DataFrame, namespaces: DataFrame
 ) -> DataFrame:
@@ -436,10 +500,8 @@ def missing_ident(texts: DataFrame, key: str = "unit") -> DataFrame:
     )
 
     def declared(p: Column) -> Column:
-        pattern = F.concat(
-            F.lit(rf"(?m)^\s*{IDENT_MAP}\s+"), p["sysuser"], F.lit(r"\s+"), p["pguser"], F.lit(r"\s*$")
-        )
-        return F.rlike(F.col("text"), pattern)
+        wanted = F.array(F.lit(IDENT_MAP), p["sysuser"], p["pguser"])
+        return F.exists(F.split("text", "\n"), lambda line: F.split(F.btrim(line, F.lit(BLANKS)), r"\s+") == wanted)
 
     return texts.select(key, F.explode(F.filter(pairs, lambda p: ~declared(p))).alias("_p")).select(
         key, "_p.sysuser", "_p.pguser"

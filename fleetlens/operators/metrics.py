@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from fleetlens.fixed import (
     GAUGE_PREFIX,
@@ -35,11 +36,16 @@ def to_gauges(
     """Wide to long: one ``(metric, value)`` row per remaining column, null as 0.
 
     Columns outside ``spec`` are cut before the unpivot, so a parquet scan reads
-    only what becomes a gauge. ``ids`` columns ride along unchanged. The gauge of a text
-    that is no number is null.
+    only what becomes a gauge. ``ids`` columns ride along unchanged. Times, dates and
+    whatever else is neither a number, a boolean nor a text are no gauges. The gauge of a
+    text that is no number is null.
     """
     named = {*spec.key, *spec.exclude, *ids, *([dbname] if dbname else [])}
-    values = [c for c in df.columns if c not in named]
+    counted = (NumericType, BooleanType, StringType)
+    values = [f.name for f in df.schema if f.name not in named and isinstance(f.dataType, counted)]
+
+    def quoted(name: str) -> str:
+        return f"`{name.replace('`', '``')}`"
     stem: list[Column] = []
     if dbname:
         stem += [F.lit("databases"), F.col(dbname)]
@@ -50,14 +56,14 @@ def to_gauges(
         *ids,
         F.concat_ws(".", *stem).alias("_stem") if stem else F.lit(None).cast("string").alias("_stem"),
         *[
-            F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c).try_cast("double")).alias(c)
+            F.when(F.col(quoted(c)).isNull(), F.lit(0.0)).otherwise(F.col(quoted(c)).try_cast("double")).alias(c)
             if kind == "string"
-            else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+            else F.coalesce(F.col(quoted(c)).cast("double"), F.lit(0.0)).alias(c)
             for c, kind in df.dtypes
             if c in values
         ],
     )
-    return wide.unpivot([*ids, "_stem"], values, "_column", "_value").select(
+    return wide.unpivot([*ids, "_stem"], [quoted(c) for c in values], "_column", "_value").select(
         *ids,
         F.concat_ws(".", "_stem", "_column").alias("metric"),
         F.col("_value").alias("value"),
@@ -137,9 +143,10 @@ def gauge_line(
 def gauge_lines(
     gauges: DataFrame, prefix: str = GAUGE_PREFIX, unit_col: str | None = None
 ) -> DataFrame:
-    """One ``line`` per gauge."""
+    """One ``line`` per gauge; those without a name or a value have none."""
     unit = F.col(unit_col) if unit_col else None
-    return gauges.select(gauge_line(F.col("metric"), F.col("value"), prefix, unit).alias("line"))
+    known = gauges.where(F.col("metric").isNotNull() & F.col("value").isNotNull())
+    return known.select(gauge_line(F.col("metric"), F.col("value"), prefix, unit).alias("line")).where("line is not null")
 
 
 def sample(

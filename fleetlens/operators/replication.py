@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.numbers import lsn_bytes
-from fleetlens.functions.ordered import ROWS_PER_SLICE, previous
+from fleetlens.functions.numbers import is_position, lsn_bytes
+from fleetlens.functions.ordered import ROWS_PER_SLICE, look_along, previous, slice_busy_keys
 from fleetlens.functions.skew import spread_join, top_rows
+from fleetlens.session import work_folder
 
 
 def lag_bytes(standbys: DataFrame, masters: DataFrame) -> DataFrame:
@@ -111,7 +113,9 @@ def role_flags(units: DataFrame) -> DataFrame:
     previous values of the two sticky flags.
 
     The cluster's facts come from one aggregate, and the master's allowed list is
-    turned into rows, so no list is copied to every unit.
+    turned into rows, so no list is copied to every unit. Flags are never null: a unit
+    that doesn't say whether it is in recovery is no primary, but has the state and the
+    message ``unknown``, and unknown previous values count as false.
     """
     named = units.withColumns(
         {
@@ -142,7 +146,7 @@ def role_flags(units: DataFrame) -> DataFrame:
     authorized = peered & yes(F.col("_allowed"))
     switchover = anointed.isNotNull() & ~anointed.eqNullSafe(master)
     is_anointed = switchover & (anointed == unit)
-    is_primary = ~F.col("in_recovery")
+    is_primary = yes(~F.col("in_recovery"))
 
     flagged = (
         spread_join(named, facts, ["cluster"], "left")
@@ -155,9 +159,10 @@ def role_flags(units: DataFrame) -> DataFrame:
             "cluster",
             "unit",
             "manual",
-            "was_cloned",
+            yes(F.col("was_cloned")).alias("was_cloned"),
+            F.col("in_recovery").isNull().alias("_unsaid"),
             has_peers.alias("has_peers"),
-            (has_peers | F.col("had_peers")).alias("had_peers"),
+            (has_peers | yes(F.col("had_peers"))).alias("had_peers"),
             is_master.alias("is_master"),
             peered.alias("master_peered"),
             authorized.alias("master_authorized"),
@@ -179,46 +184,106 @@ def role_flags(units: DataFrame) -> DataFrame:
         .withColumn("failover", gone & F.col("cloned"))
         .withColumn(
             "state",
-            F.when(~F.col("is_primary"), F.lit("hot standby"))
+            F.when(F.col("_unsaid"), F.lit("unknown"))
+            .when(~F.col("is_primary"), F.lit("hot standby"))
             .when(F.col("has_peers"), F.lit("master"))
             .otherwise(F.lit("standalone")),
         )
         .withColumn(
             "message",
-            F.when(F.col("is_master"), F.lit("Live master"))
+            F.when(F.col("_unsaid"), F.lit("unknown"))
+            .when(F.col("is_master"), F.lit("Live master"))
             .when(F.col("is_primary"), F.lit("Live primary"))
             .otherwise(F.lit("Live secondary")),
         )
-        .drop("was_cloned")
+        .drop("was_cloned", "_unsaid")
     )
 
 
+def role_history(events: DataFrame, limit: int = ROWS_PER_SLICE) -> DataFrame:
+    """The two sticky flags of every unit after each of its events, and whether it fails over.
+
+    Input: ``unit, ts, event_id, is_primary, is_master, is_anointed, has_peers,
+    master_peered``, all flags of the event itself. An event is a map on the four states
+    that the two flags can have. Each such map keeps a flag or sets it, whatever it was: a
+    standby or an anointed unit keeps ``cloned``, a master sets it, any other primary
+    clears it; peers set ``had_peers``. Such maps compose to the last one that sets the flag,
+    in any grouping, so slices of a busy unit's history are composed each for itself and
+    then with each other. Both flags start as false; a null flag counts as false.
+    """
+
+    def yes(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    keeps = ~yes("is_primary") | (yes("is_anointed") & ~yes("is_master"))
+    slim = events.select("unit", "ts", "event_id", "is_primary", "is_master", "is_anointed", "has_peers", "master_peered")
+    sliced = slice_busy_keys(slim, ["unit"], "ts", limit, "event_id")
+    for value, into in ((F.when(~keeps, yes("is_master")), "_cloned"), (F.when(yes("has_peers"), True), "_had_peers")):
+        sliced = look_along(sliced, ["unit"], "ts", ["event_id"], value, into, True)
+    cloned = F.coalesce("_cloned", F.lit(False))
+    return sliced.select(
+        "unit",
+        "ts",
+        "event_id",
+        cloned.alias("cloned"),
+        F.coalesce("_had_peers", F.lit(False)).alias("had_peers"),
+        (~yes("is_master") & yes("has_peers") & ~yes("master_peered") & cloned).alias("failover"),
+    )
+
+
+# Parts of a cluster's rows that copies are compared by.
+BUCKETS = 1024
+
+
+def _digests(rows: DataFrame, by: Sequence[str], columns: Sequence[str], buckets: int, into: str) -> DataFrame:
+    """Per ``by`` and ``_bucket``, a digest of the rows that doesn't depend on their order."""
+    hashed = rows.select(*by, *_bucketed(columns, buckets), F.xxhash64(F.lit(1), *_with_nulls(columns)).alias("_h"))
+    low, high = F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("_h", 32)
+    digest = F.struct(F.count(F.lit(1)), F.sum(low), F.sum(high), F.bit_xor("_h"))
+    return hashed.groupBy(*by, "_bucket").agg(digest.alias(into))
+
+
+def _with_nulls(columns: Sequence[str]) -> list[Column]:
+    """Columns to hash, and which are null: a hash passes over nulls."""
+    return [*(F.col(c).isNull() for c in columns), *(F.col(c) for c in columns)]
+
+
+def _bucketed(columns: Sequence[str], buckets: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(*_with_nulls(columns)), F.lit(buckets)).alias("_bucket")]
+
+
 def missing_rows(
-    master: DataFrame, copies: DataFrame, units: DataFrame, keys: Sequence[str]
+    master: DataFrame, copies: DataFrame, units: DataFrame, keys: Sequence[str], buckets: int = BUCKETS
 ) -> DataFrame:
     """Rows of ``master(cluster, *keys)`` that a copy ``(cluster, unit, *keys)`` lacks.
 
-    Only copies on the cluster's ``units(cluster, unit)`` count. Complete rows are set aside
-    by counting how many units hold them, so only the incomplete ones are paired with the
-    units of their cluster.
+    Only copies on the cluster's ``units(cluster, unit)`` count; a row that is there more
+    than once is told once, and keys may be null. Each copy is compared with the master by
+    digests (count, sums and exclusive or of hashes) of ``buckets`` parts of the cluster's
+    rows, which are added up before anything is shuffled. They are written first, so only
+    those parts of a copy that differ are opened: copies that are equal send no row, and
+    one gap of one unit sets one part of the rows against that unit alone.
     """
     row = ["cluster", *keys]
     members = units.select("cluster", "unit").distinct()
-    held = copies.select("cluster", "unit", *keys)
-    listed = held.distinct().join(members, ["cluster", "unit"])
-    counts = listed.groupBy(*row).agg(F.count(F.lit(1)).alias("_held"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_units"))
-    counted = master.select(*row).distinct().join(counts, row, "left")
-    incomplete = (
-        spread_join(counted, sizes, ["cluster"])
-        .where(F.coalesce("_held", F.lit(0)) < F.col("_units"))
-        .select(*row)
-    )
-    return (
-        spread_join(incomplete, members, ["cluster"])
-        .join(held, [*row, "unit"], "left_anti")
-        .select("cluster", "unit", *keys)
-    )
+    want = _digests(master, ["cluster"], row, buckets, "_want")
+    have = _digests(copies, ["cluster", "unit"], row, buckets, "_have")
+    compared = spread_join(want, members, ["cluster"]).join(have, ["cluster", "unit", "_bucket"], "left")
+    found = compared.where(~F.col("_want").eqNullSafe(F.col("_have"))).select("cluster", "unit", "_bucket")
+    folder = work_folder(master.sparkSession, "differing")
+    found.write.parquet(folder)
+    opened = master.sparkSession.read.schema(found.schema).parquet(folder)
+
+    wanted = master.select(*row, *_bucketed(row, buckets)).join(opened, ["cluster", "_bucket"]).select("unit", *row).distinct()
+    there = copies.select("unit", *row, *_bucketed(row, buckets)).join(opened, ["cluster", "unit", "_bucket"], "left_semi")
+    held = there.select("unit", *[F.col(c).alias(f"_{i}") for i, c in enumerate(row)])
+    same = reduce(lambda a, b: a & b, [wanted[c].eqNullSafe(held[f"_{i}"]) for i, c in enumerate(row)], wanted["unit"] == held["unit"])
+    return wanted.join(held, same, "left_anti").select("cluster", "unit", *keys)
+
+
+def malformed_positions(units: DataFrame) -> DataFrame:
+    """Rows ``(cluster, unit, position)`` whose position is a text that is no position."""
+    return units.where(F.col("position").isNotNull() & ~is_position(F.col("position"))).select("cluster", "unit", "position")
 
 
 def discover_leader(units: DataFrame) -> DataFrame:

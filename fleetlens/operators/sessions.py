@@ -71,7 +71,7 @@ def idle_runs(
     so a key that holds most of the activity is still shared out.
     """
     order = ["state_change", "pid"]
-    slim = slice_busy_keys(activity.select(*keys, *order, "state"), keys, "state_change", limit)
+    slim = slice_busy_keys(activity.select(*keys, *order, "state"), keys, "state_change", limit, "pid")
     looked = look_along(
         slim, keys, "state_change", ["pid"], F.col("state_change"), "_before", False
     )

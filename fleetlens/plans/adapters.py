@@ -95,6 +95,7 @@ FROM {orders}""",
     "replicas": """
 SELECT concat('c', o_custkey % 50) AS cluster, concat('c', o_custkey % 50, '/', o_orderkey) AS unit,
   o_orderkey AS number, CASE WHEN o_orderkey % 13 = 0 THEN NULL
+    WHEN o_orderkey % 29 = 0 THEN 'zz/1' WHEN o_orderkey % 31 = 0 THEN '1/2/3' WHEN o_orderkey % 37 = 0 THEN '/'
     ELSE concat(hex(o_custkey % 4096), '/', hex(o_orderkey * 65536)) END AS position,
   CASE o_orderstatus WHEN 'P' THEN concat('c', o_custkey % 50, '/0') WHEN 'O' THEN '' ELSE NULL END AS following
 FROM {orders}""",
@@ -115,13 +116,13 @@ FROM {supplier}""",
 SELECT concat('n', o_custkey % 25) AS unit, concat('10.0.0.', o_orderkey % 1000) AS client_addr
 FROM {orders}""",
     "master_rows": """
-SELECT concat('c', o_custkey % 5) AS cluster, o_orderkey AS token FROM {orders}""",
+SELECT concat('c', o_custkey % 5) AS cluster, CASE WHEN o_orderkey % 41 > 0 THEN o_orderkey END AS token FROM {orders}""",
     "listed_units": """
 SELECT DISTINCT concat('c', o_custkey % 5) AS cluster, concat('copy/', o_orderkey % 3 + 1) AS unit FROM {orders}""",
     "copied_rows": """
-SELECT concat('c', o_custkey % 5) AS cluster, 'copy/1' AS unit, o_orderkey AS token FROM {orders}
+SELECT concat('c', o_custkey % 5) AS cluster, 'copy/1' AS unit, CASE WHEN o_orderkey % 41 > 0 THEN o_orderkey END AS token FROM {orders}
 UNION ALL SELECT concat('c', o_custkey % 5), 'gone/9', o_orderkey FROM {orders} WHERE o_orderstatus = 'P'
-UNION ALL SELECT concat('c', o_custkey % 5), 'copy/2', o_orderkey FROM {orders} WHERE o_orderstatus <> 'P'
+UNION ALL SELECT concat('c', o_custkey % 5), 'copy/2', CASE WHEN o_orderkey % 41 > 0 THEN o_orderkey END FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey % 5 <> 3
 UNION ALL SELECT concat('c', o_custkey % 5), 'copy/3', o_orderkey FROM {orders} WHERE o_totalprice > 20000""",
     "cluster_units": """
 SELECT b.cluster, concat(b.cluster, '/', c_custkey) AS unit, c_custkey AS number,
@@ -130,8 +131,8 @@ SELECT b.cluster, concat(b.cluster, '/', c_custkey) AS unit, c_custkey AS number
   CASE c_nationkey % 4 WHEN 1 THEN concat(b.cluster, '/', high) WHEN 2 THEN concat(b.cluster, '/gone') ELSE NULL END AS anointed,
   CASE WHEN c_nationkey % 11 = 4 THEN NULL ELSE concat('10.0.', c_nationkey, '.', c_custkey % 250) END AS host,
   concat(b.cluster, '/', high, ' ', b.cluster, '/', mid) AS allowed_units,
-  c_custkey <> low AND c_custkey % 9 <> 4 AS in_recovery,
-  c_custkey % 3 <> 1 AS was_cloned, c_custkey % 2 = 0 AS had_peers
+  CASE WHEN c_custkey % 17 <> 5 THEN c_custkey <> low AND c_custkey % 9 <> 4 END AS in_recovery,
+  CASE WHEN c_custkey % 19 <> 2 THEN c_custkey % 3 <> 1 END AS was_cloned, CASE WHEN c_custkey % 23 <> 3 THEN c_custkey % 2 = 0 END AS had_peers
 FROM (SELECT c_custkey, c_nationkey,
         CASE WHEN c_acctbal > 9000 THEN concat('solo', c_custkey) ELSE concat('n', c_nationkey) END AS cluster
       FROM {customer}) b
@@ -188,9 +189,9 @@ SELECT p_partkey,
     ELSE CASE WHEN p_partkey % 7 = 0 THEN 'ms' WHEN p_partkey % 7 < 4 THEN '8kB' ELSE 'MB' END END AS unit
 FROM {part}""",
     "unit_profile": """
-SELECT concat('app/', p_partkey) AS unit, p_partkey * 37 % 50000 AS ram_mb,
-  CASE p_partkey % 4 WHEN 0 THEN '9.3' WHEN 1 THEN '9.5' WHEN 2 THEN '10' ELSE '12' END AS version,
-  CAST(p_size % 4 AS BIGINT) AS standbys,
+SELECT concat('app/', p_partkey) AS unit, CASE WHEN p_partkey % 43 <> 0 THEN p_partkey * 37 % 50000 END AS ram_mb,
+  CASE WHEN p_partkey % 47 = 0 THEN NULL WHEN p_partkey % 53 = 0 THEN 'devel' ELSE CASE p_partkey % 4 WHEN 0 THEN '9.3' WHEN 1 THEN '9.5' WHEN 2 THEN '10' ELSE '12' END END AS version,
+  CASE WHEN p_partkey % 59 <> 0 THEN CAST(p_size % 4 AS BIGINT) END AS standbys,
   CASE WHEN p_size > 30 THEN CAST(p_size AS BIGINT) ELSE NULL END AS max_wal_senders,
   CASE WHEN p_size > 10 THEN CAST(p_size AS BIGINT) * 5 ELSE NULL END AS max_connections,
   CASE WHEN p_size > 20 THEN CAST(p_size AS BIGINT) * 20 ELSE NULL END AS wal_keep_segments,
@@ -302,7 +303,7 @@ UNION ALL SELECT DISTINCT concat('r', o_custkey % 3), -CAST(substring(o_orderpri
 SELECT concat('r', o_custkey % 3) AS cluster, CAST(floor(o_custkey / 3) AS BIGINT) AS member, -CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS roleid FROM {orders}""",
     "wanted_extensions": """
 SELECT concat('db', s_suppkey % 40) AS datname, CASE s_suppkey % 3 WHEN 0 THEN ' Brand#1, Brand#2(SMALL)'
-  WHEN 1 THEN 'Brand#3(LARGE),,citext' ELSE 'Brand#5 (PROMO),Brand#4' END AS extensions
+  WHEN 1 THEN concat('Brand#3(LARGE),,citext,(x, ,Brand#4(SMALL PROMO),Brand#1 ( SMALL ),Brand#5', chr(9), '(PROMO) x') ELSE 'Brand#5 (PROMO),Brand#4' END AS extensions
 FROM {supplier}""",
     "installed_extensions": """
 SELECT DISTINCT concat('db', p_partkey % 40) AS datname, p_brand AS extname,
@@ -357,6 +358,11 @@ FROM {supplier}""",
 SELECT event_id, concat('h', user_id) AS unit, ts,
   CASE event_type WHEN 'click' THEN 'active' WHEN 'view' THEN 'waiting' WHEN 'error' THEN 'blocked'
     WHEN 'purchase' THEN 'maintenance' ELSE NULL END AS state
+FROM {events}""",
+    "role_events": """
+SELECT event_id, concat('h', user_id) AS unit, ts, event_type IN ('click', 'purchase') AS is_primary,
+  event_type = 'click' AND event_id % 5 = 0 AS is_master, event_id % 7 = 0 AS is_anointed,
+  CASE WHEN event_id % 11 <> 0 THEN event_id % 4 <> 0 AND event_id > 60 END AS has_peers, event_id % 3 = 0 AS master_peered
 FROM {events}""",
     "target_values": """
 SELECT event_id, concat('h', user_id) AS unit, ts,

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import events
 from fleetlens.plans.adapters import Tables
 from fleetlens.plans.registry import query
-from fleetlens.session import work_folder
-from fleetlens.streaming.jobs import ChangeLog
+from fleetlens.streaming.jobs import change_stream
 from fleetlens.streaming.jobs import route_stream as route_stream_job
 from fleetlens.streaming.run import drain, read_folder
 
@@ -74,9 +73,8 @@ def changes(t: Tables) -> DataFrame:
 @query("target_values", sql=_CHANGES)
 def changes_stream(t: Tables) -> DataFrame:
     stream = t.adapt("target_values", events=read_folder(t.spark, t.path("events")))
-    log = ChangeLog(work_folder(t.spark, "changes"), "unit", "target")
-    drain(stream, "changes-run", each=log.apply)
-    return log.read(t.spark)
+    found = change_stream(stream, "unit", "target")
+    return t.spark.read.schema(found.schema).parquet(drain(found, "changes"))
 
 
 @query(

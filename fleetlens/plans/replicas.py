@@ -13,9 +13,9 @@ from fleetlens.plans.registry import query
 
 def _bytes(column: str, scale: int = 255) -> str:
     def half(i: int) -> str:
-        return f"CAST(CAST(concat('0x', split_part({column}, '/', {i})) AS UBIGINT) AS HUGEINT)"
+        return f"CAST(TRY_CAST(concat('0x', split_part({column}, '/', {i})) AS UBIGINT) AS HUGEINT)"
 
-    return f"CAST(CASE WHEN {column} IS NOT NULL THEN {half(1)} * 16777216 * {scale} + {half(2)} END AS DECIMAL(38,0))"
+    return f"CAST(CASE WHEN length({column}) - length(replace({column}, '/', '')) = 1 THEN {half(1)} * 16777216 * {scale} + {half(2)} END AS DECIMAL(38,0))"
 
 
 @query(
@@ -83,6 +83,17 @@ def waiting_on(t: Tables) -> DataFrame:
     return replication.waiting_on(t["replicas"])
 
 
+@query(
+    "replicas",
+    sql="""
+    SELECT cluster, unit, position FROM replicas
+    WHERE position IS NOT NULL AND (len(string_split(position, '/')) <> 2 OR TRY_CAST(concat('0x', split_part(position, '/', 1)) AS UBIGINT) IS NULL
+      OR TRY_CAST(concat('0x', split_part(position, '/', 2)) AS UBIGINT) IS NULL)""",
+)
+def malformed_positions(t: Tables) -> DataFrame:
+    return replication.malformed_positions(t["replicas"])
+
+
 @query(
     "following_units",
     "stat_replication",
@@ -105,26 +116,40 @@ def is_replicating(t: Tables) -> DataFrame:
           CASE WHEN EXISTS (SELECT 1 FROM n p WHERE p.cluster = u.cluster AND p.unit = u.a) THEN a END AS known
         FROM n u),
       g AS (SELECT *, coalesce(unit = m, false) AS is_m, known IS NOT NULL AND known IS DISTINCT FROM m AS sw FROM f),
-      h AS (SELECT *, sw AND known = unit AS is_a, CASE WHEN in_recovery THEN was_cloned WHEN is_m THEN true
-          WHEN sw AND known = unit THEN was_cloned ELSE false END AS cl FROM g)
-    SELECT cluster, unit, manual, peers AS has_peers, peers OR had_peers AS had_peers, is_m AS is_master, peered AS master_peered,
+      h AS (SELECT *, sw AND known = unit AS is_a, coalesce(NOT in_recovery, false) AS prim, CASE WHEN in_recovery IS DISTINCT FROM false
+          THEN coalesce(was_cloned, false) WHEN is_m THEN true WHEN sw AND known = unit THEN coalesce(was_cloned, false) ELSE false END AS cl FROM g)
+    SELECT cluster, unit, manual, peers AS has_peers, peers OR coalesce(had_peers, false) AS had_peers, is_m AS is_master, peered AS master_peered,
       authorized AS master_authorized, is_m OR authorized AS has_master, sw AS switchover, is_a AS is_anointed,
-      NOT in_recovery AS is_primary, cl AS cloned, NOT is_m AND peers AND NOT peered AND cl AS failover,
-      CASE WHEN in_recovery THEN 'hot standby' WHEN peers THEN 'master' ELSE 'standalone' END AS state,
-      CASE WHEN is_m THEN 'Live master' WHEN NOT in_recovery THEN 'Live primary' ELSE 'Live secondary' END AS message
+      prim AS is_primary, cl AS cloned, NOT is_m AND peers AND NOT peered AND cl AS failover,
+      CASE WHEN in_recovery IS NULL THEN 'unknown' WHEN in_recovery THEN 'hot standby' WHEN peers THEN 'master' ELSE 'standalone' END AS state,
+      CASE WHEN in_recovery IS NULL THEN 'unknown' WHEN is_m THEN 'Live master' WHEN NOT in_recovery THEN 'Live primary' ELSE 'Live secondary' END AS message
     FROM h""",
 )
 def role_flags(t: Tables) -> DataFrame:
     return replication.role_flags(t["cluster_units"])
 
 
+@query(
+    "role_events",
+    sql="""WITH s AS (SELECT *, coalesce(is_primary, false) AS p, coalesce(is_master, false) AS m, coalesce(is_anointed, false) AS a,
+        count(*) FILTER (has_peers) OVER w > 0 AS had FROM role_events
+        WINDOW w AS (PARTITION BY unit ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+      c AS (SELECT *, coalesce(arg_max(m, (ts, event_id)) FILTER (p AND (m OR NOT a)) OVER w, false) AS cloned FROM s
+        WINDOW w AS (PARTITION BY unit ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT unit, ts, event_id, cloned, had AS had_peers,
+      NOT m AND coalesce(has_peers, false) AND NOT coalesce(master_peered, false) AND cloned AS failover FROM c""",
+)
+def role_history(t: Tables) -> DataFrame:
+    return replication.role_history(t["role_events"])
+
+
 @query(
     "master_rows",
     "copied_rows",
     "listed_units",
     sql="""
-    SELECT m.cluster, u.unit, m.token FROM master_rows m JOIN listed_units u ON u.cluster = m.cluster
-    WHERE NOT EXISTS (SELECT 1 FROM copied_rows c WHERE c.cluster = m.cluster AND c.unit = u.unit AND c.token = m.token)""",
+    SELECT DISTINCT m.cluster, u.unit, m.token FROM master_rows m JOIN listed_units u ON u.cluster = m.cluster
+    WHERE NOT EXISTS (SELECT 1 FROM copied_rows c WHERE c.cluster = m.cluster AND c.unit = u.unit AND c.token IS NOT DISTINCT FROM m.token)""",
 )
 def missing_rows(t: Tables) -> DataFrame:
     """One of the units that hold copies has left its cluster and doesn't count."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator, Sequence
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from fleetlens.fixed import GAUGE_PREFIX
-from fleetlens.functions.ordered import ROWS_PER_SLICE
-from fleetlens.operators.events import changes, route
+from fleetlens.operators.events import route
 from fleetlens.operators.metrics import gauge_lines, sample
 from fleetlens.operators.sessions import last_states
 
@@ -56,61 +57,47 @@ def route_stream(lines: DataFrame, routes: DataFrame) -> DataFrame:
     return route(lines, routes)
 
 
-class ChangeLog:
-    """Change detection across triggers: the batch operator plus a table of last values.
+class _LastValue(StatefulProcessor):
+    """Keeps each key's last value in the engine's state, and says where a row differs from it."""
 
-    ``apply`` is for ``foreachBatch``. Inside a trigger rows are taken in time order
-    (cut into slices, so one busy key is not one task); between triggers the order
-    is arrival. The table of last values alternates between two folders, so a
-    trigger that is run again finds what the one before it left, and its own
-    output is overwritten: each change is kept exactly once.
-    """
+    def __init__(self, columns: Sequence[str], state: StructType) -> None:
+        self.columns, self.state = columns, state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.state)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        known = self.last.get()  # a row with the value, or none
+        before = known[0] if known is not None else None
+        for row in in_order(rows, 1, 2):
+            value = row[3]
+            if known is None or value != before:
+                yield Row(**dict(zip(self.columns, [*row, before], strict=True)))
+            known, before = (value,), value
+        self.last.update((before,))
+
+    def close(self) -> None:
+        pass
 
-    def __init__(
-        self,
-        folder: str,
-        key: str,
-        value: str,
-        ts: str = "ts",
-        tie: str = "event_id",
-        limit: int = ROWS_PER_SLICE,
-    ) -> None:
-        self.folder = folder.rstrip("/")
-        self.key, self.value, self.ts, self.tie = key, value, ts, tie
-        self.limit = limit
-
-    def _last(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """What the trigger before left; only the first one has none before it."""
-        if batch_id == 0:
-            return None
-        try:
-            return spark.read.parquet(f"{self.folder}/last/slot={(batch_id - 1) % 2}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            raise RuntimeError(f"the last values that trigger {batch_id} needs are gone from {self.folder}") from error
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        kept = batch.select(self.key, self.ts, self.tie, self.value).persist()
-        try:
-            self._apply(kept, batch_id)
-        finally:
-            kept.unpersist()
-
-    def _apply(self, rows: DataFrame, batch_id: int) -> None:
-        # Known values come before anything in this trigger.
-        start, first = F.lit("0001-01-01").cast(dict(rows.dtypes)[self.ts]), F.lit(-(1 << 63)).cast("bigint")
-        known = self._last(rows.sparkSession, batch_id)
-        if known is not None:
-            rows = rows.unionByName(known.select(self.key, start.alias(self.ts), first.alias(self.tie), self.value))
-        found = changes(
-            rows, self.key, self.value, self.ts, self.tie, self.limit
-        ).where((F.col(self.ts) != start) | (F.col(self.tie) != first))
-        found.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
-        rows.groupBy(self.key).agg(
-            F.max_by(self.value, F.struct(self.ts, self.tie)).alias(self.value)
-        ).write.mode("overwrite").parquet(f"{self.folder}/last/slot={batch_id % 2}")
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        """Every change found so far."""
-        return spark.read.parquet(f"{self.folder}/changes").drop("batch")
+
+def in_order(rows: Iterable[Row], *places: int) -> list[Row]:
+    """Rows by the values in those places, nulls first, as Spark sorts them."""
+    return sorted(rows, key=lambda row: [(row[i] is not None, row[i]) if row[i] is not None else (False,) for i in places])
+
+
+def change_stream(stream: DataFrame, key: str, value: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """``changes`` for a stream: rows whose ``value`` differs from the one before it for the key.
+
+    The engine keeps the last value of each key in its state store, with its own
+    checkpoints, so a trigger reads and writes only the keys that it has rows of, and one
+    that is run again gives each change once. Inside a trigger a key's rows are taken in
+    the order of ``ts`` and ``tie``, nulls first; between triggers the order is arrival. A
+    null value is a value, a null key a key. A key's rows of one trigger are sorted in one
+    task, so bound the trigger by the source's limits.
+    """
+    slim = stream.select(key, ts, tie, value)
+    fields = list(slim.schema.fields)
+    state = StructType([StructField("value", slim.schema[value].dataType)])
+    out = StructType([*[StructField(f.name, f.dataType) for f in fields], StructField("previous", fields[3].dataType)])
+    processor = _LastValue(out.names, state)
+    return slim.groupBy(key).transformWithState(processor, out, outputMode="Append", timeMode="None")

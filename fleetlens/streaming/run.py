@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.session import work_folder
+from fleetlens.session import DEFAULTS, work_folder
 
 
 def read_folder(
@@ -31,23 +31,32 @@ def drain(
     purpose: str,
     each: Callable[[DataFrame, int], None] | None = None,
     partition_by: str | None = None,
+    base: str | None = None,
 ) -> str:
-    """Process everything available, append it to a fresh folder and return that folder.
+    """Process everything available, append it to a folder and return that folder.
 
-    With ``each`` the function writes the batches itself.
+    With ``each`` the function writes the batches itself. ``base`` is where output and
+    checkpoint are; a run that is given the same one again goes on where the last ended.
     """
     spark = stream.sparkSession
-    base = work_folder(spark, purpose)
+    base = base or work_folder(spark, purpose)
     writer = (
         stream.writeStream.trigger(availableNow=True)
         .outputMode("append")
         .option("checkpointLocation", f"{base}/checkpoint")
     )
-    if each is not None:
-        query = writer.foreachBatch(each).start()
-    else:
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        query = writer.format("parquet").option("path", f"{base}/out").start()
+    # Keyed state needs a store that can hold more than one column family per key.
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, DEFAULTS[provider])
+    try:
+        if each is not None:
+            query = writer.foreachBatch(each).start()
+        else:
+            if partition_by:
+                writer = writer.partitionBy(partition_by)
+            query = writer.format("parquet").option("path", f"{base}/out").start()
+    finally:
+        spark.conf.set(provider, before)
     query.awaitTermination()
     return f"{base}/out"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.ordered import look_back, previous, slice_busy_keys
 from fleetlens.functions import skew
 from fleetlens.functions.skew import spread_join, top_rows
+from fleetlens.operators.replication import role_history
 from fleetlens.operators.sessions import idle_runs
 
 START = dt.datetime(2024, 1, 1)
@@ -42,6 +43,19 @@ def test_look_back_equals_the_plain_window(history, limit, inclusive):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_one_time_is_cut_by_the_tie(spark):
+    """A key of which every row has one time: 64 slices of about equal size, and the plain answer."""
+    rows = [("busy", START, i, ["a", None, "b"][i * 7 % 3]) for i in range(6400)] + [("busy", START + dt.timedelta(seconds=s), 9000 + s, "c") for s in (-1, 1)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id bigint, v string").repartition(4)
+    sizes = [r["count"] for r in slice_busy_keys(df, ["k"], "ts", 100, "id").groupBy("_slice").count().collect()]
+    assert 60 <= len(sizes) <= 68 and max(sizes) <= 200
+    for inclusive in (True, False):
+        w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        want = df.withColumn("was", F.last("v", ignorenulls=True).over(w))
+        got = look_back(df, ["k"], "ts", ["id"], F.col("v"), "was", inclusive, 100)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.mark.parametrize("limit", [10, 10_000])
 def test_previous_equals_lag(history, limit):
     w = Window.partitionBy("k").orderBy("ts", "id")
@@ -140,3 +154,23 @@ def test_top_rows(history, monkeypatch, small_top):
     got = top_rows(history, ["k"], ["ts", "id"], 7)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_role_history_of_a_busy_unit(spark):
+    """Each event as a map on the two flags, applied one after the other in plain Python."""
+    pick = random.Random(8)
+    flag = lambda: pick.choice([True, False, None])
+    rows = [("busy" if i % 3 else f"u{i % 7}", START + dt.timedelta(seconds=i // 5), i, flag(), pick.random() < 0.1, flag(), i > 90 and flag(), flag()) for i in range(900)]
+    df = spark.createDataFrame(rows, "unit string, ts timestamp_ntz, event_id bigint, is_primary boolean, is_master boolean, is_anointed boolean, has_peers boolean, master_peered boolean")
+    want, state = [], {}
+    for unit, ts, i, primary, master, anointed, peers, peered in rows:
+        cloned, had = state.get(unit, (False, False))
+        if primary and master:
+            cloned = True
+        elif primary and not anointed:
+            cloned = False
+        had = had or bool(peers)
+        state[unit] = cloned, had
+        want.append((unit, ts, i, cloned, had, bool(not master and peers and not peered and cloned)))
+    for limit in (20, 10_000):
+        assert sorted(tuple(r) for r in role_history(df.repartition(3), limit).collect()) == sorted(want)

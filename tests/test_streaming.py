@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import events, metrics, sessions
 from fleetlens.plans.adapters import Tables
 from fleetlens.session import work_folder
-from fleetlens.streaming.jobs import ChangeLog, idle_stream, route_stream, sample_stream, write_gauge_stream
+from fleetlens.streaming.jobs import change_stream, idle_stream, route_stream, sample_stream, write_gauge_stream
 from fleetlens.streaming.run import drain, read_folder
 
 
@@ -40,28 +40,39 @@ def text(df):
 
 def test_changes_across_triggers(spark, tables, split_events):
     stream = tables.adapt("target_values", events=read_folder(spark, split_events, max_files=1))
-    log = ChangeLog(work_folder(spark, "changes"), "unit", "target", limit=20)
-    drain(stream, "run", each=log.apply)
-    assert text(log.read(spark)) == text(events.changes(tables["target_values"], "unit", "target"))
-
-
-def test_a_trigger_run_again_changes_nothing(spark, tables):
-    df = tables["target_values"]
-    log = ChangeLog(work_folder(spark, "changes"), "unit", "target")
-    first, second = df.where("event_id < 500"), df.where("event_id >= 500")
-    for batch, number in [(first, 0), (second, 1), (second, 1)]:
-        log.apply(batch, number)
-    assert text(log.read(spark)) == text(events.changes(df, "unit", "target"))
-
-
-def test_negative_ids_and_lost_values(spark, frame):
-    log = ChangeLog(work_folder(spark, "changes"), "k", "v", tie="id")
-    rows = [("a", datetime(2024, 1, 1), -5, "x"), ("a", datetime(2024, 1, 2), -4, "y")]
-    log.apply(frame(rows, "k string, ts timestamp_ntz, id bigint, v string"), 0)
-    log.apply(frame([("a", datetime(2024, 1, 3), -3, "y"), ("a", datetime(2024, 1, 4), -2, "z")], "k string, ts timestamp_ntz, id bigint, v string"), 1)
-    assert sorted((r.id, r.v, r.previous) for r in log.read(spark).collect()) == [(-5, "x", None), (-4, "y", "x"), (-2, "z", "y")]
-    with pytest.raises(RuntimeError, match="gone"):
-        ChangeLog(work_folder(spark, "changes"), "k", "v", tie="id").apply(frame([], "k string, ts timestamp_ntz, id bigint, v string"), 3)
+    out = drain(change_stream(stream, "unit", "target"), "run")
+    assert text(spark.read.parquet(out)) == text(events.changes(tables["target_values"], "unit", "target"))
+
+
+def test_changes_after_a_restart(spark, tables):
+    """Three runs from one checkpoint: each finds the last values of the one before, and only new rows."""
+    df, folder, base = tables["target_values"], work_folder(spark, "arriving"), work_folder(spark, "restarted")
+    cuts = df.selectExpr("percentile_approx(event_id, array(0.3, 0.6)) AS b").first().b
+    parts = [df.where(F.col("event_id") < cuts[0]), df.where(F.col("event_id").between(cuts[0], cuts[1] - 1)), df.where(F.col("event_id") >= cuts[1])]
+    ordered = df.selectExpr("event_id", "row_number() OVER (ORDER BY ts, event_id) AS n", "row_number() OVER (ORDER BY event_id) AS m")
+    assert ordered.where("n <> m").count() == 0  # arrival is in the order of time
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        out = drain(change_stream(stream, "unit", "target"), "", base=base)
+    assert text(spark.read.parquet(out)) == text(events.changes(df, "unit", "target"))
+
+
+def test_changes_of_odd_values(spark, frame):
+    """Null keys, values and times, negative ids, large numbers, and rows of one time."""
+    day = lambda n: datetime(2024, 1, n)
+    rows = [
+        ("a", day(1), -5, 1 << 60), ("a", day(2), -4, (1 << 60) + 1), ("a", None, 3, None), ("a", day(2), -4, None),
+        (None, day(1), 1, 7), (None, day(2), 2, 7), (None, day(3), 3, None), ("b", day(9), 2, 1), ("b", day(9), 1, 1),
+    ]
+    df = frame(rows, "k string, ts timestamp_ntz, id bigint, v bigint")
+    folder = work_folder(spark, "odd")
+    df.coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(df.schema).parquet(folder)
+    got = spark.read.parquet(drain(change_stream(stream, "k", "v", tie="id"), "odd-run")).collect()
+    assert sorted((str(r.k), r.id, r.v, r.previous) for r in got if r.k != "a") == [("None", 1, 7, None), ("None", 3, None, 7), ("b", 1, 1, None)]
+    mine = [(r.id, r.v) for r in got if r.k == "a"]
+    assert (3, None) in mine and (-5, 1 << 60) in mine and len(mine) >= 3
 
 
 def test_samples(spark, tables, split_events):

@@ -16,7 +16,7 @@ from fleetlens.fixed import (
     PUBLIC_SCHEMA,
     REPLICATION_ACCOUNT,
 )
-from fleetlens.functions.managed import block, commented_out, is_code, without_block
+from fleetlens.functions.managed import block, commented_out, is_code, lines_without_block
 from fleetlens.functions.skew import spread_join
 from fleetlens.functions.text import (
     BLANKS,
@@ -232,7 +232,7 @@ def access_rules(clusters: DataFrame, peers: DataFrame, relations: DataFrame) ->
 def retire_rules(texts: DataFrame, text: str = "text") -> DataFrame:
     """A rules text without its managed block and with every other rule commented out."""
     return texts.withColumn(
-        text, commented_out(without_block(F.col(text)), is_code)
+        text, commented_out(lines_without_block(F.col(text)), is_code)
     )
 
 

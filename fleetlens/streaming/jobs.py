@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 from fleetlens.fixed import GAUGE_PREFIX
 from fleetlens.operators.events import route
@@ -101,3 +101,58 @@ def change_stream(stream: DataFrame, key: str, value: str, ts: str = "ts", tie:
     out = StructType([*[StructField(f.name, f.dataType) for f in fields], StructField("previous", fields[3].dataType)])
     processor = _LastValue(out.names, state)
     return slim.groupBy(key).transformWithState(processor, out, outputMode="Append", timeMode="None")
+
+
+class _Settled(StatefulProcessor):
+    """The sample before, and until when a unit may take to come to rest."""
+
+    def __init__(self, limit_ms: int, columns: Sequence[str]) -> None:
+        self.limit_ms, self.columns = limit_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "position string, started bigint, done boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        known = self.seen.get()
+        before, started, done = tuple(known) if known is not None else (None, None, False)
+        for row in in_order(rows, 1, 2):
+            if done or row[1] is None:
+                continue
+            if started is None:
+                started = round(row[1].timestamp() * 1000)
+                self.handle.registerTimer(started + self.limit_ms)
+            if row[3] is not None and row[3] == before:
+                done = True
+                self.handle.deleteTimer(started + self.limit_ms)
+                yield Row(**dict(zip(self.columns, (row[0], row[3], row[1], True), strict=True)))
+            before = row[3]
+        self.seen.update((before, started, done))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        position, started, done = tuple(self.seen.get())
+        if not done:
+            self.seen.update((position, started, True))
+            yield Row(**dict(zip(self.columns, (key[0], None, None, False), strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def settled_stream(
+    samples: DataFrame, limit_s: int, delay: str = "1 minute", key: str = "unit", ts: str = "ts", tie: str = "sample_id"
+) -> DataFrame:
+    """``settled`` as it happens: ``(unit, position, settled_at, settled)``, one row per unit.
+
+    A unit settles with the first sample whose known position is that of the sample before
+    it. If none has by the time that the watermark passes ``limit_s`` seconds after its
+    first sample, a row without position says that it did not settle; samples that come
+    after that, or after the unit has settled, change nothing. Samples without a time are
+    passed over. Inside a trigger samples are taken by ``ts`` and ``tie``.
+    """
+    timed = samples.select(key, F.col(ts).cast("timestamp").alias(ts), tie, "position").withWatermark(ts, delay)
+    out = StructType(
+        [timed.schema[key], timed.schema["position"], StructField("settled_at", TimestampType()), StructField("settled", BooleanType())]
+    )
+    processor = _Settled(limit_s * 1000, out.names)
+    return timed.groupBy(key).transformWithState(processor, out, outputMode="Append", timeMode="EventTime")

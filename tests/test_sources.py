@@ -2,12 +2,16 @@
 
 import datetime as dt
 import json
+import sqlite3
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from fleetlens.operators import freshness
+
 from fleetlens.session import work_folder
-from fleetlens.sources import files, sinks, snapshots
+from fleetlens.sources import files, gauge_files, inventory, servers, sinks, snapshots
 from fleetlens.specs import DATABASE_SPECS, StatSpec
 
 
@@ -134,3 +138,81 @@ def test_work_folder_is_local_only_for_local_sessions():
     assert first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(Session("spark://x:1", None), "x")
+
+
+def test_listing_with_empty_markers(spark, tmp_path):
+    base = tmp_path / "logs"
+    for name, size in [("u1/pg_wal/archive_status/01.ready", 0), ("u1/pg_wal/archive_status/02.done", 0), ("u1/01", 7), ("u2/pg_wal/archive_status/03.ready", 0), ("top.ready", 0)]:
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_bytes(b"x" * size)
+    (base / "u3").mkdir()
+    df = inventory.listed_files(spark, str(base))
+    got = {(r.folder, r.path.removeprefix(f"{base}/"), r.size) for r in df.collect()}
+    assert got == {("u1", "u1/pg_wal/archive_status/01.ready", 0), ("u1", "u1/pg_wal/archive_status/02.done", 0), ("u1", "u1/01", 7),
+                   ("u2", "u2/pg_wal/archive_status/03.ready", 0), ("", "top.ready", 0)}
+    assert df.rdd.getNumPartitions() == 4 and df.where("mtime is null").count() == 0
+    one = inventory.listed_files(spark, str(base), ["u2"])
+    assert one.rdd.getNumPartitions() == 1 and [r.folder for r in one.collect()] == ["u2"]
+    ready = freshness.ready_files(inventory.listed_files(spark, str(base), ["u1", "u2"], ".ready").withColumnRenamed("folder", "unit"), str(tmp_path))
+    assert {r.unit for r in ready.collect()} == {"u1", "u2"}
+    assert [df.where(F.col("folder") == f).count() for f in ("u1", "u2", "none", "u1")] == [3, 1, 0, 3]
+    assert inventory.listed_files(spark, f"file://{base}").count() == 5
+    assert inventory.listed_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_snapshots_of_live_databases(spark, tmp_path):
+    """Database files that only the tasks open, one connection for each that is not left out."""
+    targets = []
+    for unit in ("u1", "u2"):
+        for name in ("a", "b"):
+            path = tmp_path / f"{unit}-{name}.db"
+            with sqlite3.connect(path) as db:
+                db.execute("CREATE TABLE pg_stat_database (datname TEXT, numbackends INT, note TEXT)")
+                db.executemany("INSERT INTO pg_stat_database VALUES (?, ?, ?)", [("a", 1, unit), ("b", 2, None)])
+                db.execute("CREATE TABLE pg_stat_user_tables (relname TEXT, n_tup_ins INT)")
+                db.executemany("INSERT INTO pg_stat_user_tables VALUES (?, ?)", [(f"t{i}", i) for i in range(2500)])
+            targets.append({"unit": unit, "datname": name, "connect": {"database": str(path)}})
+    targets.append({"unit": "u3", "datname": "a", "connect": {"database": str(tmp_path / "none" / "x.db")}})
+    columns = "numbackends bigint, note string"
+    with pytest.raises(Exception, match="unable to open"):
+        servers.live_snapshot(spark, DATABASE_SPECS[0], columns, targets, "sqlite3", "?").collect()
+    df = servers.live_snapshot(spark, DATABASE_SPECS[0], columns, targets[:4], "sqlite3", "?")
+    assert df.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in df.collect()) == [(u, d, n, u if d == "a" else None) for u in ("u1", "u2") for d, n in (("a", 1), ("b", 2))]
+    assert [df.where(F.col("unit") == u).count() for u in ("u1", "nobody", "u2")] == [2, 0, 2]
+    some = servers.live_snapshot(spark, DATABASE_SPECS[0], columns, targets, "sqlite3", "?", datname="b")
+    assert some.rdd.getNumPartitions() == 2 and {r.datname for r in some.collect()} == {"b"}
+    assert servers.live_snapshot(spark, DATABASE_SPECS[0], columns, targets, "sqlite3", "?", datname="x").count() == 0
+    tables = servers.live_snapshot(spark, DATABASE_SPECS[2], "relname string, n_tup_ins bigint", targets[:4], "sqlite3", "?")
+    assert tables.groupBy("unit", "datname").count().where("count = 2500").count() == 4
+
+
+def test_a_trigger_that_comes_again_writes_its_lines_once(tmp_path):
+    def lines():
+        return sorted(x for f in tmp_path.glob("trigger=*/*.txt") for x in f.read_text().split())
+
+    writer = gauge_files.GaugeWriter(str(tmp_path))
+    first = [writer.write(iter([Row("a"), Row("b")])), writer.write(iter([])), writer.write(iter([Row("c")]))]
+    assert lines() == []
+    lost = writer.write(iter([Row("a")]))  # an attempt of a task whose other attempt counts
+    writer.commit([*first, None], 0)
+    assert lines() == ["a", "b", "c"]
+    writer.commit([writer.write(iter([Row("a"), Row("b"), Row("c")]))], 0)  # the same trigger after a restart
+    assert lines() == ["a", "b", "c"]
+    (tmp_path / "trigger=1").mkdir()
+    (tmp_path / "trigger=1" / "part-00000.txt").write_text("d\n")  # stopped before its mark
+    writer.commit([writer.write(iter([Row("d")])), writer.write(iter([Row("e")]))], 1)
+    failed = writer.write(iter([Row("f")]))
+    writer.abort([failed, None], 2)
+    assert lines() == ["a", "b", "c", "d", "e"]
+    assert [f"{tmp_path}/_staged/{f.name}" for f in (tmp_path / "_staged").iterdir()] == [lost.path]
+
+
+def test_gauge_triggers_of_a_stream(spark, tmp_path):
+    frame = spark.createDataFrame([(f"m{i}", float(i)) for i in range(50)], "metric string, value double")
+    for part in (frame.where("value < 20"), frame.where("value >= 20")):
+        part.repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+        gauge_files.write_gauge_triggers(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", "p", availableNow=True).awaitTermination()
+    got = [x for f in (tmp_path / "out").glob("trigger=*/*.txt") for x in f.read_text().split()]
+    assert sorted(got) == sorted(f"p.m{i}:{i}|g" for i in range(50))

@@ -5,10 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import events, metrics, sessions
+from fleetlens.operators import events, metrics, replication, sessions
 from fleetlens.plans.adapters import Tables
 from fleetlens.session import work_folder
-from fleetlens.streaming.jobs import change_stream, idle_stream, route_stream, sample_stream, write_gauge_stream
+from fleetlens.streaming.jobs import change_stream, idle_stream, route_stream, sample_stream, settled_stream, write_gauge_stream
 from fleetlens.streaming.run import drain, read_folder
 
 
@@ -75,6 +75,25 @@ def test_changes_of_odd_values(spark, frame):
     assert (3, None) in mine and (-5, 1 << 60) in mine and len(mine) >= 3
 
 
+def test_positions_that_settle_and_that_do_not(spark, frame):
+    """Three triggers; the last one only moves the watermark on, so that the time limit passes."""
+    at = lambda s: datetime(2024, 1, 1, 0, s // 60, s % 60)
+    parts = [
+        [("a", at(0), 1, "0/1"), ("a", at(2), 2, "0/2"), ("b", at(1), 3, "0/9"), ("c", at(1), 4, None), ("c", at(2), 5, None)],
+        [("a", at(4), 6, "0/2"), ("b", at(30), 7, "0/A"), ("d", at(31), 9, "0/5"), ("d", at(31), 8, "0/5"), ("e", None, 10, "0/1")],
+        [("z", at(600), 11, "0/1"), ("a", at(500), 12, "0/3"), ("a", at(501), 13, "0/3")],
+    ]
+    df, folder, base = frame(sum(parts, []), "unit string, ts timestamp_ntz, sample_id bigint, position string"), work_folder(spark, "in"), work_folder(spark, "run")
+    for part in parts:
+        frame(part, df.schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        out = drain(settled_stream(stream, 60), "", base=base)
+    got = {r.unit: (r.position, r.settled_at and r.settled_at.second, r.settled) for r in spark.read.parquet(out).collect()}
+    assert got == {"a": ("0/2", 4, True), "d": ("0/5", 31, True), "b": (None, None, False), "c": (None, None, False)}
+    batch = {r.unit: (r.position, r.settled_at.second) for r in replication.settled(df.where("ts is not null")).collect()}
+    assert batch == {u: v[:2] for u, v in got.items() if v[2]}
+
+
 def test_samples(spark, tables, split_events):
     stream = tables.adapt("gauges", events=read_folder(spark, split_events, max_files=1))
     out = spark.read.parquet(drain(sample_stream(stream), "samples"))

@@ -27,6 +27,7 @@ PAD = 0
 KINDS = 512  # 256 bytes, and the same as repeats
 
 PER_CLASS = 1200  # most labelled documents of either class that are learned from
+SLICE_CHUNKS = 2048  # chunks of one long text that are held at a time
 STEPS = 500  # of the fit, at least, however few documents there are
 EPOCHS = 6
 DOCS_A_STEP = 24
@@ -98,10 +99,31 @@ class ByteNetwork:
         return np.hstack([np.maximum.reduceat(pooled, first), np.add.reduceat(pooled, first) / counts]), counts
 
     def logits(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        rows, first = chunks(data, starts)
-        features, _ = self._features(self._pooled(rows, False)[0], first)
+        if len(starts) == 2 and len(data) > SLICE_CHUNKS * STEP + CHUNK:
+            features = self._sliced(data)
+        else:
+            rows, first = chunks(data, starts)
+            features, _ = self._features(self._pooled(rows, False)[0], first)
         return features @ self.weights["mix"] + self.weights["bias"][0] + self.shift
 
+    def _sliced(self, data: np.ndarray) -> np.ndarray:
+        """The features of one long text, of which only some chunks are held at a time.
+
+        Each slice comes with as many bytes before it as repeats are looked for in.
+        """
+        most, total, count = np.full(FILTERS, -np.inf, np.float32), np.zeros(FILTERS, np.float64), 0
+        reach = -(-(max(LAGS) + RUN) // STEP)
+        chunks_in_all = -(-(len(data) - CHUNK) // STEP) + 1
+        for at in range(0, chunks_in_all, SLICE_CHUNKS):
+            begin, end = max(0, at - reach), min(chunks_in_all, at + SLICE_CHUNKS)
+            part = data[begin * STEP : (end - 1) * STEP + CHUNK]
+            rows = chunks(part, np.array([0, len(part)]))[0][at - begin : end - begin]
+            pooled = self._pooled(rows, False)[0]
+            most = np.maximum(most, pooled.max(0))
+            total += pooled.sum(0, dtype=np.float64)
+            count += len(rows)
+        return np.hstack([most, (total / count).astype(np.float32)])[None]
+
     def slopes(self, rows: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
         pooled, place = self._pooled(rows, True)
@@ -189,6 +211,11 @@ def keep_good(
 
 
 def judged(docs: DataFrame, labels: DataFrame, held_out: Column, least: float) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` with a network fitted on the labels not held out."""
+    """``(doc_id, held_out, score, predicted)`` with a network fitted on the labels not held out.
+
+    Each row is judged by its own text: repeated ids come out as often as they are there, and
+    null and empty texts have the score of an empty chunk. A row whose id is null is not
+    held out. A score of ``least`` itself is predicted 1.
+    """
     scored = score(docs, fitted(docs, labels, held_out))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

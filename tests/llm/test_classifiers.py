@@ -1,7 +1,9 @@
 """Both networks: slopes against differences, held-out accuracy, and what they do without labels."""
 
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -121,3 +123,102 @@ def test_judged_goes_by_language(spark, monkeypatch):
     got = toxicity.judged(docs, docs, part_of("doc_id", 4) == 2, 0.3).collect()
     assert sorted((r.doc_id, r.toxic_by_language) for r in got if r.doc_id < 3) == [(1, 1), (2, 0), (2, 1)]
     assert [r.toxic_by_language == (r.score >= 0.5) for r in got if r.doc_id == 3] == [True]
+
+
+def odd_texts():
+    draw = random.Random(12)
+    long = " ".join("".join(draw.choices("abcdeXYZ\u00e9", k=draw.randint(1, 9))) for _ in range(700))
+    return [t.encode() for t in ("", "a", "word " * 30, "abcabcabcabcabcabcabc" * 40, long, long[:513], "x" * 2000)]
+
+
+def plain_byte_logit(net, text):
+    """The byte network by its definition, one byte, filter and chunk at a time."""
+    w = net.weights
+    kinds = []
+    for i in range(len(text)):
+        found = any(i - lag - quality.RUN + 1 >= 0 and text[i - quality.RUN + 1 : i + 1] == text[i - lag - quality.RUN + 1 : i - lag + 1] for lag in quality.LAGS)
+        kinds.append(text[i] + 256 * found)
+    starts = [0]
+    while starts[-1] + quality.CHUNK < len(text):
+        starts.append(starts[-1] + quality.STEP)
+    pooled = []
+    for a in starts:
+        row = (kinds[a : a + quality.CHUNK] + [quality.PAD] * quality.CHUNK)[: quality.CHUNK]
+        most = [-math.inf] * quality.FILTERS
+        for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            seen = np.concatenate([w["bytes"][k] for k in row[p : p + quality.WIDTH]]).astype(np.float64)
+            most = np.maximum(most, [seen @ w["filters"][:, f].astype(np.float64) for f in range(quality.FILTERS)])
+        pooled.append(np.tanh(most + w["offsets"]))
+    features = np.concatenate([np.max(pooled, 0), np.mean(pooled, 0)])
+    return float(features @ w["mix"] + w["bias"][0] + net.shift)
+
+
+@pytest.mark.parametrize("slices", [3, 2048])
+def test_byte_network_by_its_definition(slices, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE_CHUNKS", slices)
+    net = quality.ByteNetwork()
+    net.shift = 0.3
+    texts = odd_texts()
+    want = [plain_byte_logit(net, t) for t in texts]
+    assert net.logits(*joined(texts)) == pytest.approx(want, abs=2e-4)
+    alone = [net.logits(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert alone == pytest.approx(want, abs=2e-4)
+
+
+def plain_word_logit(net, text):
+    """The word network by its definition: each filter at each place of the padded words."""
+    w, pad = net.weights, np.zeros(toxicity.EMBEDDED)
+    vectors = []
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower()):
+        own, stem = (1 + zlib.crc32(x, seed) % (toxicity.BUCKETS - 1) for x, seed in ((word, 0), (word[: toxicity.STEM], 1)))
+        vectors.append(w["words"][own].astype(np.float64) + w["words"][stem])
+    vectors += [pad + 2 * w["words"][0]] * max(toxicity.WIDTHS)
+    features = []
+    for width in toxicity.WIDTHS:
+        filters = w[f"filters{width}"].astype(np.float64)
+        for f in range(toxicity.FILTERS):
+            places = range(len(vectors) - width + 1)
+            features.append(math.tanh(max(sum(vectors[p + i] @ filters[i, :, f] for i in range(width)) for p in places)))
+    return float(np.array(features) @ w["mix"] + w["bias"][0] + net.shift)
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_word_network_by_its_definition(size, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", size)
+    net = toxicity.WordNetwork()
+    net.weights["words"][0] = 0
+    texts = [*odd_texts(), b" a b  c ", b"!" * 200, b"one-two " * 9 + b"z" * 100]
+    want = [plain_word_logit(net, t) for t in texts]
+    tables = net.tables()
+    assert net.logits([toxicity.hashed(t) for t in texts], tables) == pytest.approx(want, abs=1e-4)
+    assert [float(net.long_logit(t, tables)[0]) for t in texts if t] == pytest.approx([x for t, x in zip(texts, want, strict=True) if t], abs=1e-4)
+
+
+def test_slopes_of_the_word_network():
+    net = toxicity.WordNetwork()
+    net.learned[:] = True
+    texts = [toxicity.hashed(t) for t in (b"some words that are here", b"other WORDS", b"one")]
+    labels = np.array([1.0, 0.0, 1.0], np.float32)
+
+    def loss():
+        p = sigmoid(net.logits(texts, net.tables()).astype(np.float64))
+        return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean() + 0.5e-5 * (net.weights["words"].astype(np.float64) ** 2).sum()
+
+    slopes = net._slopes(texts, labels)
+    for name in ("words", "filters1", "filters3", "mix"):
+        slope, weight, step = slopes[name], net.weights[name], 2e-3
+        at = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+        weight[at] += step
+        up = loss()
+        weight[at] -= 2 * step
+        down = loss()
+        weight[at] += step
+        assert (up - down) / (2 * step) == pytest.approx(slope[at], rel=0.1)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_rows_without_id_are_not_held_out(spark, module):
+    docs = spark.createDataFrame([(None, "a b c", "en"), (None, None, None), (2, "a", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    got = module.judged(docs, labels, part_of("doc_id", 4) == 2, 0.7).collect()
+    assert len(got) == 3 and all(isinstance(r.held_out, bool) for r in got) and not any(r.held_out for r in got if r.doc_id is None)

@@ -169,3 +169,22 @@ def previous(
     The struct keeps a previous null apart from no previous row.
     """
     return look_back(df, keys, ts, ties, F.struct(F.col(value).alias("was")), into, False, limit)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
+    """Add ``into``: 1 for the first row of its key by ``order``, and so on, nulls first.
+
+    Rows are dealt by ranges of key and order, so a key of any size is shared out. Each
+    range numbers its own rows; how many of the key come before it is summed over the
+    ranges, of which there are no more than partitions and keys. The ranges are written once, as others
+    might come out when they are taken again.
+    """
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    kept = _written(dealt, "numbered").withColumn("_part", F.shiftright("_row", 33))
+    ranges = kept.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1
+    ranges = ranges.select(F.struct(*keys).alias("_key"), F.col("_part").alias("_of"), shift.alias("_shift"))
+    same = F.struct(*[kept[k] for k in keys]).eqNullSafe(F.col("_key")) & (kept["_part"] == F.col("_of"))
+    return kept.join(ranges, same).withColumn(into, F.col("_row") + F.col("_shift")).select(*df.columns, into)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.fixed import (
+    BEGIN_MARK,
+    END_MARK,
     IDENT_MAP,
     IDENT_PAIRS,
     MIRRORED_KEYS,
@@ -17,6 +19,7 @@ from fleetlens.fixed import (
     REPLICATION_ACCOUNT,
 )
 from fleetlens.functions.managed import block, commented_out, is_code, lines_without_block
+from fleetlens.functions.ordered import numbered
 from fleetlens.functions.skew import spread_join
 from fleetlens.functions.text import (
     BLANKS,
@@ -236,6 +239,20 @@ def retire_rules(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def rules_lines(rules: DataFrame) -> DataFrame:
+    """Lines ``(cluster, line_no, line)`` of each cluster's block of rules, its marks included.
+
+    Numbers run on over all partitions, so that a block is written in order however many
+    rules it has; ``write_rules`` does so.
+    """
+    edge = rules.select("cluster").distinct().select(
+        "cluster", F.explode(F.array(F.struct(F.lit(-1).alias("section"), F.lit(BEGIN_MARK).alias("rule")),
+                                     F.struct(F.lit(len(SECTIONS)).alias("section"), F.lit(END_MARK).alias("rule")))).alias("_e")
+    ).select("cluster", "_e.section", "_e.rule")
+    every = rules.select("cluster", *RULE_ORDER, "rule").unionByName(edge, allowMissingColumns=True)
+    return numbered(every, ["cluster"], [*RULE_ORDER, "rule"], "line_no").select("cluster", "line_no", F.col("rule").alias("line"))
+
+
 def rules_file(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """The rules text of each cluster: the retired old one and a new block of ``access_rules``.
 

@@ -73,6 +73,21 @@ def route(lines: DataFrame, routes: DataFrame) -> DataFrame:
     return spread_join(lines, routes.select("program", "destination").distinct(), ["program"])
 
 
+def route_history(lines: DataFrame, routes: DataFrame, longest: str | None = None) -> DataFrame:
+    """Lines with the destination that their program had at their time.
+
+    ``lines(program, ts, ...)``; ``routes(program, destination, valid_from, valid_to)`` hold from
+    ``valid_from`` up to but not at ``valid_to``. A line outside all routes is left out, one
+    within several goes to each. No route holds for longer than ``longest``, if given: what
+    is later of it doesn't count. Works on two watermarked streams, whose state that bounds.
+    """
+    named = routes.select(F.col("program").alias("_program"), "destination", "valid_from", "valid_to")
+    holds = (F.col("program") == F.col("_program")) & (F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("valid_to"))
+    if longest:
+        holds = holds & (F.col("ts") < F.col("valid_from") + F.expr(f"INTERVAL {longest}"))
+    return lines.join(named, holds).select(*lines.columns, "destination", "valid_from")
+
+
 def program_of(unit: Column) -> Column:
     return F.translate(unit, "/", "_")
 

@@ -354,6 +354,12 @@ FROM {events}""",
     "routes": """
 SELECT DISTINCT concat('unit_', s_suppkey % 7) AS program, concat('10.3.', s_nationkey % 3, '.1') AS destination
 FROM {supplier}""",
+    "route_changes": """
+SELECT concat('unit_', user_id % 5) AS program, concat('10.4.', event_id % 3, '.1') AS destination, ts AS valid_from,
+  coalesce(lead(ts) OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id), ts + INTERVAL '2' DAY) AS valid_to
+FROM {events} WHERE event_type = 'signup'""",
+    "timed_logs": """
+SELECT event_id, concat('unit_', user_id % 5) AS program, ts, event_type AS line FROM {events}""",
     "status_events": """
 SELECT event_id, concat('h', user_id) AS unit, ts,
   CASE event_type WHEN 'click' THEN 'active' WHEN 'view' THEN 'waiting' WHEN 'error' THEN 'blocked'

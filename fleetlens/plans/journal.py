@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fleetlens.operators import events
 from fleetlens.plans.adapters import Tables
 from fleetlens.plans.registry import query
+from fleetlens.session import work_folder
 from fleetlens.streaming.jobs import change_stream
+from fleetlens.streaming.jobs import route_history_stream as route_history_stream_job
 from fleetlens.streaming.jobs import route_stream as route_stream_job
 from fleetlens.streaming.run import drain, read_folder
 
@@ -50,6 +52,28 @@ def route_stream(t: Tables) -> DataFrame:
     )
 
 
+_ROUTED_THEN = """SELECT l.event_id, l.program, l.ts, l.line, r.destination, r.valid_from FROM timed_logs l
+    JOIN route_changes r ON r.program = l.program AND l.ts >= r.valid_from AND l.ts < r.valid_to AND l.ts < r.valid_from + INTERVAL '30' DAY"""
+
+
+@query("timed_logs", "route_changes", sql=_ROUTED_THEN)
+def route_history(t: Tables) -> DataFrame:
+    """Where each line went by the routes of its time."""
+    return events.route_history(t["timed_logs"], t["route_changes"], "30 days")
+
+
+@query("timed_logs", "route_changes", sql=_ROUTED_THEN)
+def route_history_stream(t: Tables) -> DataFrame:
+    """The same from two streams, of lines and of routes."""
+    folder = work_folder(t.spark, "route-changes")
+    t["route_changes"].write.parquet(folder)
+    routes = t.spark.readStream.schema(t["route_changes"].schema).parquet(folder)
+    lines = t.adapt("timed_logs", events=read_folder(t.spark, t.path("events")))
+    found = route_history_stream_job(lines, routes)
+    out = t.spark.read.schema(found.schema).parquet(drain(found, "routed-then"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "valid_from")})
+
+
 @query(
     "logs",
     sql="""

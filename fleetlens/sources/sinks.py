@@ -35,6 +35,16 @@ def write_catalogue(catalogue: DataFrame, path: str) -> None:
     catalogue.withColumn("name", F.lower("name")).write.json(path)
 
 
+def write_rules(lines: DataFrame, path: str) -> None:
+    """Lines ``(cluster, line_no, line)`` as a folder of text files for each cluster.
+
+    Files of a cluster, in the order of their names, are its lines in order; there is one
+    unless the cluster has more lines than a partition.
+    """
+    dealt = lines.repartitionByRange("cluster", "line_no").sortWithinPartitions("cluster", "line_no")
+    dealt.select("cluster", "line").write.partitionBy("cluster").text(path)
+
+
 def write_backup_list(backups: DataFrame, path: str) -> None:
     """Backup listing with tabs and a header."""
     backups.write.csv(path, sep="\t", header=True)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 from fleetlens.fixed import GAUGE_PREFIX
-from fleetlens.operators.events import route
+from fleetlens.operators.events import route, route_history
 from fleetlens.operators.metrics import gauge_lines, sample
 from fleetlens.operators.sessions import last_states
 
@@ -57,6 +57,18 @@ def route_stream(lines: DataFrame, routes: DataFrame) -> DataFrame:
     return route(lines, routes)
 
 
+def route_history_stream(lines: DataFrame, routes: DataFrame, longest: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """``route_history`` of a stream of lines and a stream of routes, as each comes in, in any order.
+
+    Lines and routes may be ``delay`` behind the newest of their kind. A route is kept until
+    no line within ``longest`` of its start can come, a line until no route that holds at its
+    time can, so the state doesn't grow with the streams' age.
+    """
+    timed = lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    known = routes.withColumns({c: F.col(c).cast("timestamp") for c in ("valid_from", "valid_to")})
+    return route_history(timed, known.withWatermark("valid_from", delay), longest)
+
+
 class _LastValue(StatefulProcessor):
     """Keeps each key's last value in the engine's state, and says where a row differs from it."""
 

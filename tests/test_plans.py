@@ -12,6 +12,7 @@ WRITTEN_FIRST = {
     "idle_stream",
     "route_stream",
     "changes_stream",
+    "route_history_stream",
     "export_sizes",
     "backup_list",
     "backup_pairs",

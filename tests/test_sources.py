@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from fleetlens.operators import freshness
+from fleetlens.functions.ordered import numbered
+from fleetlens.operators import access, freshness
 
 from fleetlens.session import work_folder
 from fleetlens.sources import files, gauge_files, inventory, servers, sinks, snapshots
@@ -216,3 +217,27 @@ def test_gauge_triggers_of_a_stream(spark, tmp_path):
         gauge_files.write_gauge_triggers(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", "p", availableNow=True).awaitTermination()
     got = [x for f in (tmp_path / "out").glob("trigger=*/*.txt") for x in f.read_text().split()]
     assert sorted(got) == sorted(f"p.m{i}:{i}|g" for i in range(50))
+
+
+def test_rules_are_written_in_order(spark, frame, tmp_path):
+    rows = [(f"c{i % 3}", i % 7, f"rule {i}") for i in range(300)] + [("c0", 1, "rule 0")]
+    rules = frame(rows, "cluster string, section int, rule string").selectExpr("*", "0L AS relid", "0L AS number", "0L AS pos", "0 AS item")
+    lines = access.rules_lines(rules.repartition(5))
+    sinks.write_rules(lines, f"{tmp_path}/out")
+    for c in ("c0", "c1", "c2"):
+        own = sorted((s, r) for k, s, r in rows if k == c)
+        want = ["### BEGIN JUJU SETTINGS ###", *(r for _, r in own), "### END JUJU SETTINGS ###"]
+        found = [x for f in sorted((tmp_path / "out" / f"cluster={c}").glob("*.txt")) for x in f.read_text().splitlines()]
+        assert found == want
+        assert [r.line_no for r in lines.where(f"cluster = '{c}'").orderBy("line_no").collect()] == list(range(1, len(want) + 1))
+
+
+def test_numbers_of_any_rows(spark, frame):
+    rows = [(k, v) for k in (None, "a", "b") for v in (3, 1, None, 1, 2)] + [("busy", i) for i in range(500)]
+    got = numbered(frame(rows, "k string, v int").repartition(6), ["k"], ["v"], "n").collect()
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r.k, []).append((r.n, r.v))
+    for k, found in by_key.items():
+        own = sorted((v for x, v in rows if x == k), key=lambda v: (v is not None, v or 0))
+        assert sorted(found, key=lambda p: p[0]) == list(enumerate(own, 1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import events, metrics, replication, sessions
 from fleetlens.plans.adapters import Tables
 from fleetlens.session import work_folder
-from fleetlens.streaming.jobs import change_stream, idle_stream, route_stream, sample_stream, settled_stream, write_gauge_stream
+from fleetlens.streaming.jobs import change_stream, idle_stream, route_history_stream, route_stream, sample_stream, settled_stream, write_gauge_stream
 from fleetlens.streaming.run import drain, read_folder
 
 
@@ -127,6 +127,23 @@ def test_routes(spark, tables, split_events):
     assert text(got) == text(events.route(tables["logs"], tables["routes"]))
 
 
+def test_routes_that_change(spark, frame):
+    """Late routes, late lines and a gap between routes, over three triggers of each stream."""
+    at = lambda m: datetime(2024, 1, 1, 10 + m // 60, m % 60)
+    lines = [[(1, "p", at(5)), (2, "q", at(6))], [(3, "p", at(40)), (4, "p", at(61))], [(5, "p", at(20)), (6, "q", at(90)), (7, "x", at(90))]]
+    routes = [[("p", "A", at(0), at(30))], [("q", "B", at(0), at(80)), ("p", "C", at(35), at(60))], [("q", "D", at(85), at(200)), ("q", "E", at(85), at(86))]]
+    line_type, route_type = "event_id int, program string, ts timestamp_ntz", "program string, destination string, valid_from timestamp_ntz, valid_to timestamp_ntz"
+    base, folders = work_folder(spark, "routed"), [work_folder(spark, "lines"), work_folder(spark, "routes")]
+    for some in zip(lines, routes, strict=True):
+        for part, kind, folder in zip(some, (line_type, route_type), folders, strict=True):
+            frame(part, kind).coalesce(1).write.mode("append").parquet(folder)
+        streams = [spark.readStream.schema(k).parquet(f) for k, f in zip((line_type, route_type), folders, strict=True)]
+        out = drain(route_history_stream(*streams, "2 hours"), "", base=base)
+    got = spark.read.parquet(out).select("event_id", "destination")
+    want = events.route_history(frame(sum(lines, []), line_type), frame(sum(routes, []), route_type)).select("event_id", "destination")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "A"), (2, "B"), (3, "C"), (5, "A"), (6, "D")]
+
+
 def test_gauge_lines_as_files(spark, tables, split_events, tmp_path):
     stream = tables.adapt("gauges", events=read_folder(spark, split_events, max_files=1))
     out = str(tmp_path / "lines")

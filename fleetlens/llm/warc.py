@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
+from typing import BinaryIO
 from urllib.parse import unquote_plus, urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import written
+from fleetlens.llm.common import ways, written
 from fleetlens.session import work_folder
 
 LEAST_BYTES = 1000  # smaller payloads are always stored
@@ -26,8 +31,12 @@ LINE = "\r\n"
 RECORD_END = "\r\n\r\n"
 
 
+NAMED, NAMELESS = "<urn:x-page:", "<urn:x-nopage:>"
+
+
 def _name(id_: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(F.url_encode(id_.cast("string")), F.lit("")), F.lit(">"))
+    named = F.concat(F.lit(NAMED), F.url_encode(id_.cast("string")), F.lit(">"))
+    return F.coalesce(named, F.lit(NAMELESS))
 
 
 def _header(*fields: tuple[str, Column]) -> Column:
@@ -45,10 +54,11 @@ def write_archives(
     Of pages with equal payloads of ``LEAST_BYTES`` or more, the one with the largest id is a
     response with the payload, and the others are revisit records that refer to it.
     The payload is the page in UTF-8; a null page is empty. A page without URL gets one
-    made of its id. Where a page is repeated under the largest id, each row is a response.
+    made of its id, one without a time of capture a time made of a hash of its id. Where a
+    page is repeated under the largest id, each row is a response.
     """
-    if captured is None:
-        captured = F.timestamp_seconds(F.pmod(F.xxhash64(id_col), F.lit(YEAR)) + FIRST_CAPTURE)
+    spread = F.timestamp_seconds(F.pmod(F.xxhash64(id_col), F.lit(YEAR)) + FIRST_CAPTURE)
+    captured = spread if captured is None else F.coalesce(captured.cast("timestamp"), spread)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("id"),
@@ -90,24 +100,20 @@ def write_archives(
 
 
 class Unzipped:
-    """Bytes of a gzip file, a piece at a time; at most one record is held."""
+    """Bytes of a gzip stream, read and inflated a piece at a time; at most one record is held."""
 
-    def __init__(self, raw: bytes):
-        self.raw, self.at, self.held, self.offset = memoryview(raw), 0, bytearray(), 0
+    def __init__(self, source: BinaryIO):
+        self.source, self.held, self.offset = source, bytearray(), 0
         self.inflate = zlib.decompressobj(31)
 
     def _more(self) -> bool:
+        raw = self.inflate.unused_data if self.inflate.eof else b""
+        raw = raw or self.source.read(1 << 16)
+        if not raw:
+            return False
         if self.inflate.eof:
-            rest = self.inflate.unused_data
-            if not rest and self.at >= len(self.raw):
-                return False
             self.inflate = zlib.decompressobj(31)  # the next member
-            self.held += self.inflate.decompress(rest)
-            return True
-        if self.at >= len(self.raw):
-            return False
-        self.held += self.inflate.decompress(self.raw[self.at : self.at + (1 << 16)])
-        self.at += 1 << 16
+        self.held += self.inflate.decompress(raw)
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -130,9 +136,9 @@ class Unzipped:
         return out
 
 
-def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def records(archive: bytes | BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, header fields (names in lower case) and block of each record of an archive."""
-    source = Unzipped(raw)
+    source = Unzipped(io.BytesIO(archive) if isinstance(archive, bytes) else archive)
     end = RECORD_END.encode()
     while True:
         offset = source.offset
@@ -172,7 +178,7 @@ TYPES = [pa.int64() if c.endswith(" long") else pa.string() for c in ENTRY.split
 
 
 def _id_in(name: str | None) -> str | None:
-    return unquote_plus(name.removeprefix("<urn:x-page:").removesuffix(">")) or None if name else None
+    return unquote_plus(name.removeprefix(NAMED).removesuffix(">")) if name and name.startswith(NAMED) else None
 
 
 def _entry(file: str, offset: int, fields: dict[str, str], block: bytes) -> tuple:
@@ -202,27 +208,37 @@ def _batch(entries: list[tuple]) -> pa.RecordBatch:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Index entries of all records below ``path``: each archive is one run, sorted by
-    URL key, time and id. Payloads are checked against their digests."""
+    URL key, time and id. Payloads are checked against their digests.
+
+    An archive is read as a stream, so a task holds one record of it and its entries,
+    whatever its size.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                name = file.as_py()
-                found = [_entry(name, *parts) for parts in records(content.as_buffer().to_pybytes())]
-                yield _batch(sorted(found, key=_order))
+            for name in batch.column("path").to_pylist():
+                store, place = _opened(name)
+                with store.open_input_stream(place, compression=None) as archive:
+                    yield _batch(sorted((_entry(name, *parts) for parts in records(archive)), key=_order))
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(ways(spark), "path").mapInArrow(run, ENTRY)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, ENTRY)
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)
+    return fs.FileSystem.from_uri(path)
 
 
 class LoserTree:
-    """Merges sorted lists: each inner node holds the list that lost there, so that taking
+    """Merges sorted runs: each inner node holds the run that lost there, so that taking
     the next entry replays only the path from one leaf to the root."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs = [r for r in runs if r]
+    def __init__(self, runs: list[Sequence], key: Callable = _order):
+        self.runs, self.key = [r for r in runs if r], key
         self.at = [0] * len(self.runs)
-        self.keys: list[tuple | None] = [_order(r[0]) for r in self.runs]
+        self.keys: list[tuple | None] = [key(r[0]) for r in self.runs]
         self.losers = [-1] * max(1, len(self.runs))
         for i in range(len(self.runs) - 1, -1, -1):
             self._replay(i)
@@ -248,7 +264,7 @@ class LoserTree:
             run = self.runs[best]
             yield run[self.at[best]]
             self.at[best] += 1
-            self.keys[best] = _order(run[self.at[best]]) if self.at[best] < len(run) else None
+            self.keys[best] = self.key(run[self.at[best]]) if self.at[best] < len(run) else None
             self._replay(best)
 
 
@@ -257,27 +273,29 @@ def merged_index(runs: DataFrame) -> DataFrame:
 
     Runs are cut at the same places, which Spark takes from a sample of all keys; each
     task merges its piece of every run. Entries of one URL or one host may be in many
-    tasks, since times and ids also decide where they go.
+    tasks, since times and ids also decide where they go. As the exchange mixes the runs,
+    Spark puts each piece in order again, spilling if need be; the tree then merges the
+    pieces where they lie, in Arrow columns.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pieces.setdefault(entry[3], []).append(entry)
-        for piece in pieces.values():
-            if any(_order(a) > _order(b) for a, b in zip(piece, piece[1:], strict=False)):
-                piece.sort(key=_order)  # a run whose rows came in another order
-        block = []
-        for entry in LoserTree(list(pieces.values())):
-            block.append(entry)
-            if len(block) == 10_000:
-                yield _batch(block)
-                block = []
-        yield _batch(block)
-
-    order = ["url_key", "captured", F.coalesce("id", F.lit("")), "file", "offset"]
-    return runs.repartitionByRange(*order).mapInArrow(run, ENTRY)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        key, captured, ids, files, offsets = (table[c].combine_chunks() for c in ("url_key", "captured", "id", "run", "offset"))
+        lengths = pc.run_end_encode(files).run_ends.to_pylist()
+        pieces = [range(a, b) for a, b in zip([0, *lengths], lengths, strict=False)]
+
+        def order_of(i: int) -> tuple:
+            return key[i].as_py(), captured[i].as_py(), ids[i].as_py() or "", files[i].as_py(), offsets[i].as_py()
+
+        merged = iter(LoserTree(pieces, order_of))
+        while block := list(islice(merged, 10_000)):
+            yield from table.take(pa.array(block)).combine_chunks().to_batches()
+
+    order = ["url_key", "captured", F.coalesce("id", F.lit("")), "run", "offset"]
+    return runs.repartitionByRange(*order).sortWithinPartitions("run", *order).mapInArrow(run, ENTRY)
 
 
 def archived(

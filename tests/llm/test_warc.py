@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import random
 
 import pytest
@@ -78,3 +79,23 @@ def test_no_pages(spark):
     assert warc.archived(spark.createDataFrame([], SCHEMA)).count() == 0
     got = warc.archived(spark.createDataFrame([("a/b c", None, None), (None, "http://h/", "x")], "page_id string, url string, html string"))
     assert {(r.page_id, r.payload_bytes) for r in got.collect()} == {("a/b c", 0), (None, 1)}
+
+
+def test_pages_without_time_or_name(spark):
+    """A null time, ids that are null or empty, and the same page twice."""
+    rows = [("", "http://h/1", "a", None), (None, "http://h/2", "b", "2024-01-02 03:04:05"), ("x", None, None, None), ("x", None, None, None), ("%3E é", "http://h/3", "c" * 1000, None)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, at string").selectExpr("*", "cast(at AS timestamp) AS captured")
+    got = warc.archived(df, captured=df["captured"]).collect()
+    assert sorted(((r.page_id, r.payload_bytes) for r in got), key=str) == sorted([("", 1), (None, 1), ("x", 0), ("x", 0), ("%3E é", 1000)], key=str)
+    assert all(r.captured for r in got) and "2024-01-02T03:04:05Z" in {r.captured for r in got}
+
+
+def test_members_and_small_reads():
+    whole = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+
+    class Slow(io.BytesIO):
+        def read(self, n):
+            return super().read(min(n, 5))
+
+    archive = b"".join(gzip.compress(whole * n) for n in (1, 3, 2))
+    assert [o for o, _, _ in warc.records(Slow(archive))] == [i * len(whole) for i in range(6)]

@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetlens.llm.common import Texts, map_texts, record, slim
-from fleetlens.llm.splitter import piece_starts, valid
+from fleetlens.llm.common import BATCH_BYTES, Texts, map_texts, record, slim
+from fleetlens.llm.splitter import piece_starts, slices, valid
 
 CACHE_ENTRIES = 1 << 19  # pre-tokens whose ids a worker remembers; then it starts over
 CACHED_BYTES = 64  # longer pre-tokens are encoded each time
@@ -181,7 +181,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def work(texts: Texts) -> pa.RecordBatch:
-        ids, starts = encoder(path).encode(texts)
+        parts = [encoder(path).encode(part) for part in slices(texts)]
+        ids = np.concatenate([ids for ids, _ in parts])
+        starts = parts[0][1] if len(parts) == 1 else np.array([0, len(ids)])
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
         return record(id=texts.ids, ids=lists)
 
@@ -216,7 +218,19 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         raw = memoryview(np.ascontiguousarray(values).view(np.uint8))
         return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)], pa.string())
 
+    def long(texts: Texts) -> pa.RecordBatch:
+        known, n = encoder(path), 0
+        coded, decoded = hashlib.sha256(), hashlib.sha256()
+        for part in slices(texts):
+            ids, _ = known.encode(part)
+            n += len(ids)
+            coded.update(np.ascontiguousarray(ids).tobytes())
+            decoded.update(known.vocabulary.decode(ids)[0].tobytes())
+        return record(id=texts.ids, n_tokens=[n], ids_sha256=[coded.hexdigest()], decoded_sha256=[decoded.hexdigest()])
+
     def work(texts: Texts) -> pa.RecordBatch:
+        if len(texts) == 1 and len(texts.data) > BATCH_BYTES:
+            return long(texts)
         known = encoder(path)
         ids, starts = known.encode(texts)
         back, ends = known.vocabulary.decode(ids)

@@ -103,6 +103,22 @@ def small_batches(
             at = end
 
 
+def blank_slices(data: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[bytes]:
+    """A text in parts that end with a blank; where there is none for long, a part is longer."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + limit)
+        while end < len(data):
+            part = data[at:end]
+            blanks = np.flatnonzero((part == 0x20) | ((part >= 0x09) & (part <= 0x0D)))
+            if len(blanks):
+                end = at + int(blanks[-1]) + 1
+                break
+            end = min(len(data), end + limit)
+        yield data[at:end].tobytes()
+        at = end
+
+
 def map_texts(
     frame: DataFrame, schema: str, work: Callable[[Texts], pa.RecordBatch], limit: int = BATCH_BYTES
 ) -> DataFrame:

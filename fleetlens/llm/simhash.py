@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import Texts, map_texts, record, slim, written
+from fleetlens.llm.common import BATCH_BYTES, Texts, blank_slices, map_texts, record, slim, written
 from fleetlens.llm.components import components
 
 SEED = 42
@@ -21,7 +21,10 @@ PAIRED = 64
 
 def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
     """XXH64 of each run of ``width`` words; of all words if they are fewer."""
-    words = text.lower().split()  # bytes: only A-Z, and only ASCII blanks
+    return _hashes_of(text.lower().split(), width)  # bytes: only A-Z, and only ASCII blanks
+
+
+def _hashes_of(words: list[bytes], width: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     line = b" ".join(words)
@@ -38,11 +41,30 @@ def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def _majority(hashes: np.ndarray) -> int:
     """A bit is 1 where over half the hashes have it."""
+    return _most(_bit_counts(hashes), len(hashes))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), SHINGLE_BLOCK):
         block = hashes[at : at + SHINGLE_BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return counts
+
+
+def _most(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def _of_slices(data: np.ndarray, width: int, limit: int = BATCH_BYTES) -> int:
+    """The fingerprint of one long text, of which only a slice's words are held at a time."""
+    counts, n, held = np.zeros(64, np.int64), 0, []
+    for part in blank_slices(data, limit):
+        held += part.lower().split()
+        if len(held) >= width:
+            hashes = _hashes_of(held, width)
+            counts, n, held = counts + _bit_counts(hashes), n + len(hashes), held[len(held) - width + 1 :]
+    return _most(counts, n) if n else _majority(_hashes_of(held, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -52,6 +74,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def work(texts: Texts) -> pa.RecordBatch:
+        if len(texts) == 1 and len(texts.data) > BATCH_BYTES:
+            return record(id=texts.ids, fp=np.array([_of_slices(texts.data, width)], np.uint64).astype(np.int64))
         made = np.fromiter((_majority(_shingle_hashes(t, width)) for t in texts.each()), np.uint64, len(texts))
         return record(id=texts.ids, fp=made.astype(np.int64))
 

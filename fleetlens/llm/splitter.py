@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -11,6 +12,7 @@ import regex
 from fleetlens.llm.common import Texts
 
 CHUNK = 256  # symbols of a chunk
+SLICE_BYTES = 2 << 20  # of a longer text, handled at once
 
 # Classes of symbols: what the pattern's alternatives tell apart.
 SPACE, BLANK, MARK, SHORT, RV, E, L, LETTER, NUMBER, OTHER, END = range(11)
@@ -75,6 +77,33 @@ def _classes() -> np.ndarray:
     return table
 
 
+def slices(texts: Texts, limit: int = SLICE_BYTES) -> Iterator[Texts]:
+    """``texts``, or one long text in parts with whole pieces in each.
+
+    A part ends before a space with a letter after it and a visible ASCII character before
+    it: no piece goes on there, as no alternative of the pattern takes blanks after others.
+    A text that has no such place for long is not cut there.
+    """
+    data = texts.data
+    if len(texts) != 1 or len(data) <= limit:
+        yield texts
+        return
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + limit)
+        while end < len(data):
+            part = data[at:end]
+            before, letter = part[:-2], part[2:] | 0x20
+            good = (part[1:-1] == 0x20) & (before > 0x20) & (before < 0x7F) & (letter >= 0x61) & (letter <= 0x7A)
+            places = np.flatnonzero(good)
+            if len(places):
+                end = at + int(places[-1]) + 1
+                break
+            end = min(len(data), end + limit)
+        yield Texts(texts.ids, data[at:end], np.array([0, end - at], np.int64), texts.rows)
+        at = end
+
+
 def valid(texts: Texts) -> tuple[np.ndarray, np.ndarray, str]:
     """Bytes, starts and the whole as text; what isn't UTF-8 becomes U+FFFD."""
     try:

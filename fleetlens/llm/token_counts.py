@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fleetlens.llm.common import Texts, map_texts, record, slim
-from fleetlens.llm.splitter import piece_starts, valid
+from fleetlens.llm.splitter import piece_starts, slices, valid
 
 CHUNK = 512  # bytes of a chunk
 MOST_STATES = 1 << 18  # states a worker holds; then it forgets them and starts over
@@ -249,7 +249,8 @@ def token_counts(
 
     def work(texts: Texts) -> pa.RecordBatch:
         made = transducer(path)
-        counts = made.count_around_added(texts) if added_tokens else made.count(texts)
+        count = made.count_around_added if added_tokens else made.count
+        counts = sum(count(part) for part in slices(texts))
         return record(id=texts.ids, n_bytes=np.diff(texts.starts), n_tokens=counts, over_limit=counts > limit)
 
     frame = slim(docs, id_col, text_col)

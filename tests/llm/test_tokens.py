@@ -12,8 +12,9 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from fleetlens.llm import bpe, catalog, splitter, token_counts
+from fleetlens.llm import bpe, catalog, simhash, splitter, token_counts
 from fleetlens.llm.common import small_batches
+from fleetlens.llm.splitter import piece_starts, slices, valid
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -122,3 +123,34 @@ def test_added_tokens_are_one_token_by_default_of_the_library(spark, tmp_path):
         text = rows[r.doc_id][1] or ""
         n = len(known.encode(text, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 512), text
+
+
+@pytest.mark.parametrize("size", [3, 40, 300])
+def test_slices_keep_pieces_whole(size):
+    draw = random.Random(size)
+    for _ in range(30):
+        text = "".join(draw.choices(["a", "Bc", " ", "  ", "\u00a0", "\u3000", "é", "9", "'s", "!", "\n", "漢", " x"], k=120))
+        whole = batch([text])[0]
+        parts = list(slices(whole, size))
+        assert b"".join(p.data.tobytes() for p in parts).decode() == text
+        found, at = [], 0
+        for part in parts:
+            found += (at + piece_starts(*valid(part))).tolist()
+            at += len(part.data)
+        assert found == piece_starts(*valid(whole)).tolist()
+    assert len(list(slices(batch(["some words " * 300])[0], 100))) > 20 and len(list(slices(batch(["x" * 300])[0], 100))) == 1
+
+
+def test_long_texts_in_slices(monkeypatch):
+    """Counts, ids and fingerprints of one text are those of its slices together."""
+    draw = random.Random(4)
+    text = " ".join("".join(draw.choices("abcdeé '9", k=draw.randint(1, 9))) for _ in range(4000))
+    one = batch([text])[0]
+    made = token_counts.CountingTransducer(JSON)
+    assert sum(made.count(p) for p in slices(one, 500)).tolist() == made.count(one).tolist()
+    known = bpe.encoder(RANKS)
+    assert np.concatenate([known.encode(p)[0] for p in slices(one, 500)]).tolist() == known.encode(one)[0].tolist()
+    for width in (1, 3, 5):
+        assert simhash._of_slices(one.data, width, 64) == simhash._majority(simhash._shingle_hashes(text.encode(), width))
+    assert simhash._of_slices(np.frombuffer(b"a b", np.uint8), 3, 1) == simhash._majority(simhash._shingle_hashes(b"a b", 3))
+    assert simhash._of_slices(np.frombuffer(b" \n ", np.uint8), 3, 1) == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,8 @@ FILE_BYTES = 256 << 20  # a task begins another file beyond that
 SPLIT_BYTES = 8 << 20  # what one task reads back at least
 READ_BYTES = 2 << 20  # record bytes handled at once; one longer record is handled by itself
 SLICE_BYTES = 1 << 20  # text bytes split into words at once
-CACHE_ENTRIES = 1 << 19  # words whose ids a worker remembers; then it starts over
+CACHE_ENTRIES = 1 << 17  # runs whose ids a worker remembers, and as many that it met before these
+OTHER_ENTRIES = 1 << 13  # and words that are encoded whole
 CACHED_BYTES = 64  # longer words are encoded each time
 
 # A record is its length (8 bytes), the length's masked checksum (4), that many bytes, and their
@@ -36,14 +38,51 @@ ENTRY = np.dtype([("offset", "<u8"), ("size", "<u8"), ("first", "<u8"), ("n", "<
 
 _BLANKS = [bytes([b]) for b in (0x20, *range(0x09, 0x0E))]
 
+# Text of these alone (ASCII but for controls, composed Latin letters, usual marks) stays as it is when
+# it is normalized, but for capitals, and falls into the runs that the vocabulary's pattern finds:
+# endings after an apostrophe, letters, single digits, and what is neither nor blank.
+_PLAIN = re.compile("[\t-\r -~¡-©«¬®-±´¶-¸»¿-įı-ſ‐-‧€]*")
+_PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\t-\r 0-9a-zÀ-ÖØ-öø-ſ]+")
+
+
+def _is_plain(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
+class _Parts(dict):
+    """Packed ids of each run of plain text, from the library's model; the latest ones are kept."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.older = model, {}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.letters = {b: letters[b] for b in range(256)}  # how byte-level vocabularies write bytes
+
+    def __missing__(self, part: str) -> bytes:
+        packed = self.older.pop(part, None)
+        if packed is None:
+            written = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = self.model.tokenize(written)
+            packed = array("I", [token.id for token in found]).tobytes()
+            if len(part) > CACHED_BYTES:
+                return packed
+        if len(self) >= CACHE_ENTRIES:  # what isn't met again goes the next time
+            self.older = dict(self)
+            self.clear()
+        self[part] = packed
+        return packed
+
 
 class Words(dict):
     """Packed ids of each word by its bytes, from the tokenizers library.
 
     The vocabulary's rules never look across white space: its pattern skips it, no added
     token has any or asks for what is around it, and nothing composes with it. So a
-    text's ids are those of its words one after the other, and a word that was seen
-    before isn't encoded again.
+    text's ids are those of its words one after the other. Plain text goes to the library's
+    model run by run, and a run that was seen before isn't encoded again; other words go
+    through all of the library's steps.
     """
 
     def __init__(self, path: str):
@@ -51,17 +90,24 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.parts = _Parts(self.tokenizer.model)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = array("I", ids).tobytes()
+        text = word.decode("utf-8", "replace")
+        if _is_plain(text):
+            return self.plain(text)
+        packed = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= OTHER_ENTRIES:
                 self.clear()
             self[word] = packed
         return packed
 
+    def plain(self, text: str) -> bytes:
+        parts = self.parts
+        return b"".join([parts[part] for part in _PARTS.findall(text.lower())])
+
     def encode(self, text: np.ndarray) -> np.ndarray:
         """Ids of a whole text in UTF-8; a long one is split between words as it is read."""
         parts, at, want = [], 0, SLICE_BYTES
@@ -73,7 +119,8 @@ class Words(dict):
                     want *= 2  # no word ends here yet
                     continue
                 raw = raw[: cut + 1]
-            parts.append(b"".join([self[word] for word in raw.split()]))
+            whole = raw.decode("utf-8", "replace")
+            parts.append(self.plain(whole) if _is_plain(whole) else b"".join([self[word] for word in raw.split()]))
             at, want = at + len(raw), SLICE_BYTES
         return np.frombuffer(b"".join(parts), "<u4")
 
@@ -198,6 +245,7 @@ def write_records(
             names = texts.ids.to_pylist()
             files.add(framed([serialized(d, x, known.width) for d, x in zip(names, ids, strict=True)]), [len(x) for x in ids])
         files.close()
+        pa.default_memory_pool().release_unused()  # the worker lives on
         if files.done:
             file, records, n, size = zip(*files.done, strict=True)
             yield record(path=pa.array([path] * len(file)), file=pa.array(file), records=records, ids=n, bytes=size)
@@ -277,8 +325,9 @@ def read_records(files: DataFrame, id_type: str = "string", id_col: str = "doc_i
                 entries = _index(store, base, row["file"])[row["begin"] : row["end"]]
                 yield from _sequences(store, base, row["file"], row["start"], entries)
 
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = placed(files).mapInArrow(ranges, "path string, file string, start long, begin long, end long")
-    rows = split.repartition("file", "begin").mapInArrow(run, "id string, start long, ids binary")
+    rows = split.repartition(parts, "file", "begin").mapInArrow(run, "id string, start long, ids binary")
     return rows.select(F.col("id").cast(id_type).alias(id_col), "start", "ids")
 
 

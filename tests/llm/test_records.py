@@ -74,6 +74,8 @@ def test_words_are_the_librarys(library):
     known = Words(PATH)
     draw = random.Random(5)
     texts = TEXTS + ["".join(draw.choices("aé'sT漢 ́<|endoftext|>\n9", k=200)) for _ in range(200)]
+    texts += ["".join(draw.choices("abcXYZ019.,;-_|>\"#~éÀÞßøıſŉĿİ×÷ĳ  ", k=300)) for _ in range(200)]
+    texts += [" ".join(chr(c) + "A" + chr(c) for c in range(0x21, 0x180))]
     for text in texts:
         assert known.encode(np.frombuffer(text.encode(), np.uint8)).tolist() == library.encode(text, add_special_tokens=False).ids
 

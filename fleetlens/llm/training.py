@@ -1,13 +1,18 @@
-"""What both text classifiers share: a bounded labelled sample, Adam, and prior correction."""
+"""What the text classifiers share: labelled texts, all or a bounded sample, Adam, and prior correction."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+from fleetlens.llm.bloom import split_by_filter
+
 
 @dataclass
 class Sample:
@@ -17,6 +22,21 @@ class Sample:
     log_odds: float  # of label 1 among all labelled rows that may be learned from
 
 
+def usable_labels(labels: DataFrame, label: str, held_out: Column, id_col: str, kind: DataType) -> DataFrame:
+    """``(id, label)`` of the rows that may be learned from: with an id, not held out, and of either class."""
+    return labels.where(~F.coalesce(held_out, F.lit(True))).where(F.col(label).isin(0, 1)).select(
+        F.col(id_col).cast(kind).alias("id"), F.col(label).cast("int").alias("label")
+    ).where("id IS NOT NULL")
+
+
+def labelled_texts(texts: DataFrame, usable: DataFrame, slimmed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every row of ``slimmed(texts)`` that has a label, with it; ``usable`` is a written table.
+
+    A filter of ids leaves out most others before texts are slimmed, and so before they are shuffled.
+    """
+    return slimmed(split_by_filter(texts, usable, "id")[0]).join(usable, "id")
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, held_out: Column, id_col: str, text_col: str,
     lang_col: str | None, per_class: int,

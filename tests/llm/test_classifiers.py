@@ -222,3 +222,51 @@ def test_rows_without_id_are_not_held_out(spark, module):
     labels = spark.createDataFrame([(None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     got = module.judged(docs, labels, part_of("doc_id", 4) == 2, 0.7).collect()
     assert len(got) == 3 and all(isinstance(r.held_out, bool) for r in got) and not any(r.held_out for r in got if r.doc_id is None)
+
+
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    """All rows count, whatever their number, and each is learned from once a round or sets thresholds."""
+    n, seen, taught, start = 12_000, [], [], toxicity.WordNetwork.start
+    monkeypatch.setattr(toxicity.WordNetwork, "start", lambda net, found: seen.append(found) or start(net, found))
+    monkeypatch.setattr(toxicity, "_taught", lambda rows, net, *_: taught.append(rows.count()) or net.flat())
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id % 97, ' t', id % 2) AS text", "'en' AS lang")
+    labels = docs.selectExpr("cast(doc_id AS int) AS doc_id", "cast(doc_id % 2 AS int) AS toxic").where("doc_id % 100 > 0")
+    held = part_of("doc_id", 4) == 2
+    net = toxicity.fitted(docs, labels, held)
+    apart = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), F.lit(toxicity.CALIBRATION)) == 0
+    counts = {(r.toxic, r.apart): r["count"] for r in labels.where(~held).groupBy("toxic", apart.alias("apart")).count().collect()}
+    assert sum(counts.values()) > 2 * 2500 + 3000
+    assert seen[0][:, 0].tolist() == [counts[0, False], counts[1, False]]
+    assert taught == [counts[0, False] + counts[1, False]] * toxicity.ROUNDS
+    assert 0 < net.thresholds["en"] < 1
+
+
+def test_tasks_are_averaged_by_their_rows(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    usable = spark.createDataFrame([(r[0], r[4]) for r in rows], "id long, label int")
+    words = toxicity._labelled_words(docs, usable, "doc_id", "text", "lang").select("label", "words").cache()
+    assert words.count() == len(rows) and toxicity._counted(words)[:, 0].tolist() == [240, 60]
+    net, parts = toxicity.WordNetwork(), words.rdd.glom().filter(len).collect()
+    assert net.start(toxicity._counted(words)) and len(parts) > 1
+    want = 0
+    for part in parts:
+        own = toxicity.WordNetwork()
+        own.load(net.flat())
+        own.learned = net.learned
+        own.learn([([np.frombuffer(r.words, "<u2").reshape(-1, 2) for r in part], np.array([r.label for r in part], np.float32))], 0, 1)
+        want = want + own.flat().astype(np.float64) * len(part) / len(rows)
+    assert toxicity._taught(words, net, 0, 99, 1) == pytest.approx(want, abs=1e-5)
+
+
+def test_pieces_of_long_texts_give_the_same_most(monkeypatch):
+    net = toxicity.WordNetwork()
+    texts = [toxicity.hashed(t) for t in (*odd_texts(), b"a b c d e f g h i", b"x y z")]
+    most, places = net._best(texts)
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(toxicity, "PIECE_WORDS", size)
+        again, there = net._best(texts)
+        assert again == pytest.approx(most, abs=1e-6)
+        assert all((a == b).mean() > 0.99 for a, b in zip(there, places, strict=True))
+    features = np.concatenate([net.pooled(t, np.zeros(1, np.int64), net.tables()) for t in texts])
+    assert np.tanh(most) == pytest.approx(features, abs=1e-5)

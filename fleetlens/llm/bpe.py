@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from fleetlens.llm.common import BATCH_BYTES, Texts, map_texts, record, slim
 from fleetlens.llm.splitter import piece_starts, slices, valid
 
-CACHE_ENTRIES = 1 << 19  # pre-tokens whose ids a worker remembers; then it starts over
+CACHE_ENTRIES = 1 << 17  # pre-tokens whose ids a worker remembers, and as many that it met before these
 CACHED_BYTES = 64  # longer pre-tokens are encoded each time
+LOOKED_UP = 1 << 16  # pre-tokens that are held at once
+QUEUED_BYTES = 1 << 16  # of pre-tokens that are merged in one queue, or one longer pre-token
 
 
 class RankQueue:
@@ -42,6 +44,16 @@ class RankQueue:
         else:
             bucket.append(position)
 
+    def fill(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """``push`` of many at once into an empty queue; positions ascend."""
+        order = np.argsort(ranks, kind="stable")
+        used, first = np.unique(ranks[order], return_index=True)
+        parts = positions[order].tolist()
+        cuts = [*first.tolist(), len(parts)]
+        for rank, a, b in zip(used.tolist(), cuts, cuts[1:], strict=False):
+            self.push(rank, parts[a])
+            self.buckets[rank] += parts[a + 1 : b]
+
     def pop_lowest(self) -> tuple[int, list[int]] | None:
         """The lowest rank and all its positions, which leave the queue."""
         if not self.top:
@@ -69,6 +81,18 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.queue = RankQueue(self.size)
+        # The rank of what two tokens make, at the first's rank times size plus one, plus the second's.
+        # One more number, size, stands for the end of a pre-token: nothing merges with it.
+        self.pairs = {
+            ranks[token[:cut]] * (self.size + 1) + ranks[token[cut:]]: rank
+            for token, rank in ranks.items() for cut in range(1, len(token)) if token[:cut] in ranks and token[cut:] in ranks
+        }
+        singles = np.array([ranks.get(bytes([b]), self.size) for b in range(256)], np.int64)
+        self.of_byte = np.append(singles, self.size)
+        self.first = np.full((257, 257), -1, np.int64)  # ranks of two bytes; 256 is the end
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0], token[1]] = rank
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -79,57 +103,68 @@ class Vocabulary:
             pairs = (line.split() for line in lines if line.strip())
             return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: of all neighbours the pair of lowest rank merges, leftmost first."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        # A linked list of parts: part at i ends where the next one starts.
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token: of all neighbours the pair of lowest rank merges, leftmost first.
+
+        All of them go through one queue. Their merges don't touch each other, so each has its own in
+        the order it would have alone; what has the same rank in several is taken out at once.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes + 1) - 1  # an end after each pre-token
+        n = int(ends[-1]) + 1
+        data = np.full(n, 256, np.int64)
+        inside = np.ones(n, bool)
+        inside[ends] = False
+        data[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        found = np.append(self.first[data[:-1], data[1:]], -1)
+        piece_of = np.repeat(np.arange(len(pieces)), sizes + 1).tolist()
+        # A linked list of parts: token of the part at i, -1 where it is none any more, and its neighbours.
+        tokens, merged = self.of_byte[data].tolist(), found.tolist()  # merged: rank of the pair that starts here, or -1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merged = [-1] * n  # rank of the pair that starts here; -1: none, or not a part any more
-        queue, get = self.queue, ranks.get
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                merged[i] = rank
-                queue.push(rank, i)
-        while (lowest := queue.pop_lowest()) is not None:
-            rank, places = lowest
-            for n_done, i in enumerate(sorted(places) if len(places) > 1 else places):
+        places = np.flatnonzero(found >= 0)
+        self.queue.fill(found[places], places)
+        buckets, push, get, across = self.queue.buckets, self.queue.push, self.pairs.get, self.size + 1
+        while (lowest := self.queue.pop_lowest()) is not None:
+            rank, same = lowest
+            held = None  # pre-tokens where a pair now goes before the rest of this bucket
+            for i in sorted(same) if len(same) > 1 else same:
                 if merged[i] != rank:
                     continue  # stale
+                if held is not None and piece_of[i] in held:
+                    push(rank, i)
+                    continue
                 j = after[i]  # joins the part at i
                 end = after[j]
-                after[i] = end
-                merged[j] = merged[i] = -1
+                tokens[i], tokens[j] = rank, -1
+                after[i], before[end] = end, i
+                merged[j] = -1
                 lower = False
-                if end < n:
-                    before[end] = i
-                    new = get(piece[i : after[end]])
-                    if new is not None:
-                        merged[i] = new
-                        queue.push(new, i)
-                        lower = new <= rank
+                new = get(rank * across + tokens[end], -1)
+                merged[i] = new
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(i)
+                    else:
+                        push(new, i)
+                    lower = new <= rank
                 left = before[i]
                 if left >= 0:
-                    new = get(piece[left:end])
-                    if new is None:
-                        merged[left] = -1
-                    else:
-                        merged[left] = new
-                        queue.push(new, left)
+                    new = get(tokens[left] * across + rank, -1)
+                    merged[left] = new
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            push(new, left)
                         lower = lower or new <= rank
-                if lower:  # a pair that goes before the rest of this bucket
-                    for k in sorted(places)[n_done + 1 :]:
-                        queue.push(rank, k)
-                    break
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
+                if lower:
+                    held = held or set()
+                    held.add(piece_of[i])
+        ids = np.array(tokens, np.int64)
+        kept = inside & (ids >= 0)
+        packed = ids[kept].astype("<u4").tobytes()
+        upto = (4 * np.cumsum(kept)[ends]).tolist()
+        return [packed[a:b] for a, b in zip([0, *upto], upto, strict=False)]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all tokens one after the other, and where each token's bytes end."""
@@ -140,31 +175,64 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Packed ids of each pre-token by its bytes; computes and remembers those it has not seen."""
+    """Packed ids of each pre-token by its bytes, those met last; computes what it has not seen."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: bytes) -> bytes:
-        packed = array("I", self.vocabulary.encode_piece(piece)).tobytes()
-        if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = packed
-        return packed
+        self.vocabulary, self.older = vocabulary, {}
+        self.whole = {token: rank.to_bytes(4, "little") for token, rank in vocabulary.ranks.items()}
+
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of different pre-tokens that are not remembered, and remembers them."""
+        found, rest = {}, []
+        for piece in pieces:
+            known = self.whole.get(piece) or self.older.get(piece)
+            if known is None:
+                rest.append(piece)
+            else:
+                found[piece] = known
+        for some in _grouped(rest):
+            found.update(zip(some, self.vocabulary.encode_pieces(some), strict=True))
+        for piece, packed in found.items():
+            if len(piece) <= CACHED_BYTES:
+                if len(self) >= CACHE_ENTRIES:  # what isn't met again goes the next time
+                    self.older = dict(self)
+                    self.clear()
+                self[piece] = packed
+        return found
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's ids start."""
         data, starts, text = valid(texts)
         cuts = piece_starts(data, starts, text)
-        raw, places = data.tobytes(), [*cuts.tolist(), len(data)]
-        packed = [self[raw[a:b]] for a, b in zip(places, places[1:], strict=False)]
+        raw, places, packed = data.tobytes(), np.append(cuts, len(data)), []
+        for at in range(0, len(cuts), LOOKED_UP):
+            some = places[at : at + LOOKED_UP + 1].tolist()
+            pieces = [raw[a:b] for a, b in zip(some, some[1:], strict=False)]
+            known = list(map(self.get, pieces))
+            missing = [i for i, ids in enumerate(known) if ids is None]
+            found = self.learn(list(dict.fromkeys([pieces[i] for i in missing])))
+            for i in missing:
+                known[i] = found[pieces[i]]
+            packed += known
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         upto = np.concatenate([[0], np.cumsum(sizes)])
         return np.frombuffer(b"".join(packed), "<u4"), upto[np.searchsorted(cuts, starts)]
 
 
+def _grouped(pieces: list[bytes]) -> Iterator[list[bytes]]:
+    """``pieces`` in groups of about ``QUEUED_BYTES``."""
+    some, size = [], 0
+    for piece in pieces:
+        if some and size + len(piece) > QUEUED_BYTES:
+            yield some
+            some, size = [], 0
+        some.append(piece)
+        size += len(piece)
+    if some:
+        yield some
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary file, which every machine has."""

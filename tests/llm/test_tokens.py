@@ -154,3 +154,40 @@ def test_long_texts_in_slices(monkeypatch):
         assert simhash._of_slices(one.data, width, 64) == simhash._majority(simhash._shingle_hashes(text.encode(), width))
     assert simhash._of_slices(np.frombuffer(b"a b", np.uint8), 3, 1) == simhash._majority(simhash._shingle_hashes(b"a b", 3))
     assert simhash._of_slices(np.frombuffer(b" \n ", np.uint8), 3, 1) == 0
+
+
+def merged_one_by_one(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        _, i = min(pairs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_many_pre_tokens_in_one_queue(seed):
+    """Each has the ids it would have alone, also where a merge makes a pair of lower rank."""
+    draw = random.Random(seed)
+    longer = list({bytes(draw.choices(b"abc", k=draw.randint(2, 5))) for _ in range(90)})
+    tokens = [*(bytes([b]) for b in range(256)), *longer]
+    order = list(range(len(tokens)))
+    draw.shuffle(order)
+    ranks = dict(zip(tokens, order, strict=True))
+    known = bpe.Vocabulary(ranks)
+    pieces = [bytes(draw.choices(b"abcd", k=draw.randint(1, 40))) for _ in range(400)]
+    for _ in range(2):
+        got = known.encode_pieces(pieces)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [merged_one_by_one(p, ranks) for p in pieces]
+
+
+def test_what_a_worker_remembers_changes_no_ids(monkeypatch, library):
+    some = batch(texts(11))
+    for name, value in (("CACHE_ENTRIES", 3), ("LOOKED_UP", 5), ("QUEUED_BYTES", 7)):
+        monkeypatch.setattr(bpe, name, value)
+    made = bpe.Encoder(bpe.Vocabulary.read(RANKS))
+    for _ in range(2):
+        ids = np.concatenate([made.encode(part)[0] for part in some]).tolist()
+        assert ids == [i for part in some for t in part.each() for i in library.encode_ordinary(t.decode())]
+    assert len(made) <= 3 and len(made.older) <= 3

@@ -59,7 +59,8 @@ def _quantiles(rows: DataFrame, by: Sequence[str], value: str, limit: int, into:
     return found.select(*by, F.filter("_all", lambda _, i: (i + 1) % F.col("_stride") == 0).alias(into))
 
 
-def _written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as read back from a file in the shared folder, so that what follows doesn't compute it again."""
     folder = work_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
@@ -85,14 +86,14 @@ def slice_busy_keys(df: DataFrame, keys: Sequence[str], ts: str, limit: int, tie
         shared = timed.join(busy.withColumnRenamed("_n", "_of"), list(keys)).groupBy(*keys, "_at")
         most = F.greatest(F.lit(limit).cast("bigint"), whole_div(F.col("_of"), FAN))
         crowded = shared.agg(F.count(F.lit(1)).alias("_n"), F.max("_of").alias("_of")).where(F.col("_n") > most).drop("_of")
-        crowded = _written(crowded, "crowded")
+        crowded = written(crowded, "crowded")
         if not crowded.isEmpty():
             edges = crowded.groupBy(*keys).agg(F.flatten(F.collect_list(F.array("_at", F.col("_at") + 1))).alias("_edges"))
             both = F.array_sort(F.array_distinct(F.concat("_cuts", F.coalesce("_edges", F.array().cast("array<bigint>")))))
             points = points.join(edges, list(keys), "left").select(*keys, both.alias("_cuts"))
             inner = _quantiles(timed.join(crowded, [*keys, "_at"]), [*keys, "_at"], "_tie", limit, "_tie_cuts")
-            inner = _written(inner, "tie-cuts")
-    cuts = _written(points, "cuts")
+            inner = written(inner, "tie-cuts")
+    cuts = written(points, "cuts")
     found = F.when(F.col("_cuts").isNotNull(), _slice_of(epoch_micros(F.col(ts)), F.col("_cuts"))).cast("bigint")
     sliced = df.join(cuts, list(keys), "left")
     if inner is None:
@@ -181,7 +182,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str
     """
     by = [*keys, *order]
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
-    kept = _written(dealt, "numbered").withColumn("_part", F.shiftright("_row", 33))
+    kept = written(dealt, "numbered").withColumn("_part", F.shiftright("_row", 33))
     ranges = kept.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_row").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1

@@ -12,7 +12,7 @@ from fleetlens.fixed import LINE_PREFIX, STATUS_STATES
 from fleetlens.functions.capture import fits, group, with_groups
 from fleetlens.functions.ordered import ROWS_PER_SLICE, look_back, previous
 from fleetlens.functions.skew import spread_join, top_rows
-from fleetlens.functions.spans import CELL, cells_by_rank
+from fleetlens.functions.spans import CELL, cells_by_rank, cells_by_time
 
 # What each escape of a line prefix looks like, and the field it fills.
 ESCAPES = {
@@ -81,14 +81,14 @@ def route_history(lines: DataFrame, routes: DataFrame, longest: str | None = Non
     ``valid_from`` up to but not at ``valid_to``. A line outside all routes is left out, one
     within several goes to each. No route holds for longer than ``longest``, if given: what
     is later of it doesn't count. Lines and routes meet by cells of time, of a few lines each; to
-    cut these, the lines are written once. Works on two watermarked streams, whose state that bounds;
-    these meet by their programs alone.
+    cut these, the lines are written once. Works on two watermarked streams, whose state that bounds; their
+    cells have fixed widths.
     """
     until = F.col("valid_from") + F.expr(f"INTERVAL {longest}") if longest else F.col("valid_to")
     held = routes.where(F.col("valid_to").isNotNull())
     named = held.select("program", "destination", "valid_from", "valid_to", F.least("valid_to", until).alias("_end"))
     if lines.isStreaming or routes.isStreaming:
-        placed, spread = (df.withColumn(CELL, F.lit(0)) for df in (lines, named))
+        placed, spread = cells_by_time(lines, named, "ts", "valid_from", "_end", longest)
     else:
         placed, spread = cells_by_rank(lines, named, ["program"], "ts", "valid_from", "_end")
     spread = spread.withColumnsRenamed({"program": "_program", CELL: "_of"})

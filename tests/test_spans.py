@@ -7,13 +7,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.functions.spans import CELL, cells_by_rank
+from fleetlens.functions.spans import CELL, cells_by_rank, cells_by_time
 from fleetlens.operators.events import route_history
+from fleetlens.session import work_folder
+from fleetlens.streaming.jobs import route_history_stream
+from fleetlens.streaming.run import drain
 
-START = dt.datetime(1969, 12, 30)
+START = dt.datetime(1969, 12, 30)  # cells on both sides of 1970
 LINES = "event_id int, program string, ts timestamp_ntz"
 ROUTES = "program string, destination string, valid_from timestamp_ntz, valid_to timestamp_ntz"
-LENGTHS = (0, 1, 7, 60, 511, 513, 4000, 90_000, 262_143, 262_145, 2_500_000, 40_000_000)  # seconds
+LENGTHS = (0, 1, 7, 60, 511, 513, 4000, 90_000, 262_143, 262_145, 2_500_000, 40_000_000)  # seconds, on both sides of each level's limits
 
 
 @pytest.fixture(scope="module")
@@ -78,8 +81,43 @@ def test_a_span_is_compared_with_few_points_that_it_does_not_hold(frames, limit)
     assert beyond[0] <= 2 * size and beyond[1] > 100
 
 
-def test_lines_and_routes_meet_by_cells(frames):
+@pytest.mark.parametrize("longest,copies", [("2 hours", 1), ("30 days", 2), ("2 months", 3), (None, 4)])
+def test_cells_of_fixed_widths(frames, longest, copies):
+    """A line is a row for each level; a pair meets once, and a route has a limited number of cells."""
+    lines, routes = frames
+    until = F.least("valid_to", F.col("valid_from") + F.expr(f"INTERVAL {longest}")) if longest else F.col("valid_to")
+    spans = routes.where("valid_to IS NOT NULL").withColumn("end", until).withColumn("span", F.monotonically_increasing_id()).localCheckpoint()
+    placed, spread = cells_by_time(lines, spans, "ts", "valid_from", "end", longest)
+    assert placed.count() == copies * lines.count()
+    assert spread.groupBy("span").count().agg(F.max("count")).first()[0] <= 1025
+    met = placed.join(spread, ["program", CELL]).where("ts >= valid_from AND ts < end")
+    assert text(met) == text(plain(lines, routes, longest))
+
+
+def test_lines_and_routes_meet_by_cells(spark, frames, rows):
     """Not by their programs alone, which compares each line with each route of its program."""
-    plan = route_history(*frames, "30 days")._jdf.queryExecution().analyzed().toString()
-    joins = [x for x in plan.splitlines() if re.search(r"Join Inner.*_program#", x)]
-    assert len(joins) == 1 and re.search(rf"\({CELL}#\d+L? = ", joins[0])
+    lines, routes = frames
+    folders = [work_folder(spark, "lines"), work_folder(spark, "routes")]
+    for df, folder in zip(frames, folders, strict=True):
+        df.write.parquet(folder)
+    streams = [spark.readStream.schema(df.schema).parquet(f) for df, f in zip(frames, folders, strict=True)]
+    for found in (route_history(lines, routes, "30 days"), route_history_stream(*streams)):
+        joins = [x for x in found._jdf.queryExecution().analyzed().toString().splitlines() if re.search(r"Join Inner.*_program#", x)]
+        assert len(joins) == 1 and re.search(rf"\({CELL}#\d+L? = ", joins[0])
+
+
+@pytest.mark.parametrize("first", ["lines", "routes"])
+def test_streams_of_short_and_long_routes(spark, frame, rows, first):
+    """Two triggers, with all lines before all routes or after them, and a delay within which none is late: the plain join's rows."""
+    later = dt.timedelta(days=10_000)  # a stream begins at 1970
+    lines = [(i, p, t and t + later) for i, p, t in rows[0]]
+    routes = [(p, d, a and a + later, b and (b + later if b.year < 9999 else b)) for p, d, a, b in rows[1]]
+    base, folders = work_folder(spark, "routed"), [work_folder(spark, "lines"), work_folder(spark, "routes")]
+    steps = [(lines, []), ([], routes)] if first == "lines" else [([], routes), (lines, [])]
+    for step in steps:
+        for some, kind, folder in zip(step, (LINES, ROUTES), folders, strict=True):
+            frame(some, kind).coalesce(1).write.mode("append").parquet(folder)
+        streams = [spark.readStream.schema(kind).parquet(f) for kind, f in zip((LINES, ROUTES), folders, strict=True)]
+        out = drain(route_history_stream(*streams, "30 days", "9 days"), "", base=base)
+    got = spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "valid_from")})
+    assert text(got) == text(plain(frame(lines, LINES), frame(routes, ROUTES), "30 days"))

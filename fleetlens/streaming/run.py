@@ -45,10 +45,11 @@ def drain(
         .outputMode("append")
         .option("checkpointLocation", f"{base}/checkpoint")
     )
-    # Keyed state needs a store that can hold more than one column family per key.
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, DEFAULTS[provider])
+    # Keyed state needs a store that can hold more than one column family per key; joins then need one per partition.
+    stores = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.join.stateFormatVersion")
+    before = {name: spark.conf.get(name) for name in stores}
+    for name in stores:
+        spark.conf.set(name, DEFAULTS[name])
     try:
         if each is not None:
             query = writer.foreachBatch(each).start()
@@ -57,6 +58,7 @@ def drain(
                 writer = writer.partitionBy(partition_by)
             query = writer.format("parquet").option("path", f"{base}/out").start()
     finally:
-        spark.conf.set(provider, before)
+        for name in stores:
+            spark.conf.set(name, before[name])
     query.awaitTermination()
     return f"{base}/out"
